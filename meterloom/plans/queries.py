@@ -18,6 +18,7 @@ from meterloom.plans.adapters import (
     EXOGENOUS, SERIES, TARGET, TEST_END, TEST_START, daily_exogenous, daily_joined, daily_orders,
     half_hourly, table,
 )
+from meterloom.session import cut_lineage
 from meterloom.sources import manifest
 from meterloom.sources.tables import union_yearly
 
@@ -49,10 +50,13 @@ def query(fn: Query) -> Query:
 
 # --- shared inputs -------------------------------------------------------------------------------
 
-def sides(spark: SparkSession, folder: str, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    return daily.time_split(
-        daily_orders(spark, folder, keys), TEST_START, TEST_END, TARGET, check=False
-    )
+def stored_orders(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """Daily order table, written once because the plans below read it in many places."""
+    return cut_lineage(daily_orders(spark, folder, keys))
+
+
+def sides(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return daily.time_split(orders, TEST_START, TEST_END, TARGET, check=False)
 
 
 def stamped(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,10 +67,13 @@ def resolved(spark: SparkSession, folder: str) -> DataFrame:
     return quality.resolve_duplicates(stamped(spark, folder))
 
 
-def naive_table(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
+def stored_half_hours(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_lineage(resolved(spark, folder))
+
+
+def naive_table(orders: DataFrame, keys: list[str]) -> DataFrame:
     """Test days with the three naive forecasts side by side."""
-    keys = SERIES if keys is None else keys
-    train, test = sides(spark, folder, keys)
+    train, test = sides(orders)
     return evaluate.merge_forecasts(
         baseline.seasonal_naive(train, test, TARGET, keys),
         baseline.naive(train, test, TARGET, keys),
@@ -75,13 +82,20 @@ def naive_table(spark: SparkSession, folder: str, keys: list[str] | None = None)
     )
 
 
+def naive_long(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
+    keys = SERIES if keys is None else keys
+    return evaluate.long_forecasts(naive_table(stored_orders(spark, folder, keys), keys), keys)
+
+
 def naive_errors(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.with_errors(evaluate.long_forecasts(naive_table(spark, folder), SERIES))
+    """Errors of the naive forecasts by series, written once: slices and cuts read them repeatedly."""
+    return cut_lineage(evaluate.with_errors(naive_long(spark, folder)))
 
 
 def scenario_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Seasonal naive as base forecast in its context, and the daily table it came from."""
-    table_ = features.training_regime(daily_joined(spark, folder), TARGET, TEST_START, SERIES)
+    joined = cut_lineage(daily_joined(spark, folder))
+    table_ = features.training_regime(joined, TARGET, TEST_START, SERIES)
     train, test = daily.time_split(table_, TEST_START, TEST_END, TARGET, check=False)
     forecasts = baseline.seasonal_naive(train, test, TARGET, SERIES)
     base = scenario.choose_base(forecasts, "seasonal_naive_forecast")
@@ -199,7 +213,7 @@ def complete_cases(spark, folder):
 
 @query
 def time_split(spark, folder):
-    train, test = daily.time_split(daily_orders(spark, folder), TEST_START, TEST_END, TARGET)
+    train, test = daily.time_split(stored_orders(spark, folder), TEST_START, TEST_END, TARGET)
     return union_all([
         side.select(*SERIES, "date", TARGET, F.lit(name).alias("side"))
         for name, side in (("train", train), ("test", test))
@@ -303,7 +317,7 @@ def target_summary(spark, folder):
 
 @query
 def describe_weekend(spark, folder):
-    halves = resolved(spark, folder).withColumn(
+    halves = stored_half_hours(spark, folder).withColumn(
         "is_weekend", F.weekday("settlement_datetime") >= 5
     )
     return profile.describe(halves, "nd", ["is_weekend"])
@@ -373,29 +387,29 @@ def corr_features(spark, folder):
 @query
 def lag_corr(spark, folder):
     return profile.lagged_correlations(
-        resolved(spark, folder), "settlement_datetime", "nd", ["tsd", "embedded_wind_generation"], block=500
+        stored_half_hours(spark, folder), "settlement_datetime", "nd", ["tsd", "embedded_wind_generation"], block=500
     )
 
 
 @query
 def rolling_stats(spark, folder):
-    return profile.rolling_statistics(resolved(spark, folder), "settlement_datetime", "nd", block=500)
+    return profile.rolling_statistics(stored_half_hours(spark, folder), "settlement_datetime", "nd", block=500)
 
 
 @query
 def rolling_latest(spark, folder):
-    curve = profile.rolling_statistics(resolved(spark, folder), "settlement_datetime", "nd", block=500)
+    curve = profile.rolling_statistics(stored_half_hours(spark, folder), "settlement_datetime", "nd", block=500)
     return profile.latest_rolling(curve, "settlement_datetime")
 
 
 @query
 def decompose(spark, folder):
-    return profile.decompose(daily_orders(spark, folder), "date", TARGET, 7, SERIES, block=500)
+    return profile.decompose(stored_orders(spark, folder), "date", TARGET, 7, SERIES, block=500)
 
 
 @query
 def decompose_half_hours(spark, folder):
-    return profile.decompose(resolved(spark, folder), "settlement_datetime", "nd", 48, block=500)
+    return profile.decompose(stored_half_hours(spark, folder), "settlement_datetime", "nd", 48, block=500)
 
 
 # --- daily features ------------------------------------------------------------------------------------
@@ -407,38 +421,38 @@ def calendar(spark, folder):
 
 @query
 def densify(spark, folder):
-    return daily.densify(daily_orders(spark, folder), SERIES)
+    return daily.densify(stored_orders(spark, folder), SERIES)
 
 
 @query
 def fill_exog(spark, folder):
-    target = daily.densify(daily_orders(spark, folder), SERIES).select("series", "date")
+    target = daily.densify(stored_orders(spark, folder), SERIES).select("series", "date")
     return daily.fill_gaps(target.join(daily_exogenous(spark, folder), "date", "left"), EXOGENOUS, SERIES)
 
 
 @query
 def align_exog(spark, folder):
-    target = daily.densify(daily_orders(spark, folder, []), []).select("date")
+    target = daily.densify(stored_orders(spark, folder, []), []).select("date")
     return daily.align_to_calendar(target, daily_exogenous(spark, folder), EXOGENOUS)
 
 
 @query
 def zscore_train(spark, folder):
-    joined = daily.complete_cases(daily_joined(spark, folder), EXOGENOUS)
+    joined = cut_lineage(daily.complete_cases(daily_joined(spark, folder), EXOGENOUS))
     train, test = daily.time_split(joined, TEST_START, TEST_END, check=False)
     return daily.standardise(test, train, EXOGENOUS, SERIES).select("series", "date", *EXOGENOUS)
 
 
 @query
 def zscore_train_population(spark, folder):
-    joined = daily.complete_cases(daily_joined(spark, folder), EXOGENOUS)
+    joined = cut_lineage(daily.complete_cases(daily_joined(spark, folder), EXOGENOUS))
     train, test = daily.time_split(joined, TEST_START, TEST_END, check=False)
     return daily.standardise(test, train, EXOGENOUS, SERIES, True).select("series", "date", *EXOGENOUS)
 
 
 @query
 def median_impute(spark, folder):
-    joined = daily.densify(daily_joined(spark, folder), SERIES)
+    joined = daily.densify(cut_lineage(daily_joined(spark, folder)), SERIES)
     train, _ = daily.time_split(joined, TEST_START, TEST_END, check=False)
     return daily.impute_median(joined, train, [TARGET, *EXOGENOUS], SERIES)
 
@@ -452,7 +466,7 @@ def lags(spark, folder):
 @query
 def lags_calendar(spark, folder):
     featured = features.history_features(
-        daily_orders(spark, folder, []), TARGET, [], mode="calendar", block=400
+        stored_orders(spark, folder, []), TARGET, [], mode="calendar", block=400
     )
     return featured.select("date", *[f"lag_{k}" for k in features.LAGS])
 
@@ -465,9 +479,8 @@ def rolling_shifted(spark, folder):
 
 @query
 def regime_train(spark, folder):
-    return features.training_regime(
-        daily_orders(spark, folder), TARGET, TEST_START, SERIES, keep_thresholds=True
-    )
+    orders = stored_orders(spark, folder)
+    return features.training_regime(orders, TARGET, TEST_START, SERIES, keep_thresholds=True)
 
 
 @query
@@ -505,59 +518,57 @@ def leakage_check(spark, folder):
 
 @query
 def naive(spark, folder):
-    train, test = sides(spark, folder)
+    train, test = sides(stored_orders(spark, folder))
     return baseline.naive(train, test, TARGET, SERIES)
 
 
 @query
 def seasonal_naive(spark, folder):
-    train, test = sides(spark, folder)
+    train, test = sides(stored_orders(spark, folder))
     return baseline.seasonal_naive(train, test, TARGET, SERIES)
 
 
 @query
 def seasonal_naive_strict(spark, folder):
-    train, test = sides(spark, folder)
+    train, test = sides(stored_orders(spark, folder))
     return baseline.seasonal_naive(train, test, TARGET, SERIES, use_365=False)
 
 
 @query
 def weekly_naive(spark, folder):
-    train, test = sides(spark, folder)
+    train, test = sides(stored_orders(spark, folder))
     return baseline.weekly_naive(train, test, TARGET, SERIES)
 
 
 @query
 def seasonal_naive_metrics(spark, folder):
     """Accuracy of the yearly seasonal naive forecast of the single daily series, gaps made explicit."""
-    full = daily.densify(daily_orders(spark, folder, []), [])
-    train, test = daily.time_split(full, TEST_START, TEST_END, TARGET, check=False)
+    train, test = sides(daily.densify(stored_orders(spark, folder, []), []))
     long = evaluate.long_forecasts(baseline.seasonal_naive(train, test, TARGET))
     return evaluate.metrics(long, ["model"])
 
 
 @query
 def metrics(spark, folder):
-    long = evaluate.long_forecasts(naive_table(spark, folder), SERIES)
+    long = naive_long(spark, folder)
     return evaluate.metrics(long, [*SERIES, "model"])
 
 
 @query
 def ranked_metrics(spark, folder):
-    long = evaluate.long_forecasts(naive_table(spark, folder), SERIES)
+    long = naive_long(spark, folder)
     return evaluate.ranked(evaluate.metrics(long, [*SERIES, "model"]), "mae", SERIES)
 
 
 @query
 def model_order(spark, folder):
-    long = evaluate.long_forecasts(naive_table(spark, folder), SERIES)
+    long = naive_long(spark, folder)
     return evaluate.in_model_order(evaluate.metrics(long, [*SERIES, "model"]))
 
 
 @query
 def refined_benchmark(spark, folder):
-    keys: list[str] = []
-    train, test = sides(spark, folder, keys)
+    train, test = sides(stored_orders(spark, folder, []))
     weekly = baseline.weekly_naive(train, test, TARGET)
     yearly = baseline.seasonal_naive(train, test, TARGET).withColumnRenamed(
         "seasonal_naive_forecast", "year_over_year_seasonal_naive_forecast"
@@ -568,13 +579,13 @@ def refined_benchmark(spark, folder):
 
 @query
 def forecast_merge(spark, folder):
-    return naive_table(spark, folder)
+    return naive_table(stored_orders(spark, folder), SERIES)
 
 
 @query
 def align_inner(spark, folder):
     """Actuals of each series aligned with the forecast of the whole, where both exist."""
-    train, test = sides(spark, folder, [])
+    train, test = sides(stored_orders(spark, folder, []))
     forecast = baseline.seasonal_naive(train, test, TARGET).select("date", "seasonal_naive_forecast")
     return evaluate.aligned(daily_orders(spark, folder).select("series", "date", TARGET), forecast)
 
@@ -594,8 +605,9 @@ def slice_pivot(spark, folder):
 
 @query
 def regime_metrics(spark, folder):
-    labelled = features.training_regime(daily_orders(spark, folder), TARGET, TEST_START, SERIES)
-    errors = evaluate.long_forecasts(naive_table(spark, folder), SERIES)
+    orders = stored_orders(spark, folder)
+    labelled = features.training_regime(orders, TARGET, TEST_START, SERIES)
+    errors = evaluate.long_forecasts(naive_table(orders, SERIES), SERIES)
     joined = errors.join(labelled.select(*SERIES, "date", "demand_regime"), [*SERIES, "date"], "left")
     return evaluate.metrics(joined, [*SERIES, "demand_regime", "model"])
 
@@ -627,14 +639,14 @@ def incomplete_impact(spark, folder):
 
 @query
 def verdict(spark, folder):
-    long = evaluate.long_forecasts(naive_table(spark, folder), SERIES)
+    long = naive_long(spark, folder)
     return evaluate.verdicts(evaluate.metrics(long, [*SERIES, "model"]), keys=SERIES)
 
 
 @query
 def metrics_union(spark, folder):
     """Metrics of the first half of the year, replaced by whole-year ones where a model has both."""
-    long = evaluate.long_forecasts(naive_table(spark, folder, []), [])
+    long = naive_long(spark, folder, [])
     half = evaluate.metrics(long.where(F.col("date") < F.lit("2000-07-01").cast("date")), ["model"])
     whole = evaluate.metrics(long.where(F.col("model") != "naive"), ["model"]).drop("rmse")
     return evaluate.metrics_union(half, whole)
@@ -642,7 +654,7 @@ def metrics_union(spark, folder):
 
 @query
 def design_comparison(spark, folder):
-    long = evaluate.long_forecasts(naive_table(spark, folder, []), [])
+    long = naive_long(spark, folder, [])
     saved = evaluate.metrics(long, ["model"])
     operational = evaluate.operational_summary(
         saved, TARGET, TEST_START, TEST_END, ["naive", "weekly_seasonal_naive", "ridge"]

@@ -30,13 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where that setting is absent (a single-machine test) is a temporary folder chosen.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="meterloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meterloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -46,7 +45,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so lost executors never replay its past."""
+    """Write ``df`` to the shared folder and read it back.
+
+    For tables that several branches of a plan read: the raw table is scanned once, lost executors
+    never replay its past, and the written size tells the optimiser whether a broadcast is safe.
+    """
     spark = df.sparkSession
     path = shared_path(spark, "table")
     df.write.parquet(path)
