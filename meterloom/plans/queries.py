@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 from meterloom.functions.clock import (
     add_calendar, expected_periods, last_sunday, parse_stamp,
 )
-from meterloom.operators import baseline, daily, evaluate, features, profile, quality, scenario
+from meterloom.functions.names import sarimax_regressors
+from meterloom.operators import (
+    baseline, daily, evaluate, features, learn, profile, quality, recursive, scenario, smoothing, stationarity,
+)
+from meterloom.operators import sarimax as sarimax_
 from meterloom.operators.quantiles import exact_quantiles, union_all
 from meterloom.operators.series import attach
 from meterloom.plans.adapters import (
@@ -724,3 +728,113 @@ def scenario_method(spark, folder):
     return scenario.method_summary(
         draws, thresholds, design_comparison(spark, folder), "seasonal_naive_forecast", SERIES
     )
+
+
+# --- models -----------------------------------------------------------------------------------------------
+
+# Short ensembles keep the registered queries quick; the functions default to full length.
+SHORT = {"random_forest": {"numTrees": 20}, "gradient_boosting": {"maxIter": 20, "stepSize": 0.1}}
+
+
+def modelled(spark: SparkSession, folder: str) -> DataFrame:
+    """The single daily series with outside influences."""
+    return cut_lineage(daily_joined(spark, folder, []))
+
+
+@query
+def ridge_forecast(spark, folder):
+    """One ridge model per priority series."""
+    panel = cut_lineage(daily_joined(spark, folder))
+    return learn.one_day_ahead(panel, TARGET, TEST_START, TEST_END, SERIES, ["ridge"])[0]
+
+
+@query
+def ridge_coefficients(spark, folder):
+    panel = cut_lineage(daily_joined(spark, folder))
+    _, fitted = learn.one_day_ahead(panel, TARGET, TEST_START, TEST_END, SERIES, ["ridge"])
+    return learn.ridge_coefficients(fitted)
+
+
+@query
+def forest_forecast(spark, folder):
+    return learn.one_day_ahead(
+        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["random_forest"], SHORT
+    )[0]
+
+
+@query
+def gbt_forecast(spark, folder):
+    return learn.one_day_ahead(
+        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["gradient_boosting"], SHORT
+    )[0]
+
+
+@query
+def importance_top(spark, folder):
+    """Fifteen most important inputs of each tree model."""
+    _, fitted = learn.one_day_ahead(
+        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["random_forest", "gradient_boosting"], SHORT
+    )
+    return evaluate.top_per_group(learn.importance_table(fitted), ["model"], "importance", 15, "feature")
+
+
+@query
+def operational_metrics(spark, folder):
+    """Accuracy by regime of the one-day-ahead models."""
+    forecasts, _ = learn.one_day_ahead(
+        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["ridge", "gradient_boosting"], SHORT
+    )
+    return learn.regime_metrics(forecasts)
+
+
+@query
+def recursive_forecast(spark, folder):
+    """Strict multi-step forecasts of every series by ridge and boosted trees."""
+    panel = cut_lineage(daily_joined(spark, folder))
+    return recursive.strict_recursive(
+        panel, TARGET, TEST_START, TEST_END, SERIES, "drop", ["ridge", "gradient_boosting"], SHORT
+    )[0]
+
+
+@query
+def recursive_metrics(spark, folder):
+    """Accuracy by regime when models see same-day observations but not the target."""
+    forecasts, _ = recursive.strict_recursive(
+        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], "actual", ["ridge"], SHORT
+    )
+    return evaluate.metrics(forecasts, ["demand_regime", "model"])
+
+
+@query
+def holt_winters(spark, folder):
+    train, test = sides(stored_orders(spark, folder))
+    return smoothing.holt_winters(train, test, TARGET, SERIES)
+
+
+@query
+def level_smoothing(spark, folder):
+    train, _ = sides(stored_orders(spark, folder))
+    return smoothing.level_smoothing(train, TARGET, 0.2, SERIES)
+
+
+@query
+def sarima(spark, folder):
+    train, test = sides(stored_orders(spark, folder))
+    return sarimax_.sarima(train, test, TARGET, SERIES)
+
+
+@query
+def sarimax(spark, folder):
+    panel = cut_lineage(add_calendar(daily_joined(spark, folder), only=["month", "day_of_week", "is_weekend"]))
+    train, test = sides(panel)
+    return sarimax_.sarimax(train, test, TARGET, sarimax_regressors(panel), SERIES)
+
+
+@query
+def adf(spark, folder):
+    return stationarity.dickey_fuller(stored_orders(spark, folder), "date", TARGET, SERIES)
+
+
+@query
+def stationarity_checks(spark, folder):
+    return stationarity.stationarity(stored_half_hours(spark, folder), "settlement_datetime", "nd")
