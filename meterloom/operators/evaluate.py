@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.errors import error_columns, metric_aggregates
+from meterloom.functions.stats import pearson
 from meterloom.operators.features import evaluation_regime
 from meterloom.operators.series import Keys, by_series
 from meterloom.sources.tables import require_columns
@@ -124,7 +125,7 @@ def residual_autocorrelation(errors: DataFrame, keys: Keys = (), max_lag: int =
     lags = range(1, max_lag + 1)
     line = by_series(group)
     shifted = known.withColumns({f"_l{k}": F.lag("error", k).over(line) for k in lags})
-    wide = shifted.groupBy(*group).agg(*[F.corr("error", f"_l{k}").alias(f"_l{k}") for k in lags])
+    wide = shifted.groupBy(*group).agg(*[pearson("error", f"_l{k}").alias(f"_l{k}") for k in lags])
     return wide.unpivot(group, [f"_l{k}" for k in lags], "lag", "autocorrelation").withColumn(
         "lag", F.substring("lag", 3, 9).cast("int")
     )

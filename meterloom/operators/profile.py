@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterloom.functions.stats import pearson
 from meterloom.operators.quantiles import exact_quantiles, union_all
 from meterloom.operators.series import (
     Keys, attach, numbered, own_rows, split_window, with_halo,
 )
+from meterloom.session import cut_lineage
 
 
 def target_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,6 +63,8 @@ def histogram(df: DataFrame, value: str, bins: int = 50, keys: Keys = ()) -> Dat
     """Equal-width histogram between the smallest and the largest value, which falls in the last bin."""
     known = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col(value).isNotNull())
     span = known.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    if keys:
+        span = cut_lineage(span)  # its written size decides how it joins the rows
     width = (F.col("hi") - F.col("lo")) / bins
     spot = F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0)))
     number = F.least(F.coalesce(spot, F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -101,14 +105,14 @@ def density_curve(
 
 def correlations(df: DataFrame, target: str, columns: list[str], keys: Keys = ()) -> DataFrame:
     """Pearson correlation of each column with the target over rows where both are known."""
-    wide = df.groupBy(*keys).agg(*[F.corr(c, target).alias(c) for c in columns])
+    wide = df.groupBy(*keys).agg(*[pearson(c, target).alias(c) for c in columns])
     return wide.unpivot(list(keys), columns, "column", "correlation_with_target")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], keys: Keys = ()) -> DataFrame:
     """All pairwise correlations from one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = df.groupBy(*keys).agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return wide.unpivot(list(keys), [f"{a}|{b}" for a, b in pairs], "pair", "correlation").select(
         *keys,
         F.split_part("pair", F.lit("|"), F.lit(1)).alias("column_a"),
@@ -122,7 +126,7 @@ def feature_correlations(
 ) -> DataFrame:
     """Correlation of every feature with every target, one row per feature."""
     wide = df.groupBy(*keys).agg(*[
-        F.corr(F.col(f).cast("double"), F.col(t)).alias(f"{f}|{t}") for f in features for t in targets
+        pearson(F.col(f).cast("double"), F.col(t)).alias(f"{f}|{t}") for f in features for t in targets
     ])
     rows = F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), *[
@@ -148,7 +152,7 @@ def lagged_correlations(
         f"_{c}_{k}": F.lag(c, k).over(window) for c in columns for k in lags
     }))
     wide = shifted.groupBy(*keys).agg(*[
-        F.corr(F.col(target), F.col(f"_{c}_{k}")).alias(f"_{c}_{k}") for c in columns for k in lags
+        pearson(F.col(target), F.col(f"_{c}_{k}")).alias(f"_{c}_{k}") for c in columns for k in lags
     ])
     rows = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(k).alias("lag"), F.col(f"_{c}_{k}").alias("lagged_correlation"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +10,7 @@ from meterloom.functions.clock import parse_stamp, settlement_stamp
 from meterloom.functions.names import CLOCK_COLUMNS
 from meterloom.operators.quantiles import exact_quantiles, union_all
 from meterloom.operators.series import Keys, attach, numbered
+from meterloom.session import cut_lineage
 from meterloom.sources.tables import require_columns, required
 
 STAMP = "settlement_datetime"
@@ -265,10 +264,6 @@ def iqr_bounds(df: DataFrame, value: str, keys: Keys = (), factor: float = 1.5)
 
 def iqr_outliers(df: DataFrame, value: str, keys: Keys = (), factor: float = 1.5) -> DataFrame:
     """Rows strictly outside the fences."""
-    fences = iqr_bounds(df, value, keys, factor).select(*keys, "lower", "upper")
+    fences = cut_lineage(iqr_bounds(df, value, keys, factor).select(*keys, "lower", "upper"))
     c = F.col(value)
     return attach(df, fences, keys).where((c < F.col("lower")) | (c > F.col("upper")))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.operators.series import Keys, attach
+from meterloom.session import cut_lineage
 
 
 def bounded_quantiles(
@@ -34,12 +35,14 @@ def exact_quantiles(
     counted per bin before any shuffle. Counts, summed up first over runs of ``coarse`` bins, tell
     which bins hold the wanted ranks; only the distinct values of those bins are ranked. Minimum,
     maximum and counts do not depend on the order of rows, so a recomputed task gives the same bins.
+    Ranges and chosen bins are written between the passes: their size on disk, not a guess, lets the
+    optimiser broadcast them, and rows stay where they were read.
     """
     keys, names = list(keys), list(probs)
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = values.groupBy(*keys).agg(
+    span = cut_lineage(values.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_total")
-    )
+    ))
     spot = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = F.array(*[
         F.struct(F.lit(2 * i + side).alias("id"), rule(spot[name]).cast("long").alias("rank"))
@@ -59,7 +62,7 @@ def exact_quantiles(
     in_run = _holding(
         attach(runs, span.select(*keys, wanted.alias("_ranks")), keys), keys, "_run"
     )
-    in_bin = _holding(sizes.join(in_run, [*keys, "_run"]), [*keys, "_run"], "_bin")
+    in_bin = cut_lineage(_holding(sizes.join(in_run, [*keys, "_run"]), [*keys, "_run"], "_bin"))
     ranked = (
         binned.join(in_bin.select(*keys, "_bin"), [*keys, "_bin"], "left_semi")
         .groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))

@@ -111,13 +111,14 @@ def scenario_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 @query
 def yearly_union(spark, folder):
     """Yearly tables, the first of which lacks a column."""
-    orders = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias(" Order-Key "), F.col("o_totalprice").alias("Total  Price"),
-        F.col("o_orderstatus").alias("Order Status"), F.year("o_orderdate").alias("y"),
-    )
+    orders = table(spark, folder, "orders")
     frames = {}
     for year in range(1995, 2002):
-        part = orders.where(F.col("y") == year).drop("y")
+        first, next_ = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
+        part = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < next_)).select(
+            F.col("o_orderkey").alias(" Order-Key "), F.col("o_totalprice").alias("Total  Price"),
+            F.col("o_orderstatus").alias("Order Status"),
+        )
         frames[year] = part.drop("Order Status") if year == 1995 else part
     return union_yearly(frames)
 

@@ -147,3 +147,11 @@ def test_error_slices_equal_separate_groupings(spark):
     assert len(pairs) == 6
     for r in pairs:
         assert r.rows == r.n and r.mae == pytest.approx(r.m) and r.mape == pytest.approx(r.p)
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    from meterloom.functions.stats import pearson
+
+    df = spark.createDataFrame([(1.0, 5.0, -1.0), (2.0, 5.0, -2.0), (4.0, 5.0, -4.0), (None, 5.0, 3.0)], "a double, b double, c double")
+    row = df.agg(pearson("a", "b").alias("x"), pearson("b", "a").alias("y"), pearson("a", "c").alias("z")).first()
+    assert (row.x, row.y, row.z) == (None, None, pytest.approx(-1))
