@@ -100,8 +100,9 @@ def align_to_calendar(
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Numbers where the value reads as one, null elsewhere."""
-    return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
+    """Numbers where the value reads as one, null elsewhere; "not a number" is no number."""
+    values = {c: F.col(c).try_cast("double") for c in columns}
+    return df.withColumns({c: F.when(~F.isnan(v), v) for c, v in values.items()})
 
 
 def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:

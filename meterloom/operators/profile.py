@@ -91,6 +91,7 @@ def density_curve(
         F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
     )
     h = F.lit(float(bandwidth)) if bandwidth else F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    h = F.nullif(h, F.lit(0.0))
     packed = fine.agg(F.collect_list(F.struct(F.col("bin"), F.col("rows"))).alias("cells"))
     grid = attach(stats.withColumn("h", h), packed, []).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
@@ -188,7 +189,7 @@ def rolling_statistics(
     squares = F.aggregate("_w", F.lit(0.0), lambda a, x: a + F.pow(x - F.col("rolling_mean"), F.lit(2.0)))
     return (
         taken.withColumn("rolling_mean", F.when(full, mean))
-        .withColumn("rolling_std", F.when(full, F.sqrt(squares / (F.col("rolling_window") - 1))))
+        .withColumn("rolling_std", F.when(full, F.sqrt(squares / F.nullif(F.col("rolling_window") - 1, F.lit(0)))))
         .select(*keys, stamp, "rolling_window", "rolling_mean", "rolling_std")
     )
 

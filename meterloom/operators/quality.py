@@ -106,7 +106,7 @@ def timestamp_gaps(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFr
     )))
     # index of the first grid point at or after midnight, and of the last one before the next midnight
     second = F.expr("timestampdiff(SECOND, _first, cast(_day as timestamp_ntz))")
-    step = F.col("most_common_seconds")
+    step = F.nullif(F.col("most_common_seconds"), F.lit(0))
     low = F.greatest(F.ceil(second / step), F.lit(0))
     high = F.least(
         F.ceil((second + 86400) / step) - 1,
@@ -122,7 +122,7 @@ def timestamp_gaps(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFr
 
 
 def step_differences(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFrame:
-    """Seconds between consecutive distinct timestamps.
+    """Whole seconds between consecutive distinct timestamps.
 
     Differences are taken inside a day; the first timestamp of a day looks up the last one of the
     preceding day that has any.

@@ -628,3 +628,21 @@ SELECT series, 'seasonal_naive_forecast' AS base_forecast,
        (SELECT model || ' (' || forecast_design || ') MAPE ' || printf('%.2f', mape) || '%' FROM designs_t
         WHERE mape IS NOT NULL ORDER BY round(mape, 9), model, forecast_design LIMIT 1) AS forecast_validation_context
 FROM limit_t""", "capacity_threshold")
+
+# --- models with a closed form -----------------------------------------------------------------------------
+
+oracle("level_smoothing", """
+SELECT series, sum(value_mean * pow(0.8::DOUBLE, n - i) * CASE WHEN i = 1 THEN 1 ELSE 0.2::DOUBLE END) AS level
+FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS i,
+             count(*) OVER (PARTITION BY series) AS n FROM train_t)
+GROUP BY 1""", "level")
+part("bins_t", """
+SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 512)), 511) AS bin, count(*) AS rows, any_value(lo) AS lo, any_value(hi) AS hi,
+       any_value(n) AS n, any_value(sd * pow(n, -0.2::DOUBLE)) AS h
+FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n, stddev_samp(o_totalprice) AS sd FROM orders)
+GROUP BY 1""")
+oracle("density", """
+SELECT lo + (hi - lo) * i / 49 AS x,
+       sum(rows * exp(-pow((lo + (hi - lo) * i / 49 - (lo + (hi - lo) * (bin + 0.5) / 512)) / h, 2) / 2))
+         / (any_value(n) * any_value(h) * sqrt(2 * pi())) * 1e6 AS density
+FROM bins_t CROSS JOIN generate_series(0, 49) g(i) GROUP BY i, lo, hi""", "x density")
