@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accepted date formats and the seasons used as features.
-DATE_FORMATS = ("dd-MMM-yyyy", "yyyy-MM-dd")
+# The date format with a month name (ISO dates are the other one) and the seasons used as features.
+NAMED_MONTH_FORMAT = "d-MMM-yyyy"
+NAMED_MONTH_SHAPE = r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"
 WINTER_MONTHS = (12, 1, 2)
 SUMMER_MONTHS = (6, 7, 8)
 PEAK_MONTHS = (11, 12, 1, 2)
 
 
 def parse_stamp(text: Column) -> Column:
-    """Zone-less timestamp from text; the fixed formats first, then a free parse; bad input gives null."""
+    """Zone-less timestamp from text: day with a month name, ISO date, or ISO timestamp; else null.
+
+    The shape decides the parser, because a format that does not match costs an exception per row.
+    """
     trimmed = F.trim(text.cast("string"))
-    tries = [F.try_to_timestamp(trimmed, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*tries, F.try_to_timestamp(trimmed)).cast("timestamp_ntz")
+    named = F.try_to_timestamp(trimmed, F.lit(NAMED_MONTH_FORMAT)).cast("timestamp_ntz")
+    return F.when(trimmed.rlike(NAMED_MONTH_SHAPE), named).otherwise(trimmed.try_cast("timestamp_ntz"))
 
 
 def settlement_stamp(date: Column, period: Column, minutes: int = 30) -> Column:

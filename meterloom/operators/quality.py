@@ -93,13 +93,18 @@ def resolve_duplicates(
     )
 
 
+def distinct_stamps(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFrame:
+    """Known timestamps of each series, once each; written, since gaps and steps read them several times."""
+    return cut_lineage(df.select(*keys, F.col(stamp)).where(F.col(stamp).isNotNull()).distinct())
+
+
 def timestamp_gaps(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFrame:
     """Expected timestamps, at the commonest interval between first and last, that never occur.
 
     The expected grid is generated day by day, so no task expands the whole range.
     """
-    seen = df.select(*keys, F.col(stamp)).where(F.col(stamp).isNotNull()).distinct()
-    steps = step_summary(df, stamp, keys).select(*keys, "most_common_seconds")
+    seen = distinct_stamps(df, stamp, keys)
+    steps = step_summary(seen, stamp, keys, distinct=True).select(*keys, "most_common_seconds")
     ends = seen.groupBy(*keys).agg(F.min(stamp).alias("_first"), F.max(stamp).alias("_last"))
     days = attach(ends, steps, keys).withColumn("_day", F.explode(F.sequence(
         F.to_date("_first"), F.to_date("_last"), F.expr("interval 1 day")
@@ -121,16 +126,15 @@ def timestamp_gaps(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFr
     return grid.join(seen, [*keys, stamp], "left_anti")
 
 
-def step_differences(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFrame:
-    """Whole seconds between consecutive distinct timestamps.
+def step_differences(
+    df: DataFrame, stamp: str = STAMP, keys: Keys = (), distinct: bool = False
+) -> DataFrame:
+    """Whole seconds between consecutive distinct timestamps (``distinct``: the rows are so already).
 
     Differences are taken inside a day; the first timestamp of a day looks up the last one of the
     preceding day that has any.
     """
-    seen = (
-        df.select(*keys, F.col(stamp)).where(F.col(stamp).isNotNull()).distinct()
-        .withColumn("_day", F.to_date(stamp))
-    )
+    seen = (df if distinct else distinct_stamps(df, stamp, keys)).withColumn("_day", F.to_date(stamp))
     per_day = seen.groupBy(*keys, "_day").agg(F.max(stamp).alias("_day_last"))
     carried = per_day.select(*keys, "_day", F.lag("_day_last").over(
         Window.partitionBy(*keys).orderBy("_day")).alias("_carried"))
@@ -144,9 +148,11 @@ def step_differences(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> Data
     )
 
 
-def step_summary(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFrame:
+def step_summary(
+    df: DataFrame, stamp: str = STAMP, keys: Keys = (), distinct: bool = False
+) -> DataFrame:
     """Commonest (smallest on ties), smallest and largest interval, and a label when it never varies."""
-    tallied = step_differences(df, stamp, keys).groupBy(*keys, "step_seconds").agg(
+    tallied = step_differences(df, stamp, keys, distinct).groupBy(*keys, "step_seconds").agg(
         F.count(F.lit(1)).alias("_times")
     )
     summary = tallied.groupBy(*keys).agg(

@@ -271,9 +271,9 @@ def daily_coverage(spark, folder):
 
 @query
 def ts_gaps(spark, folder):
-    raw = stamped(spark, folder)
+    seen = quality.distinct_stamps(stamped(spark, folder), keys=["event_type"])
     return union_all([
-        quality.timestamp_gaps(raw.where(F.col("event_type") == kind)).withColumn("event_type", F.lit(kind))
+        quality.timestamp_gaps(seen.where(F.col("event_type") == kind)).withColumn("event_type", F.lit(kind))
         for kind in ("view", "click")
     ])
 
@@ -285,9 +285,9 @@ def ts_gaps_by_key(spark, folder):
 
 @query
 def step_inference(spark, folder):
-    raw = stamped(spark, folder)
-    by_kind = quality.step_summary(raw, keys=["event_type"])
-    whole = quality.step_summary(raw).withColumn("event_type", F.lit("all"))
+    seen = quality.distinct_stamps(stamped(spark, folder), keys=["event_type"])
+    by_kind = quality.step_summary(seen, keys=["event_type"], distinct=True)
+    whole = quality.step_summary(seen).withColumn("event_type", F.lit("all"))
     return by_kind.unionByName(whole)
 
 
