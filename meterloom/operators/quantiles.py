@@ -39,9 +39,10 @@ def exact_quantiles(
     optimiser broadcast them, and rows stay where they were read.
     """
     keys, names = list(keys), list(probs)
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    values = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    low, high = _log_scale(F.min("_v")), _log_scale(F.max("_v"))
     span = cut_lineage(values.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_total")
+        low.alias("_low"), F.nullif(high - low, F.lit(0.0)).alias("_width"), F.count(F.lit(1)).alias("_total")
     ))
     spot = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = F.array(*[
@@ -50,10 +51,9 @@ def exact_quantiles(
         for side, rule in enumerate((F.floor, F.ceil))
     ])
 
-    low, high = _log_scale(F.col("_lo")), _log_scale(F.col("_hi"))
-    share = (_log_scale(F.col("_v")) - low) / F.nullif(high - low, F.lit(0.0))
+    share = (_log_scale(F.col("_v")) - F.col("_low")) / F.col("_width")
     bin_no = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-    binned = attach(values, span.select(*keys, "_lo", "_hi"), keys).select(
+    binned = attach(values, span.select(*keys, "_low", "_width"), keys).select(
         *keys, bin_no.alias("_bin"), "_v"
     )
     run = F.floor(F.col("_bin") / coarse).cast("int")

@@ -774,11 +774,16 @@ def gbt_forecast(spark, folder):
 
 @query
 def importance_top(spark, folder):
-    """Fifteen most important inputs of each tree model."""
+    """Fifteen most important inputs of each tree model, and twenty by mean importance."""
     _, fitted = learn.one_day_ahead(
         modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["random_forest", "gradient_boosting"], SHORT
     )
-    return evaluate.top_per_group(learn.importance_table(fitted), ["model"], "importance", 15, "feature")
+    importance = learn.importance_table(fitted)
+    mean = learn.mean_importance(importance).withColumn("model", F.lit("mean"))
+    return union_all([
+        evaluate.top_per_group(importance, ["model"], "importance", 15, "feature"),
+        evaluate.top_per_group(mean, ["model"], "importance", 20, "feature"),
+    ])
 
 
 @query
