@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontamination, mixing, repetition, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +31,58 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op3_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query()
+def op5_spaced_seed_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, _table(spark, folder, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("long"))))
+    return found.select(
+        "row.doc_id", (F.size("hits") > 0).alias("contaminated"), items.alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["words"])), F.lit(0)).alias("longest_overlap"))
+
+
+@_query("""
+    WITH d AS (
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+        FROM documents
+    ), s AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+    ), w AS (
+        SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS INTEGER) + 1] AS weight FROM s
+    ), o AS (
+        SELECT *, CAST(coalesce(sum(2 * source_size) OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / weight, source IS NULL, source
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS taken,
+               CAST(sum(weight) OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / weight, source IS NULL, source
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS open,
+               CAST(sum(source_size) OVER () AS DOUBLE) AS everything
+        FROM w
+    ), l AS (
+        SELECT *, (everything * CAST(1.5 AS DOUBLE) - taken) / open AS level FROM o
+    ), g AS (
+        SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE),
+                   coalesce((SELECT arg_min(level, taken) FROM l WHERE level * weight <= 2 * source_size) * weight,
+                            CAST(2 * source_size AS DOUBLE))) AS target,
+               CAST(CAST('0x' || substr(md5('42:' || coalesce('s' || source, 'n')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS start
+        FROM l
+    ), p AS (
+        SELECT d.doc_id, d.size, g.source_size, g.target, g.start,
+               CASE WHEN g.source_size > 0 THEN g.target / CAST(g.source_size AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS rate,
+               row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id NULLS FIRST) - 1 AS place
+        FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+    )
+    SELECT doc_id, size, source_size, target,
+           CAST(CASE WHEN size > 0 THEN floor((place + 1) * rate + start) - floor(place * rate + start) ELSE 0 END AS BIGINT) * size AS taken
+    FROM p
+""")
+def op6_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query()
+def op9_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return repetition.quality(docs).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "longest_repeat", "n_maximal_repeats")
