@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, repetition, simhash
+from . import decontamination, language, mixing, repetition, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,6 +80,12 @@ def op6_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query()
+def op7_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("row.doc_id", "held_out", "lang_pred", "score")
+
+
 @_query()
 def op9_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
