@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, repetition, simhash
+from ..session import shared_path
+from . import decontamination, language, mixing, repetition, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,6 +87,27 @@ def op7_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame
     return language.identify(docs).select("row.doc_id", "held_out", "lang_pred", "score")
 
 
+@_query("""
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+    ), o AS (
+        SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS place, max(page_id) OVER (PARTITION BY html) AS best
+        FROM p
+    )
+    SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+           array_to_string(flatten(list_transform(range(0, 8), lambda g: list_transform([32768, 1024, 32, 1], lambda unit:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5) AS INTEGER) // unit % 32 + 1 AS INTEGER), 1)))), '') AS payload_digest,
+           CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN place > 1 THEN best END AS refers_to
+    FROM o
+""")
+def op8_content_addressed_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "archive")
+    warc.write(_table(spark, folder, "pages"), path)
+    found = warc.describe(spark, path)
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 @_query()
 def op9_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
