@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import decontamination, language, mixing, repetition, simhash, warc
+from . import decontamination, language, mixing, repetition, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,8 @@ def op9_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality(docs).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "longest_repeat", "n_maximal_repeats")
+
+
+@_query()
+def op10_segmented_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"))
