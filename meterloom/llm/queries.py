@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import decontamination, language, mixing, repetition, simhash, urls, warc
+from . import decontamination, extraction, language, mixing, repetition, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,12 @@ def op3_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@_query()
+def op4_tag_path_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = extraction.extract(_table(spark, folder, "pages"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
 @_query()
 def op5_spaced_seed_leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
