@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import decontamination, extraction, language, mixing, repetition, simhash, urls, warc
+from . import cotraining, decontamination, extraction, language, licenses, mixing, repetition, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +28,42 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query()
+def op1_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    """The scan in SQL, with documents and known texts made canonical side by side."""
+    form = f"regexp_replace(translate(text, '{licenses._UPPER}', '{licenses._LOWER}'), {_quoted('(?m)' + licenses.COPYRIGHT_LINE)}, '', 'g')"
+    form = f"'  ' || regexp_replace({form}, '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g') || '  '"
+    form = f"replace({form}, chr(10), '  ' || chr(10) || '  ')"
+    for old, new in licenses.SPELLINGS.items():
+        form = f"replace({form}, ' {old} ', ' {new} ')"
+    known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in licenses.KNOWN.items() for text in texts)
+    joined = lambda c: f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'))"
+    return f"""
+        WITH k AS (SELECT license, {form} AS lines FROM (VALUES {known}) v(license, text)),
+        t AS (SELECT min(license) AS license, sha256({joined("lines")}) AS digest FROM k GROUP BY 2),
+        d AS (SELECT doc_id, row_number() OVER () AS n, {form} AS lines FROM documents),
+        w AS (SELECT doc_id, n, lines, CASE WHEN {joined("lines")} <> '' THEN sha256({joined("lines")}) END AS text_digest FROM d),
+        l AS (SELECT n, sha256({joined("line")}) AS digest FROM (SELECT n, unnest(string_split(lines, chr(10))) AS line FROM w)),
+        f AS (SELECT n, list_sort(list(DISTINCT license)) AS found FROM l JOIN t USING (digest) GROUP BY n)
+        SELECT doc_id, text_digest, t.license AS license, coalesce(array_to_string(found, ','), '') AS line_licenses
+        FROM w LEFT JOIN t ON t.digest = text_digest LEFT JOIN f USING (n)
+    """
+
+
+@_query(_license_sql())
+def op2_license_digests(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(_table(spark, folder, "documents"), licenses.known_digests(spark))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
 @_query()
 def op3_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
