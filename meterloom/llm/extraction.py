@@ -234,12 +234,12 @@ def extract(pages: DataFrame, text: str = "html", threshold: float = THRESHOLD)
     White space within a block is one blank. Nothing is cut off. Repeated rows are handled alike; empty tables give
     no rows.
     """
-    packed = pages.select(F.struct("*").alias("row"), F.col(text).alias("page"))
+    packed, place = pages.select(F.struct("*").alias("row")), pages.columns.index(text)
     schema = T.StructType([packed.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p.as_py(), threshold) for p in batch.column("page")]
+            texts = [main_text(p.as_py(), threshold) for p in batch.column("row").field(place)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
     return packed.mapInArrow(run, schema)
