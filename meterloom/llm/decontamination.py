@@ -160,7 +160,8 @@ def leaks(
     Each further block of the benchmark reads the documents once more and adds its hits.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
-    out = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.expr(
+    place = docs.columns.index(text)
+    out = docs.select(F.struct("*").alias("row"), F.expr(
         "cast(array() as array<struct<item_id: string, start: int, words: int, matched: int>>)").alias("hits"))
     schema, spark = out.schema, docs.sparkSession
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("words", pa.int32()), ("matched", pa.int32())]))
@@ -171,14 +172,14 @@ def leaks(
             block = sent.value
             for batch in batches:
                 hits = batch.column("hits").to_pylist()
-                for piece in pieces(pc.utf8_lower(batch.column("text"))):
+                for piece in pieces(pc.utf8_lower(batch.column("row").field(place))):
                     tokens, counts = normal_words(piece.data, piece.offsets)
                     for row, item, start, n, equal in block.overlaps(tokens, counts, least_words, similarity):
                         hits[piece.start + row].append({"item_id": block.items[item], "start": start, "words": n, "matched": equal})
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(hits, kind)], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(hits, kind)], schema.names)
 
         out = (cut_lineage(out) if n else out).mapInArrow(scan, schema)
-    return out.drop("text")
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .text import mixed
+from .text import mixed, pieces
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -29,8 +29,7 @@ SEED = 42
 UNDETERMINED = "und"
 #: Languages that are learned at most: their profiles are sent to all tasks (8 KB each).
 MOST_LANGUAGES = 4096
-#: Code points of a piece, and distinct n-grams turned into vectors at once.
-PIECE = 1 << 20
+#: Distinct n-grams turned into vectors at once.
 GRAMS = 2048
 
 _BITS = 21  # of a code point
@@ -93,18 +92,10 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray,
     return pairs // max(1, len(different)), different[pairs % max(1, len(different))] if len(different) else packed, counts
 
 
-def _pieces(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of at most ``most`` code points or one text, and where they begin."""
-    begin, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        text = text or ""
-        if held and size + len(text) > most:
-            yield begin, held
-            begin, held, size = i, [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield begin, held
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Some texts of a batch at once, and where they begin; null counts as empty."""
+    for piece in pieces(texts):
+        yield piece.start, [t or "" for t in texts.slice(piece.start, piece.stop - piece.start).to_pylist()]
 
 
 def bundles(texts: list[str], order: int = ORDER, dimensions: int = DIMENSIONS, seed: int = SEED, block: int = 256) -> np.ndarray:
@@ -139,7 +130,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", order: in
         for batch in batches:
             encoded = batch.column("lang").dictionary_encode()
             langs, names = encoded.indices.to_numpy(), encoded.dictionary
-            for begin, texts in _pieces(batch.column("text").to_pylist()):
+            for begin, texts in _pieces(batch.column("text")):
                 row, gram, n = grams(texts, order)
                 key = langs[begin + row].astype(np.int64)
                 together = np.lexsort((gram, key))
@@ -193,14 +184,14 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, text: str = "
     Null and letterless texts are ``und`` with score zero, and so is every text where nothing was learned. Equal
     cosines go to the first name. Whole texts count; repeated rows are answered alike.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    packed, place = docs.select(F.struct("*").alias("row")), docs.columns.index(text)
     schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     profiles = matrix.astype(np.float32)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            for begin, texts in _pieces(batch.column("text").to_pylist()):
+            for begin, texts in _pieces(batch.column("row").field(place)):
                 bundle = bundles(texts, order, dimensions, seed)
                 size = np.linalg.norm(bundle, axis=1)
                 full = np.flatnonzero(size > 0)

@@ -7,17 +7,14 @@ taken follow the target closely, since neighbours are nearly interchangeable.
 
 The running sum is a position times a constant, so only positions are needed. They are found without a window
 over a source: rows are range-partitioned by (source, size, hash), which cuts a hot source into many parts, each
-part numbers its own rows as it streams through, and the small table of rows per part and source gives every part
-the number at which it begins.
+part numbers its own rows, and the small table of rows per part and source gives every part the number at which
+it begins. Texts never leave the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,23 +62,6 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: i
     return table.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows of each source within a sorted partition, from zero."""
-    last, seen = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        source = pc.fill_null(pc.binary_join_element_wise("s", batch.column("source"), ""), "n")
-        new = pc.not_equal(source[1:], source[:-1]).to_numpy(zero_copy_only=False)
-        heads = np.r_[0, np.flatnonzero(new) + 1]
-        if source[0].as_py() != last:
-            seen = 0
-        place = np.arange(batch.num_rows) - np.repeat(heads, np.diff(np.r_[heads, batch.num_rows]))
-        place[: heads[1] if len(heads) > 1 else None] += seen
-        last, seen = source[-1].as_py(), int(place[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], [*batch.schema.names, "place"])
-
-
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS,
     share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES, seed: int = SEED, carry: bool = False,
@@ -102,19 +82,20 @@ def mix(
     named = named.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     order = ["source", "size", "turn", "doc_id", "mark"]
     placed = named.repartitionByRange(*order).sortWithinPartitions(*order).drop("turn", "mark")
-    placed = placed.withColumn("part", F.spark_partition_id())
-    schema = placed.withColumn("place", F.lit(0).cast("long")).schema
-    stored = cut_lineage(placed.mapInArrow(_number, schema))
-    parts = stored.groupBy("source", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
+    # The id counts the rows of a sorted part in its lower 33 bits and the parts in those above.
+    numbered = placed.withColumn("id", F.monotonically_increasing_id())
+    part, index = F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("index")
+    stored = cut_lineage(numbered).select("*", part, index)
+    parts = stored.groupBy("source", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("words"), F.min("index").alias("first"))
     parts = cut_lineage(parts.withColumn("before", F.coalesce(
         F.sum("rows").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     goals = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share_percent, most_copies)
     goals = goals.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goals = goals.withColumn("offset", offset_of(F.col("source"), seed))
     begin = parts.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("p.source").alias("of"), F.col("part").alias("in"), "before", "source_size", "target", "rate", "offset")
+        F.col("p.source").alias("of"), F.col("part").alias("in"), (F.col("before") - F.col("first")).alias("shift"), "source_size", "target", "rate", "offset")
     joined = stored.join(cut_lineage(begin), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
-    position = F.col("before") + F.col("place")
+    position = F.col("shift") + F.col("index")
     crossed = F.floor((position + 1) * F.col("rate") + F.col("offset")) - F.floor(position * F.col("rate") + F.col("offset"))
     return joined.withColumn("copies", F.when(F.col("size") > 0, crossed).otherwise(0).cast("long")).select(
         "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),

@@ -169,15 +169,16 @@ def quality(
     repeat longer than ``most_repeat`` words. Null and empty texts have no words, so they fail. Repeated rows are
     judged alike; empty tables give no rows.
     """
-    schema = T.StructType([T.StructField("row", docs.select(F.struct("*").alias("row")).schema["row"].dataType), *_MEASURES.fields])
+    packed, place = docs.select(F.struct("*").alias("row")), docs.columns.index(text)
+    schema = T.StructType([packed.schema["row"], *_MEASURES.fields])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = measure(batch.column("text"), least_repeat)
+            found = measure(batch.column("row").field(place), least_repeat)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(v.astype(np.int64)) for v in found.values())], schema.names)
 
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_covered * F.col("n_words"))
-    measured = docs.select(F.struct("*").alias("row"), F.col(text).alias("text")).mapInArrow(add, schema)
+    measured = packed.mapInArrow(add, schema)
     return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("longest_repeat") <= most_repeat))
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 #: ASCII white space, the only characters that separate words.
 SPACE = np.zeros(256, bool)
