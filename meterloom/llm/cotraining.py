@@ -98,7 +98,8 @@ def features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, metadat
     described = given.mapInArrow(describe, f"doc_id {kind}, meta array<bigint>, words binary, shapes binary")
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int")
-    return cut_lineage(described.join(known, "doc_id", "left").withColumn("fold", fold).select(*_FEATURES.split(", ")))
+    # Labels grow with the documents, so the join is the same shuffle at every size.
+    return cut_lineage(described.join(known.hint("shuffle_merge"), "doc_id", "left").withColumn("fold", fold).select(*_FEATURES.split(", ")))
 
 
 @dataclass
