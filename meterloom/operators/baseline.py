@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.operators.series import Keys, attach
+from meterloom.operators.series import Keys, attach, join_series
 
 
 def last_value(train: DataFrame, target: str, keys: Keys = ()) -> DataFrame:
@@ -20,7 +20,7 @@ def _looked_up(test: DataFrame, train: DataFrame, target: str, keys: Keys, when:
     past = train.where(F.col(target).isNotNull()).select(
         *keys, F.col("date").alias("_day"), F.col(target).alias(name)
     )
-    return test.withColumn("_day", when).join(past, [*keys, "_day"], "left").drop("_day")
+    return join_series(test.withColumn("_day", when), past, keys, ["_day"]).drop("_day")
 
 
 def _forecasts(

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from meterloom.functions.clock import add_calendar, expected_periods
 from meterloom.functions.names import PREFERRED_TARGETS, daily_mean_columns
 from meterloom.operators.quality import STAMP
-from meterloom.operators.series import Keys, attach, by_series
+from meterloom.operators.series import Keys, attach, by_series, join_series
 from meterloom.sources.tables import require_columns
 
+# Leading columns of a daily table in their order.
 LEADING = [
     "date", "year", "month", "day", "day_of_week", "week_of_year", "quarter", "is_weekend",
     "settlement_period_count", "expected_settlement_period_count", "coverage_ratio",
@@ -22,11 +23,15 @@ def exact_mean(value: Column, decimals: int) -> Column:
     """Mean of a measurement with a fixed number of decimals, summed as whole units.
 
     Whole-number sums do not depend on the order of rows, so thresholds and values computed in
-    different tasks, or again after an executor is lost, agree to the last bit.
+    different tasks, or again after an executor is lost, agree to the last bit. A value with more
+    decimals ends the job instead of losing them.
     """
     scale = float(10**decimals)
-    units = F.round(value * scale).cast("long")
-    return F.sum(units).cast("double") / F.lit(scale) / F.count(value)
+    units = F.round(value * scale)
+    whole = F.when(F.abs(value * scale - units) <= 1e-6 * F.greatest(F.abs(units), F.lit(1.0)), units)
+    lost = F.raise_error(F.lit(f"a value has more than {decimals} decimals")).cast("double")
+    checked = F.when(value.isNotNull(), F.coalesce(whole, lost)).cast("decimal(38,0)")
+    return F.sum(checked).cast("double") / F.lit(scale) / F.count(value)
 
 
 def daily_rollup(
@@ -75,19 +80,20 @@ def densify(df: DataFrame, keys: Keys = (), date: str = "date") -> DataFrame:
     calendar = ends.select(
         *keys, F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias(date)
     )
-    return calendar.join(df, [*keys, date], "left")
+    return join_series(calendar, df, keys, [date])
 
 
 def fill_gaps(df: DataFrame, columns: list[str], keys: Keys = (), order: str = "date") -> DataFrame:
-    """Fill forward, then backward, then with zero."""
-    line = by_series(keys, order)
-    past = line.rowsBetween(Window.unboundedPreceding, 0)
-    future = line.rowsBetween(0, Window.unboundedFollowing)
+    """Fill forward, then backward, then with zero.
+
+    The next known value is the last one along the reversed order, so both directions are running frames
+    that cost one step per row.
+    """
+    forward = by_series(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda c, line: F.last(c, ignorenulls=True).over(line)
     return df.withColumns({
-        c: F.coalesce(
-            F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(future), F.lit(0.0)
-        )
-        for c in columns
+        c: F.coalesce(known(c, forward), known(c, backward), F.lit(0.0)) for c in columns
     })
 
 
@@ -96,7 +102,7 @@ def align_to_calendar(
 ) -> DataFrame:
     """Bring outside influences onto the days of the target, gaps filled."""
     numeric = exogenous.select(*keys, "date", *[F.col(c).try_cast("double").alias(c) for c in columns])
-    return fill_gaps(target.join(numeric, [*keys, "date"], "left"), columns, keys)
+    return fill_gaps(join_series(target, numeric, keys, ["date"]), columns, keys)
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:

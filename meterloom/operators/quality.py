@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from meterloom.functions.clock import parse_stamp, settlement_stamp
 from meterloom.functions.names import CLOCK_COLUMNS
 from meterloom.operators.quantiles import exact_quantiles, union_all
-from meterloom.operators.series import Keys, attach, numbered
+from meterloom.operators.series import Keys, attach, join_series, numbered
 from meterloom.session import cut_lineage
 from meterloom.sources.tables import require_columns, required
 
@@ -25,16 +25,17 @@ def add_stamp(
 ) -> DataFrame:
     """Add the period start. Source columns stay as they are."""
     require_columns(df, date, period)
-    return df.withColumn(out, settlement_stamp(F.col(date), F.col(period), minutes))
+    return df.withColumn(out, settlement_stamp(F.col(date), F.col(period), minutes, df.schema[date].dataType))
 
 
 def ensure_stamp(df: DataFrame, stamp: str = STAMP, minutes: int = 30) -> DataFrame:
     """Keep timestamps that parse, rebuild the rest from date and period, fail if one stays null."""
     if stamp not in df.columns:
         return add_stamp(df, out=stamp, minutes=minutes)
-    value = parse_stamp(F.col(stamp))
+    value = parse_stamp(F.col(stamp), df.schema[stamp].dataType)
     if {"settlement_date", "settlement_period"} <= set(df.columns):
-        rebuilt = settlement_stamp(F.col("settlement_date"), F.col("settlement_period"), minutes)
+        kind = df.schema["settlement_date"].dataType
+        rebuilt = settlement_stamp(F.col("settlement_date"), F.col("settlement_period"), minutes, kind)
         value = F.coalesce(value, rebuilt)
     return df.withColumn(stamp, required(value, f"{stamp} holds values that cannot be parsed"))
 
@@ -104,74 +105,83 @@ def timestamp_gaps(df: DataFrame, stamp: str = STAMP, keys: Keys = ()) -> DataFr
     The expected grid is generated day by day, so no task expands the whole range.
     """
     seen = distinct_stamps(df, stamp, keys)
-    steps = step_summary(seen, stamp, keys, distinct=True).select(*keys, "most_common_seconds")
+    steps = _step_counts(seen, stamp, keys, True).groupBy(*keys).agg(_commonest().alias("_step"))
     ends = seen.groupBy(*keys).agg(F.min(stamp).alias("_first"), F.max(stamp).alias("_last"))
     days = attach(ends, steps, keys).withColumn("_day", F.explode(F.sequence(
         F.to_date("_first"), F.to_date("_last"), F.expr("interval 1 day")
     )))
     # index of the first grid point at or after midnight, and of the last one before the next midnight
-    second = F.expr("timestampdiff(SECOND, _first, cast(_day as timestamp_ntz))")
-    step = F.nullif(F.col("most_common_seconds"), F.lit(0))
-    low = F.greatest(F.ceil(second / step), F.lit(0))
-    high = F.least(
-        F.ceil((second + 86400) / step) - 1,
-        F.floor(F.expr("timestampdiff(SECOND, _first, _last)") / step),
-    )
+    day = F.expr("timestampdiff(MICROSECOND, _first, cast(_day as timestamp_ntz))")
+    span = F.expr("timestampdiff(MICROSECOND, _first, _last)")
+    before = lambda micros: F.expr(f"({micros}) div _step")
     grid = (
-        days.withColumns({"_low": low.cast("long"), "_high": high.cast("long")})
-        .where("_low <= _high")
+        days.withColumns({"_start": day, "_span": span, "_step": F.nullif(F.col("_step"), F.lit(0))})
+        .withColumns({
+            "_low": F.greatest(before("_start + _step - 1"), F.lit(0)),
+            "_high": F.least(before("_start + 86400000000 - 1"), before("_span")),
+        })
+        .where("_low <= _high and _start + 86400000000 > 0")
         .withColumn("_i", F.explode(F.sequence("_low", "_high")))
-        .select(*keys, F.expr("timestampadd(SECOND, _i * most_common_seconds, _first)").alias(stamp))
+        .select(*keys, F.expr("timestampadd(MICROSECOND, _i * _step, _first)").alias(stamp))
     )
-    return grid.join(seen, [*keys, stamp], "left_anti")
+    return join_series(grid, seen, keys, [stamp], "left_anti")
 
 
 def step_differences(
     df: DataFrame, stamp: str = STAMP, keys: Keys = (), distinct: bool = False
 ) -> DataFrame:
-    """Whole seconds between consecutive distinct timestamps (``distinct``: the rows are so already).
+    """Microseconds between consecutive distinct timestamps (``distinct``: the rows are so already).
 
-    Differences are taken inside a day; the first timestamp of a day looks up the last one of the
-    preceding day that has any.
+    Differences are taken inside a minute; the first timestamp of a minute looks up the last one of the
+    preceding minute that has any. So a task holds the stamps of one minute, or one row per minute of a series.
     """
-    seen = (df if distinct else distinct_stamps(df, stamp, keys)).withColumn("_day", F.to_date(stamp))
-    per_day = seen.groupBy(*keys, "_day").agg(F.max(stamp).alias("_day_last"))
-    carried = per_day.select(*keys, "_day", F.lag("_day_last").over(
-        Window.partitionBy(*keys).orderBy("_day")).alias("_carried"))
-    inside = F.lag(stamp).over(Window.partitionBy(*keys, "_day").orderBy(stamp))
+    seen = (df if distinct else distinct_stamps(df, stamp, keys)).withColumn("_part", F.date_trunc("minute", stamp))
+    per_part = seen.groupBy(*keys, "_part").agg(F.max(stamp).alias("_part_last"))
+    carried = per_part.select(*keys, "_part", F.lag("_part_last").over(
+        Window.partitionBy(*keys).orderBy("_part")).alias("_carried"))
+    inside = F.lag(stamp).over(Window.partitionBy(*keys, "_part").orderBy(stamp))
     return (
-        seen.withColumn("_previous", inside)
-        .join(carried, [*keys, "_day"])
+        join_series(seen.withColumn("_previous", inside), carried, keys, ["_part"], "inner")
         .withColumn("_previous", F.coalesce("_previous", "_carried"))
         .where("_previous is not null")
-        .select(*keys, stamp, F.expr(f"timestampdiff(SECOND, _previous, `{stamp}`)").alias("step_seconds"))
+        .select(*keys, stamp, F.expr(f"timestampdiff(MICROSECOND, _previous, `{stamp}`)").alias("step_micros"))
+    )
+
+
+def _step_counts(df: DataFrame, stamp: str, keys: Keys, distinct: bool) -> DataFrame:
+    return step_differences(df, stamp, keys, distinct).groupBy(*keys, "step_micros").agg(
+        F.count(F.lit(1)).alias("_times")
     )
 
 
+def _commonest() -> Column:
+    return F.max_by("step_micros", F.struct(F.col("_times"), -F.col("step_micros")))
+
+
 def step_summary(
     df: DataFrame, stamp: str = STAMP, keys: Keys = (), distinct: bool = False
 ) -> DataFrame:
     """Commonest (smallest on ties), smallest and largest interval, and a label when it never varies."""
-    tallied = step_differences(df, stamp, keys, distinct).groupBy(*keys, "step_seconds").agg(
-        F.count(F.lit(1)).alias("_times")
-    )
-    summary = tallied.groupBy(*keys).agg(
-        F.max_by("step_seconds", F.struct(F.col("_times"), -F.col("step_seconds"))).alias("most_common_seconds"),
-        F.min("step_seconds").alias("minimum_seconds"),
-        F.max("step_seconds").alias("maximum_seconds"),
+    micros = _step_counts(df, stamp, keys, distinct).groupBy(*keys).agg(
+        _commonest().alias("_common"), F.min("step_micros").alias("_low"), F.max("step_micros").alias("_high")
     )
-    regular = F.col("minimum_seconds") == F.col("maximum_seconds")
-    return summary.withColumn(
-        "frequency", F.when(regular, F.concat(F.col("most_common_seconds").cast("string"), F.lit(" s")))
+    seconds = lambda c: F.col(c) / F.lit(1e6)
+    exact = F.regexp_replace((F.col("_common") / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(30,6)").cast("string"), r"\.?0+$", "")
+    whole = F.when(F.col("_common") % 1_000_000 == 0, F.expr("_common div 1000000").cast("string")).otherwise(exact)
+    return micros.select(
+        *keys, seconds("_common").alias("most_common_seconds"), seconds("_low").alias("minimum_seconds"),
+        seconds("_high").alias("maximum_seconds"),
+        F.when(F.col("_low") == F.col("_high"), F.concat(whole, F.lit(" s"))).alias("frequency"),
     )
 
 
 def detect_datetime_columns(
-    df: DataFrame, sample_size: int = 1000, share: float = 0.8, known: str = STAMP
+    df: DataFrame, sample_size: int = 1000, share: float = 0.8, known: str = STAMP, ordinal: str | None = None
 ) -> list[str]:
     """Columns that are dates already, or text of which most of a small sample parses as one.
 
-    A known stamp column comes first. The sample is part of the rule, not a shortcut.
+    A known stamp column comes first. The sample, the first known values in the order of ``ordinal``, is part
+    of the rule, not a shortcut.
     """
     found = [known] if known in df.columns else []
     for field in df.schema:
@@ -181,7 +191,8 @@ def detect_datetime_columns(
             found.append(field.name)
         elif isinstance(field.dataType, T.StringType):
             c = F.col(field.name)
-            sample = df.select(c).where(c.isNotNull()).limit(sample_size)
+            rows = df.where(c.isNotNull())
+            sample = (rows.orderBy(ordinal) if ordinal else rows).select(c).limit(sample_size)
             parsed = sample.agg(F.avg(parse_stamp(c).isNotNull().cast("int")).alias("s")).first()
             if parsed.s is not None and parsed.s >= share:
                 found.append(field.name)

@@ -8,6 +8,7 @@ there. Sub-daily and raw tables have no such bound: they are numbered and window
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ def by_series(keys: Keys, order: str | Sequence[str] = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def join_series(left: DataFrame, right: DataFrame, keys: Keys, others: Sequence[str] = (), how: str = "left") -> DataFrame:
+    """Equi-join in which a null key is a series like any other; ``others`` are plain join columns.
+
+    Null-safe equality is still a hash or sort key for the optimiser. Columns come in the order of ``left``.
+    """
+    on = [*keys, *others]
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    equal = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) if c in keys else F.col(c) == F.col(f"_right_{c}") for c in on]
+    joined = left.join(renamed, reduce(Column.__and__, equal), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{c}" for c in on])
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Keys) -> DataFrame:
     """Add one-row-per-series statistics to every row of the series.
 
@@ -29,7 +42,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: Keys) -> DataFrame:
     """
     values = [c for c in stats.columns if c not in keys]
     if keys:
-        return df.join(stats, list(keys), "left")
+        return join_series(df, stats, keys)
     packed = stats.select(F.struct(*values)).scalar()
     return (
         df.withColumn("_stats", packed)
@@ -61,10 +74,8 @@ def numbered(
         F.sum("_rows").over(whole).alias("_total"),
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    out = (
-        bucketed.withColumn("_local", local)
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(position, F.col("_before") + F.col("_local"))
+    out = join_series(bucketed.withColumn("_local", local), offsets, [*keys, "_bucket"], how="inner").withColumn(
+        position, F.col("_before") + F.col("_local")
     )
     if total:
         out = out.withColumn(total, F.col("_total"))
