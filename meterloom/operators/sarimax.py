@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meterloom.operators.daily import align_to_calendar, densify, standardise
 from meterloom.operators.regression import least_squares, linear_value
-from meterloom.operators.series import Keys, attach, by_series
+from meterloom.operators.series import Keys, attach, by_series, join_series
 from meterloom.session import cut_lineage
 
 # Season length; the lags of the expanded (1,1,1)(1,1,1) polynomials.
@@ -26,6 +26,9 @@ LONG_LAGS = 21
 STATE_DAYS = 60
 LARGEST_ROOT = 0.98
 
+# Own choice: how a forecast came about, told on every row.
+FITTED, SHRUNK, DIFFERENCES, LAST = "fitted", "fitted, lag weights shrunk", "seasonal differences only", "last value"
+
 
 def differenced(value: Column, line) -> Column:
     """First difference of the seasonal difference."""
@@ -69,7 +72,9 @@ def sarima(
 ) -> DataFrame:
     """Forecast every test day from the last training days of its series.
 
-    Steps count known days, so a missing day is no step, neither in training nor ahead.
+    Steps count known days, so a missing day is no step, neither in training nor ahead. ``sarima_status`` says how:
+    fitted; fitted with lag weights shrunk because their recursion would not die out; seasonal differences only,
+    where a series has fewer rows than weights; or the last value, where it is shorter than a season.
     """
     keys = list(keys)
     model, days = estimate(train, target, keys)
@@ -84,12 +89,14 @@ def sarima(
     def forecast(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("date")
         past, future = group[~group["_test"]], group[group["_test"]]
-        out = future.assign(actual=future["_y"], forecast=np.nan)
+        out = future.assign(actual=future["_y"], forecast=np.nan, status=LAST)
         known = past["_y"].to_numpy(float)
         if len(future) and known.size > SEASON:
             weights = group["coefficients"].iloc[0]
-            weights = np.zeros(2 * len(TERMS)) if weights is None else np.nan_to_num(weights)
+            fitted = weights is not None
+            weights = np.nan_to_num(weights) if fitted else np.zeros(2 * len(TERMS))
             ar, ma = steadied(weights[:3]), weights[3:]
+            out["status"] = DIFFERENCES if not fitted else FITTED if np.array_equal(ar, weights[:3]) else SHRUNK
             y = list(known)
             w = [0.0] * max(TERMS) + list(past["_w"].fillna(0.0))
             e = [0.0] * max(TERMS) + list(past["_e"].fillna(0.0))
@@ -101,11 +108,12 @@ def sarima(
             out["forecast"] = y[known.size:]
         elif len(future) and known.size:
             out["forecast"] = known[-1]
-        return out[[*keys, "date", "actual", "forecast"]]
+        return out[[*keys, "date", "actual", "forecast", "status"]]
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "date date, actual double, forecast double"])
-    return ready.groupBy(*keys).applyInPandas(forecast, schema).withColumnRenamed("forecast", name)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "date date, actual double, forecast double, status string"])
+    made = ready.groupBy(*keys).applyInPandas(forecast, schema)
+    return made.withColumnsRenamed({"forecast": name, "status": "sarima_status"})
 
 
 def sarimax(
@@ -114,7 +122,7 @@ def sarimax(
     """The same model on what outside influences leave unexplained; without regressors it is plain SARIMA.
 
     Regressors are aligned to the calendar, gap-filled and scaled by training statistics. Their weights
-    come from the equally differenced regression.
+    come from the equally differenced regression; a series with fewer rows than regressors goes without.
     """
     if not regressors:
         return sarima(train, test, target, keys, "sarimax_forecast")
@@ -136,7 +144,7 @@ def sarimax(
     weights = least_squares(moves, "_d__y", [f"_d_{c}" for c in regressors], keys)
     explained = cut_lineage(
         attach(scaled, weights, keys)
-        .withColumn("_part", linear_value(regressors))
+        .withColumn("_part", F.coalesce(linear_value(regressors), F.lit(0.0)))
         .withColumn("_rest", F.col("_y") - F.col("_part"))
         .select(*keys, "date", "_past", "_part", "_rest", "_y")
     )
@@ -144,6 +152,7 @@ def sarimax(
         explained.where("_past"), explained.where(~F.col("_past")),
         "_rest", keys, "_rest_forecast",
     )
-    return rest.select(*keys, "date", "_rest_forecast").join(
-        explained.select(*keys, "date", "_part", F.col("_y").alias("actual")), [*keys, "date"]
-    ).select(*keys, "date", "actual", (F.col("_rest_forecast") + F.col("_part")).alias("sarimax_forecast"))
+    parts = explained.select(*keys, "date", "_part", F.col("_y").alias("actual"))
+    return join_series(rest.select(*keys, "date", "_rest_forecast", "sarima_status"), parts, keys, ["date"], "inner").select(
+        *keys, "date", "actual", (F.col("_rest_forecast") + F.col("_part")).alias("sarimax_forecast"), "sarima_status"
+    )

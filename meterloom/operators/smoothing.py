@@ -13,9 +13,13 @@ from meterloom.operators.series import Keys
 # Season length and the shortest series for a seasonal fit.
 SEASON = 365
 SEASONAL_ROWS = 730
+
+# Own choice: the shortest series for a trend, whose start compares two stretches of this many days.
 TREND_ROWS = 10
+# Own choice: names of the forms, richest first; every forecast tells which one it comes from.
+FORMS = ["trend and season", "trend", "level", "last value"]
 
-# Own choice: the parameter grid. One level weight is one task per series.
+# Own choice: the parameter grid.
 LEVEL_WEIGHTS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 TREND_WEIGHTS = (0.001, 0.01, 0.1)
 SEASON_WEIGHTS = (0.02, 0.1, 0.3)
@@ -73,40 +77,39 @@ def holt_winters(
 ) -> DataFrame:
     """Forecast each test day from a series' training days; forms that fail give way to simpler ones.
 
-    Each level weight of each series is a task of its own over one row per calendar day; the smallest
-    error picks the forecast.
+    One series is a group of one row per calendar day; level weights are tried in turn and the smallest error
+    picks the forecast. ``holt_winters_form`` names the form: trend and season from two years on, a trend
+    from ten days on, else the level; the last value where no form gives numbers.
     """
     keys = list(keys)
     dense = densify(train.select(*keys, "date", F.col(target).cast("double").alias("_y")), keys)
     days = test.select(*keys, "date", F.col(target).cast("double").alias("_y"))
     rows = dense.withColumn("_test", F.lit(False)).unionByName(days.withColumn("_test", F.lit(True)))
-    tried = rows.withColumn("_alpha", F.explode(F.array(*map(F.lit, LEVEL_WEIGHTS))))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("date")
         past, ahead = group[~group["_test"]], group[group["_test"]]
         y = past["_y"].to_numpy(float)
-        out = ahead.assign(actual=ahead["_y"], sse=np.inf, form=9, forecast=np.nan)
+        out = ahead.assign(actual=ahead["_y"], holt_winters_forecast=np.nan, holt_winters_form=FORMS[-1])
         if len(ahead) and np.isfinite(y).any():
-            out["forecast"] = y[np.isfinite(y)][-1]
+            out["holt_winters_forecast"] = y[np.isfinite(y)][-1]
             steps = pd.to_datetime(ahead["date"]) - pd.to_datetime(past["date"].iloc[-1])
             index = steps.dt.days.to_numpy() - 1
-            for place, (trend, season) in enumerate(attempts(len(y))):
-                error, values = smooth(y, int(index.max()) + 1, float(group["_alpha"].iloc[0]), trend, season)
-                if np.isfinite(error) and np.isfinite(values).all():
-                    out = out.assign(sse=error, form=place, forecast=values[index])
+            for trend, season in attempts(len(y)):
+                tried = [smooth(y, int(index.max()) + 1, weight, trend, season) for weight in LEVEL_WEIGHTS]
+                usable = [(error, place) for place, (error, values) in enumerate(tried) if np.isfinite(error) and np.isfinite(values).all()]
+                if usable:
+                    form = FORMS[0 if season else 1 if trend else 2]
+                    out = out.assign(holt_winters_forecast=tried[min(usable)[1]][1][index], holt_winters_form=form)
                     break
-        return out[[*keys, "date", "actual", "_alpha", "form", "sse", "forecast"]]
+        return out[[*keys, "date", "actual", "holt_winters_forecast", "holt_winters_form"]]
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([
         *[f"{k} {types[k]}" for k in keys],
-        "date date, actual double, _alpha double, form int, sse double, forecast double",
+        "date date, actual double, holt_winters_forecast double, holt_winters_form string",
     ])
-    return tried.groupBy(*keys, "_alpha").applyInPandas(fit, schema).groupBy(*keys, "date").agg(
-        F.first("actual").alias("actual"),
-        F.min_by("forecast", F.struct("form", "sse", "_alpha")).alias("holt_winters_forecast"),
-    )
+    return rows.groupBy(*keys).applyInPandas(fit, schema)
 
 
 def level_smoothing(train: DataFrame, target: str, weight: float, keys: Keys = ()) -> DataFrame:

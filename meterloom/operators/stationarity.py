@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.operators.profile import latest_rolling, positioned, rolling_statistics
-from meterloom.operators.regression import products, solve, square
-from meterloom.operators.series import Keys, attach, own_rows, split_window, with_halo
+from meterloom.operators.regression import added_products, solve, square
+from meterloom.operators.series import Keys, attach, join_series, with_halo
 from meterloom.session import cut_lineage
 
 # Published critical values of the constant-only test, as polynomials in 1/n.
@@ -39,12 +39,16 @@ def _regression(m: np.ndarray, lags: int) -> tuple[float, float, np.ndarray]:
     return rest, float(weights[1]), solve(inputs, unit)
 
 
-def dickey_fuller(df: DataFrame, stamp: str, value: str, keys: Keys = (), block: int = 4096) -> DataFrame:
+def dickey_fuller(
+    df: DataFrame, stamp: str, value: str, keys: Keys = (), block: int = 4096, lag: int | None = None
+) -> DataFrame:
     """Statistic, chosen lag, rows used, AIC and whether each critical value is passed, per series.
 
     Lags are compared on the rows that all of them can use; the test then runs once more on the rows the
-    chosen lag can use (lags beyond it take no part). Long series are windowed in blocks and summed by partial aggregation. Series below
-    20 rows give no result. A level offset is removed first, which the constant absorbs.
+    chosen lag can use. A series is cut into blocks of ``block`` rows with the few earlier rows that lags reach
+    for; each block forms its own lagged products, and only those are added up, so no table of lagged columns
+    is ever stored or shuffled. Series below 20 rows give no result. A level offset is removed first, which
+    the constant absorbs. With ``lag`` that one is used, as far as the rows allow it, and none is chosen.
     """
     keys = list(keys)
     known = df.where(F.col(value).isNotNull()).select(*keys, stamp, F.col(value).cast("double").alias("_raw"))
@@ -53,24 +57,34 @@ def dickey_fuller(df: DataFrame, stamp: str, value: str, keys: Keys = (), block:
     # one whole number reaches the driver: the length that sizes the widest regression
     top = usable.agg(F.max("_size").alias("n")).first().n
     widest = longest_lag(top) if top else 1
-    rows = positioned(known.join(usable, keys) if keys else attach(known, usable, keys), stamp, keys)
+    rows = positioned(join_series(known, usable, keys, how="inner") if keys else attach(known, usable, keys), stamp, keys)
     rows = rows.where(F.col("_size") >= FEWEST_ROWS).withColumn("_y", F.col("_raw") - F.col("_mean"))
     limit = F.least(
         F.floor(F.col("_size") / 2) - 2, F.ceil(12 * F.pow(F.col("_size") / 100, F.lit(0.25)))
     ).cast("int")
-    line = split_window(keys)
+    if lag is not None:
+        limit, widest = F.least(limit, F.lit(lag)), min(widest, lag)
     split = with_halo(rows, "_pos", max(block, widest + 2), widest + 1)
-    moved = split.withColumns({"_before": F.lag("_y", 1).over(line), "_limit": limit})
-    moved = moved.withColumn("_move", F.col("_y") - F.col("_before"))
-    lags = [f"_m{k}" for k in range(1, widest + 1)]
-    wide = cut_lineage(own_rows(moved.withColumns({
-        name: F.lag("_move", k).over(line) for k, name in enumerate(lags, 1)
-    })).where("_pos > 0").withColumn("_one", F.lit(1.0)).select(
-        *keys, (F.col("_limit") + 3).alias("_leading"), "_move", "_one", "_before", *lags
-    ))
-    columns = ["_move", "_one", "_before", *lags]
-
-    size = len(columns)
+    blocks = cut_lineage(split.select(*keys, "_block", "_own", "_pos", "_y", limit.alias("_lags")))
+    size = widest + 3
+    upper = np.triu_indices(size)
+
+    def lagged(group: pd.DataFrame) -> pd.DataFrame:
+        """Products of move, constant, level before and earlier moves over the block's own usable rows."""
+        group = group.sort_values("_pos")
+        y, lags = group["_y"].to_numpy(float), int(group["_lags"].iloc[0])
+        move = np.diff(y)
+        at = np.flatnonzero(group["_own"].to_numpy(bool))
+        at = at[at >= lags + 1]
+        x = np.zeros((len(at), size))
+        x[:, 0], x[:, 1], x[:, 2] = move[at - 1], 1.0, y[at - 1]
+        for k in range(1, lags + 1):
+            x[:, 2 + k] = move[at - 1 - k]
+        first = {k: [group[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**first, "_rows": [len(at)], "_sums": [(x.T @ x)[upper]]})
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema if f.name in keys], "_rows long, _sums array<double>"])
+    summed = lambda part: added_products(part.groupBy(*keys, "_block").applyInPandas(lagged, schema), keys)
 
     @F.pandas_udf("lag int, aic double")
     def choose(n: pd.Series, most: pd.Series, sums: pd.Series) -> pd.DataFrame:
@@ -78,10 +92,10 @@ def dickey_fuller(df: DataFrame, stamp: str, value: str, keys: Keys = (), block:
         for count, limit_, values in zip(n, most, sums):
             m = square(np.asarray(values, float), size)
             scores = []
-            for lag in range(int(limit_) + 1):
-                rest, _, _ = _regression(m, lag)
+            for tried in range(int(limit_) + 1) if lag is None else [int(limit_)]:
+                rest, _, _ = _regression(m, tried)
                 fit = -count / 2 * (math.log(2 * math.pi) + math.log(max(rest, 1e-300) / count) + 1)
-                scores.append((-2 * fit + 2 * (lag + 2), lag))
+                scores.append((-2 * fit + 2 * (tried + 2), tried))
             best = min(scores)
             found.append((best[1], best[0]))
         return pd.DataFrame(found, columns=["lag", "aic"])
@@ -95,14 +109,14 @@ def dickey_fuller(df: DataFrame, stamp: str, value: str, keys: Keys = (), block:
 
         return pd.Series([one(*row) for row in zip(n, lag, sums)])
 
-    limits = wide.groupBy(*keys).agg((F.max("_leading") - 3).alias("_most"))
+    limits = blocks.groupBy(*keys).agg(F.max("_lags").alias("_most"))
     chosen = cut_lineage(
-        attach(products(wide, columns, keys, "_leading"), limits, keys)
+        attach(summed(blocks), limits, keys)
         .withColumn("_c", choose("_n", "_most", "_products"))
         .select(*keys, F.col("_c.lag").alias("adf_used_lag"), F.col("_c.aic").alias("adf_icbest"))
     )
-    narrowed = attach(wide.drop("_leading"), chosen, keys).withColumn("_leading", F.col("adf_used_lag") + 3)
-    tested = attach(products(narrowed, columns, keys, "_leading"), chosen, keys).select(
+    narrowed = attach(blocks.drop("_lags"), chosen.select(*keys, F.col("adf_used_lag").alias("_lags")), keys)
+    tested = attach(summed(narrowed), chosen, keys).select(
         *keys, statistic("_n", "adf_used_lag", "_products").alias("adf_statistic"),
         "adf_used_lag", F.col("_n").alias("adf_n_obs"), "adf_icbest",
     )
