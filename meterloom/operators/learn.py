@@ -12,25 +12,61 @@ from pyspark.sql import functions as F
 from meterloom.operators import evaluate, features
 from meterloom.operators.daily import coerce_numeric, time_split
 from meterloom.operators.regression import coefficient_table, predict_linear, ridge
-from meterloom.operators.series import Keys
+from meterloom.operators.series import Keys, attach
 from meterloom.session import cut_lineage
 
 # Model names and their default settings.
 MODELS = ["ridge", "random_forest", "gradient_boosting"]
 RIDGE_ALPHA = 1.0
+ROWS_A_TASK = 1_500
 FOREST = {"numTrees": 250, "maxDepth": 10, "minInstancesPerNode": 5, "seed": 42}
 BOOSTING = {"maxIter": 250, "stepSize": 0.05, "maxDepth": 3, "minInstancesPerNode": 5, "seed": 42}
 
 
+# Own choice: name of the input that tells series apart.
+SERIES_CODE = "series_code"
+
+
 @dataclass
 class Fitted:
-    """Models of one panel: a ridge table (one row per series) and tree models shared by all series."""
+    """Models of one panel: a ridge table (one row per series) and tree models shared by all series.
+
+    Trees see target and history in units of their series (``scales``: mean, deviation and a code per series), so
+    series of unlike level share a model without being mixed up.
+    """
 
     target: str
     columns: list[str]
     keys: list[str]
     ridge: DataFrame | None = None
     trees: dict[str, object] = field(default_factory=dict)
+    scales: DataFrame | None = None
+
+    @property
+    def tree_columns(self) -> list[str]:
+        return [*self.columns, *([SERIES_CODE] if self.keys else [])]
+
+
+def is_history(column: str) -> bool:
+    """Inputs in units of the target."""
+    return features.availability_class(column) in ("target lag", "rolling target history")
+
+
+def series_scales(train: DataFrame, target: str, keys: Keys) -> DataFrame:
+    """Training mean and deviation of each series (one where it never varies), and a code from its name."""
+    y = F.col(target).cast("double")
+    code = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(1 << 20)).cast("double")
+    return train.groupBy(*keys).agg(F.avg(y).alias("_mu"), F.coalesce(F.nullif(F.stddev_pop(y), F.lit(0.0)), F.lit(1.0)).alias("_sd")).withColumn(
+        SERIES_CODE, code)
+
+
+def scaled_inputs(df: DataFrame, fitted: Fitted) -> DataFrame:
+    """Rows with history, and the target if it is there, in units of their series. Without keys nothing changes."""
+    if not fitted.keys:
+        return df
+    unit = lambda c: (F.col(c).cast("double") - F.col("_mu")) / F.col("_sd")
+    history = [c for c in fitted.columns if is_history(c)]
+    return attach(df, fitted.scales, fitted.keys).withColumns({c: unit(c) for c in [*history, *([fitted.target] if fitted.target in df.columns else [])]})
 
 
 def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,7 +79,7 @@ def tree_estimator(name: str, target: str, **settings):
     """Spark ML estimator under the default settings; ``settings`` override single values."""
     if name == "random_forest":
         return RandomForestRegressor(
-            labelCol=target, featureSubsetStrategy="all", maxBins=256, **{**FOREST, **settings}
+            labelCol=target, featureSubsetStrategy="all", maxBins=256, maxMemoryInMB=1024, **{**FOREST, **settings}
         )
     if name == "gradient_boosting":
         return GBTRegressor(labelCol=target, lossType="squared", maxBins=256, **{**BOOSTING, **settings})
@@ -54,14 +90,21 @@ def fit_models(
     train: DataFrame, target: str, columns: list[str], keys: Keys = (),
     models: list[str] | None = None, settings: dict[str, dict] | None = None,
 ) -> Fitted:
-    """Fit the listed models on complete rows. The assembled matrix is written once and read by each fit."""
+    """Fit the listed models on complete rows: ridge per series, trees over all of them.
+
+    The training table has one row per series and day; it is read in pieces of ``ROWS_A_TASK`` rows, because
+    trees start many small jobs over it.
+    """
     chosen, settings = models or MODELS, settings or {}
     fitted = Fitted(target, columns, list(keys))
     if "ridge" in chosen:
         fitted.ridge = cut_lineage(ridge(train, target, columns, keys, settings.get("ridge", {}).get("alpha", RIDGE_ALPHA)))
     named = [m for m in chosen if m != "ridge"]
     if named:
-        matrix = assemble(train, columns).select("features", F.col(target).cast("double").alias(target))
+        if keys:
+            fitted.scales = cut_lineage(series_scales(train, target, keys))
+        matrix = assemble(scaled_inputs(train, fitted), fitted.tree_columns).select("features", F.col(target).cast("double").alias(target))
+        matrix = matrix.coalesce(max(1, -(-train.count() // ROWS_A_TASK)))
         for name in named:
             fitted.trees[name] = tree_estimator(name, target, **settings.get(name, {})).fit(matrix)
     return fitted
@@ -86,9 +129,13 @@ def predict(fitted: Fitted, rows: DataFrame) -> DataFrame:
     if fitted.ridge is not None:
         out = predict_linear(out, fitted.ridge, fitted.columns, fitted.keys, "ridge_forecast")
     if fitted.trees:
-        out = assemble(out, fitted.columns)
+        plain = [c for c in out.columns if c not in fitted.columns]
+        whole = out.select(*plain, *fitted.columns).withColumn("_actual", F.col(fitted.target))
+        out = assemble(scaled_inputs(whole, fitted), fitted.tree_columns).withColumn(fitted.target, F.col("_actual"))
         for name, model in fitted.trees.items():
             out = model.setPredictionCol(f"{name}_forecast").transform(out)
+            if fitted.keys:
+                out = out.withColumn(f"{name}_forecast", F.col(f"{name}_forecast") * F.col("_sd") + F.col("_mu"))
     made = [f"{m}_forecast" for m in MODELS if f"{m}_forecast" in out.columns]
     extra = [c for c in ("demand_regime",) if c in rows.columns]
     return out.select(*fitted.keys, "date", F.col(fitted.target).alias("actual"), *extra, *made)
@@ -109,7 +156,7 @@ def importance_table(fitted: Fitted) -> DataFrame:
     rows = [
         (name, column, float(weight))
         for name, model in fitted.trees.items()
-        for column, weight in zip(fitted.columns, model.featureImportances.toArray())
+        for column, weight in zip(fitted.tree_columns, model.featureImportances.toArray())
     ]
     return SparkSession.active().createDataFrame(rows, "model string, feature string, importance double")
 

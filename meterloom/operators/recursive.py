@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.operators import features
 from meterloom.operators.daily import coerce_numeric
-from meterloom.operators.learn import Fitted, fit_models
+from meterloom.operators.learn import SERIES_CODE, Fitted, assemble, fit_models, is_history, scaled_inputs
+from meterloom.operators.quantiles import union_all
 from meterloom.operators.series import Keys, attach
 from meterloom.session import cut_lineage, shared_path
 
 
+# Own choice: nodes of an ensemble that are sent to the tasks at most (about 50 bytes each).
+MOST_NODES = 4_000_000
+
+
 def tree_nodes(model) -> dict[str, np.ndarray]:
     """Nodes of a fitted Spark tree ensemble as flat arrays.
 
@@ -25,9 +31,11 @@ def tree_nodes(model) -> dict[str, np.ndarray]:
     spark = SparkSession.active()
     path = shared_path(spark, "trees")
     model.save(path)
+    stored = spark.read.parquet(f"{path}/data")
+    if stored.count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} tree nodes; use fewer or shallower trees")
     nodes = (
-        spark.read.parquet(f"{path}/data")
-        .select(
+        stored.select(
             "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
             "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         )
@@ -62,15 +70,56 @@ def walk(nodes: dict[str, np.ndarray], x: np.ndarray) -> float:
         at = below
 
 
-def history_values(history: np.ndarray, filled: int) -> dict[str, float]:
-    """Lag and rolling inputs from the first ``filled`` values of a history."""
-    seen = history[:filled]
-    values = {f"lag_{k}": seen[-k] if filled >= k else np.nan for k in features.LAGS}
-    for name, (statistic, length, fewest) in features.ROLLING.items():
-        recent = seen[-length:]
-        known = recent.size >= fewest
-        values[name] = (recent.max() if statistic == "max" else recent.mean()) if known else np.nan
-    return values
+def _walked(sent):
+    """Column function that walks the trees of a broadcast ensemble."""
+
+    @F.pandas_udf("double")
+    def predict(inputs: pd.Series) -> pd.Series:
+        return pd.Series([walk(sent.value, np.asarray(x, float)) for x in inputs])
+
+    return predict
+
+
+def walk_differences(fitted: Fitted, rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Rows on which :func:`walk` and the fitted model's own prediction differ, counted per tree model."""
+    plain = [c for c in rows.columns if c not in fitted.columns]
+    ready = assemble(scaled_inputs(rows.select(*plain, *fitted.columns), fitted), fitted.tree_columns)
+    counts = []
+    for name, model in fitted.trees.items():
+        walked = _walked(rows.sparkSession.sparkContext.broadcast(tree_nodes(model)))
+        both = model.setPredictionCol("_spark").transform(ready).withColumn("_walk", walked(vector_to_array("features")))
+        differs = F.abs(F.col("_spark") - F.col("_walk")) > tolerance * F.greatest(F.abs("_spark"), F.lit(1.0))
+        counts.append(both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(differs).alias("mismatches")).withColumn("model", F.lit(name)))
+    return union_all(counts)
+
+
+class Memory:
+    """Target histories of several models side by side, which grow by one forecast per model and day.
+
+    All models start from the same training values. Which inputs are lags and windows, and how far they reach, is
+    worked out once; a day then reads one slice of the histories for all models together.
+    """
+
+    def __init__(self, past: np.ndarray, models: int, ahead: int, columns: list[str]):
+        self.filled = len(past)
+        self.values = np.zeros((models, len(past) + ahead))
+        self.values[:, : self.filled] = past
+        reach = {f"lag_{k}": k for k in features.LAGS}
+        self.lags = [(i, reach[c]) for i, c in enumerate(columns) if c in reach]
+        self.windows = [(i, *features.ROLLING[c]) for i, c in enumerate(columns) if c in features.ROLLING]
+
+    def write_inputs(self, x: np.ndarray) -> None:
+        """Fill the history inputs of the next day into ``x``, a row per model; unknown ones become NaN."""
+        now = self.filled
+        for i, back in self.lags:
+            x[:, i] = self.values[:, now - back] if back <= now else np.nan
+        for i, statistic, length, fewest in self.windows:
+            part = self.values[:, max(0, now - length) : now]
+            x[:, i] = np.nan if part.shape[1] < fewest else getattr(part, statistic)(axis=1)
+
+    def add(self, forecasts: np.ndarray) -> None:
+        self.values[:, self.filled] = forecasts
+        self.filled += 1
 
 
 def strict_recursive(
@@ -79,9 +128,9 @@ def strict_recursive(
 ) -> tuple[DataFrame, Fitted]:
     """Forecast the whole test period without looking at its target values.
 
-    Models are fitted by Spark on complete training rows. Then each series and model runs its own
-    recursion over test days, started from its last training values; missing inputs take the training
-    median. One series has one row per day, which bounds a group by the calendar.
+    Models are fitted by Spark on complete training rows. Then each series runs its recursion over test days, all
+    models at once, started from its last training values; missing inputs take the training median. One
+    series has one row per day, which bounds a group by the calendar.
     """
     keys = list(keys)
     frame = features.feature_frame(daily, target, start, keys)
@@ -120,40 +169,43 @@ def strict_recursive(
         ready = attach(ready, coefficients, keys)
     else:
         ready = ready.withColumn("_ridge", F.lit(None).cast("array<double>"))
-    names = [*(["ridge"] if fitted.ridge is not None else []), *fitted.trees]
-    ready = ready.withColumn("model", F.explode(F.array(*map(F.lit, names))))
+    scale = F.array("_mu", "_sd", SERIES_CODE).alias("_scale")
+    if fitted.scales is not None:
+        ready = attach(ready, fitted.scales.select(*keys, scale), keys)
+    else:
+        ready = ready.withColumn("_scale", F.lit(None).cast("array<double>"))
 
     shipped = daily.sparkSession.sparkContext.broadcast({n: tree_nodes(m) for n, m in fitted.trees.items()})
-    recursive = [c for c in columns if features.availability_class(c) in ("target lag", "rolling target history")]
-    spot = {c: columns.index(c) for c in recursive}
+    names = [*(["ridge"] if fitted.ridge is not None else []), *fitted.trees]
+    history = np.array([is_history(c) for c in columns])
 
     def forecast(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("date")
-        past = group.loc[~group["_test"], "actual"].to_numpy(float)
         ahead = group[group["_test"]]
-        name = group["model"].iloc[0]
-        if past.size == 0:  # a series without a complete training row has nothing to start from
-            return ahead.assign(forecast=np.nan)[[*keys, "date", "model", "actual", "demand_regime", "forecast"]]
-        history = np.concatenate([past, np.zeros(len(ahead))])
-        fill_values = np.asarray(group["_fill"].iloc[0], float)
-        weights = group["_ridge"].iloc[0]
-        made = np.empty(len(ahead))
-        for i, known in enumerate(ahead["_known"]):
-            x = np.array(known, float)
-            values = history_values(history, past.size + i)
-            for c, at in spot.items():
-                x[at] = values[c]
-            x = np.where(np.isnan(x), fill_values, x)
-            if name == "ridge":
-                made[i] = weights[0] + np.dot(weights[1:], x)
-            else:
-                made[i] = walk(shipped.value[name], x)
-            history[past.size + i] = made[i]
-        return ahead.assign(forecast=made)[[*keys, "date", "model", "actual", "demand_regime", "forecast"]]
+        past = group.loc[~group["_test"], "actual"].to_numpy(float)
+        made = np.full((len(names), len(ahead)), np.nan)
+        if past.size:  # a series without a complete training row has nothing to start from
+            medians = np.asarray(group["_fill"].iloc[0], float)
+            weights, scale = group["_ridge"].iloc[0], group["_scale"].iloc[0]
+            mu, sd, code = (0.0, 1.0, []) if scale is None else (scale[0], scale[1], [scale[2]])
+            memory = Memory(past, len(names), len(ahead), columns)
+            for day, known in enumerate(ahead["_known"]):
+                x = np.tile(np.array(known, float), (len(names), 1))
+                memory.write_inputs(x)
+                x = np.where(np.isnan(x), medians, x)
+                for m, name in enumerate(names):
+                    if name == "ridge":
+                        made[m, day] = weights[0] + np.dot(weights[1:], x[m])
+                    else:
+                        scaled = np.append(np.where(history, (x[m] - mu) / sd, x[m]), code)
+                        made[m, day] = mu + sd * walk(shipped.value[name], scaled)
+                memory.add(made[:, day])
+        parts = [ahead.assign(model=name, forecast=made[m]) for m, name in enumerate(names)]
+        return pd.concat(parts)[[*keys, "date", "model", "actual", "demand_regime", "forecast"]]
 
     types = {f.name: f.dataType.simpleString() for f in ready.schema}
     schema = ", ".join([
         *[f"{k} {types[k]}" for k in keys],
         "date date, model string, actual double, demand_regime string, forecast double",
     ])
-    return ready.groupBy(*keys, "model").applyInPandas(forecast, schema), fitted
+    return ready.groupBy(*keys).applyInPandas(forecast, schema), fitted
