@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meterloom.functions.errors import error_columns, metric_aggregates
 from meterloom.functions.stats import pearson
 from meterloom.operators.features import evaluation_regime
-from meterloom.operators.series import Keys, by_series
+from meterloom.operators.series import Keys, by_series, join_series
 from meterloom.sources.tables import require_columns
 
 # Forecast columns known to the diagnostics, and the stable order of models and regimes.
@@ -17,22 +17,25 @@ FORECAST_COLUMNS = [
 ]
 MODEL_ORDER = ["naive", "seasonal_naive", "holt_winters", "sarima", "sarimax"]
 REGIME_ORDER = ["low", "normal", "high"]
+OPERATIONAL_DESIGN = "operational_one_day_ahead"
+OPERATIONAL_NOTE = (
+    "Valid next-day operational forecast design, not a full-year-ahead forecast from the first test date."
+)
 SLICES = ["month", "day_of_week", "demand_regime", "quarter", "is_weekend"]
 
 
 def merge_forecasts(first: DataFrame, *others: DataFrame, keys: Keys = ()) -> DataFrame:
     """Add the forecast columns of other tables by date; ``actual`` comes from the first table that has it."""
     merged = first
-    on = [*keys, "date"]
     for other in others:
         new = [c for c in other.columns if c not in merged.columns and (c == "actual" or c.endswith("_forecast"))]
-        merged = merged.join(other.select(*on, *new), on, "left")
+        merged = join_series(merged, other.select(*keys, "date", *new), keys, ["date"])
     return merged
 
 
 def aligned(actual: DataFrame, forecast: DataFrame, keys: Keys = ()) -> DataFrame:
     """Days present on both sides."""
-    return actual.join(forecast, [*keys, "date"], "inner")
+    return join_series(actual, forecast, keys, ["date"], "inner")
 
 
 def long_forecasts(wide: DataFrame, keys: Keys = (), keep: list[str] | None = None) -> DataFrame:
@@ -55,9 +58,12 @@ def metrics(long: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def ranked(table: DataFrame, by: str, keys: Keys = (), ascending: bool = True, tie: str = "model") -> DataFrame:
-    """Order a metric table and say the place of each row."""
-    order = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
+def ranked(
+    table: DataFrame, by: str, keys: Keys = (), ascending: bool = True, tie: str = "model", absolute: bool = False
+) -> DataFrame:
+    """Order a table of a few rows per series and say the place of each row; ``absolute`` ignores signs."""
+    value = F.abs(by) if absolute else F.col(by)
+    order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
     return table.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie)))
 
 
@@ -113,8 +119,8 @@ def incomplete_day_impact(errors: DataFrame, daily: DataFrame, keys: Keys = ())
         c for c in ("settlement_period_count", "expected_settlement_period_count", "coverage_ratio", "has_incomplete_day")
         if c in daily.columns
     ]
-    return errors.select(*keys, "date", "model", "actual", "absolute_error").join(
-        daily.select(*keys, "date", *coverage), [*keys, "date"], "left"
+    return join_series(
+        errors.select(*keys, "date", "model", "actual", "absolute_error"), daily.select(*keys, "date", *coverage), keys, ["date"]
     )
 
 
@@ -158,26 +164,31 @@ def keep_by_priority(table: DataFrame, by: list[str], last: bool = True, priorit
     return table.groupBy(*by).agg(pick(F.struct(*rest), priority).alias("_r")).select(*by, "_r.*")
 
 
-def operational_summary(table: DataFrame, target: str, start: str, end: str, models: list[str]) -> DataFrame:
+def operational_summary(
+    table: DataFrame, target: str, start: str, end: str, models: list[str], keys: Keys = ()
+) -> DataFrame:
     """Saved metrics of the listed models, labelled as the one-day-ahead design; absent models keep nulls."""
-    named = table.sparkSession.createDataFrame([(m,) for m in models], "model string")
-    return named.join(table.select("model", "mae", "rmse", "mape"), "model", "left").select(
-        F.lit(target).alias("target"), "model", F.lit("operational_one_day_ahead").alias("forecast_design"),
+    if keys:
+        named = table.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, models))).alias("model"))
+    else:
+        named = table.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    return join_series(named, table.select(*keys, "model", "mae", "rmse", "mape"), keys, ["model"]).select(
+        *keys, F.lit(target).alias("target"), "model", F.lit(OPERATIONAL_DESIGN).alias("forecast_design"),
         F.lit(start).alias("test_start"), F.lit(end).alias("test_end"),
         F.lit(True).alias("uses_actual_target_history_through_previous_day"),
         F.lit(False).alias("uses_actual_target_values_on_forecast_day"),
-        F.lit(
-            "Valid next-day operational forecast design, not a full-year-ahead forecast from the first test date."
-        ).alias("interpretation"),
+        F.lit(OPERATIONAL_NOTE).alias("interpretation"),
         "mae", "rmse", "mape",
     )
 
 
-def compare_designs(operational: DataFrame, strict: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+def compare_designs(
+    operational: DataFrame, strict: DataFrame, benchmark: DataFrame | None = None, keys: Keys = ()
+) -> DataFrame:
     """Operational, strict and benchmark metrics; the first source of a model and design wins."""
-    columns = ["model", "forecast_design", "mae", "rmse", "mape"]
+    columns = [*keys, "model", "forecast_design", "mae", "rmse", "mape"]
     tables = [t.select(*columns) for t in (operational, strict, benchmark) if t is not None]
-    return keep_by_priority(stacked(*tables), ["model", "forecast_design"], last=False)
+    return keep_by_priority(stacked(*tables), [*keys, "model", "forecast_design"], last=False)
 
 
 def place_of(column: str, values: list[str]) -> Column:

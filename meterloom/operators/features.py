@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from meterloom.functions.clock import add_calendar
 from meterloom.functions.names import EXOGENOUS_TERMS, exogenous_features, ordered_union
 from meterloom.operators.daily import densify
-from meterloom.operators.series import Keys, attach, by_series, own_rows, split_window, with_halo
+from meterloom.operators.series import Keys, attach, by_series, join_series, own_rows, split_window, with_halo
+from meterloom.session import cut_lineage
 
 # Lags, rolling windows (statistic, length, fewest known values) and calendar features.
 LAGS = [1, 2, 3, 7, 14, 28, 365]
@@ -191,36 +192,34 @@ def audit_counts(audit: DataFrame) -> DataFrame:
 def leakage_check(featured: DataFrame, target: str, keys: Keys = (), tolerance: float = 1e-6) -> DataFrame:
     """Recompute history features from earlier rows only and count rows that disagree.
 
-    The recomputation gathers the values of each series' preceding rows and derives every feature from
-    that array alone, so a feature that has seen its own day cannot match.
+    Rows are numbered and each value is sent ahead to the rows whose lags and windows it belongs to; every feature
+    is an aggregate of what arrived, so one that has seen its own day cannot match. No window function and
+    no array takes part.
     """
-    reach = max(max(LAGS), *[length for _, length, _ in ROLLING.values()])
-    past = F.collect_list(F.struct(F.col(target).alias("y"))).over(
-        by_series(keys).rowsBetween(-reach, -1)
-    )
-    seen = featured.withColumn("_past", past)
-    n = F.size("_past")
-
-    def lagged(k: int) -> Column:
-        return F.when(n >= k, F.element_at("_past", -k)["y"])
+    place = F.row_number().over(by_series(keys))
+    seen = cut_lineage(featured.select(*keys, place.alias("_n"), F.col(target).alias("_y"), *[f"lag_{k}" for k in LAGS], *ROLLING))
+    reach = max(length for _, length, _ in ROLLING.values())
+    distances = sorted({*LAGS, *range(1, reach + 1)})
+    sent = seen.where("_y is not null").select(
+        *keys, "_n", "_y", F.explode(F.array(*map(F.lit, distances))).alias("_ahead")
+    ).select(*keys, (F.col("_n") + F.col("_ahead")).alias("_n"), "_ahead", "_y")
 
     def rolled(statistic: str, length: int, fewest: int) -> Column:
-        recent = F.transform(
-            F.slice("_past", -F.least(n, F.lit(length)), F.lit(length)), lambda r: r["y"]
-        )
-        values = F.when(n > 0, F.array_compact(recent))
-        total = F.aggregate(values, F.lit(0.0), lambda a, y: a + y)
-        value = F.array_max(values) if statistic == "max" else total / F.size(values)
-        return F.when(F.size(values) >= fewest, value)
+        recent = F.when(F.col("_ahead") <= length, F.col("_y"))
+        value = F.max(recent) if statistic == "max" else F.avg(recent)
+        return F.when(F.count(recent) >= fewest, value)
 
-    expected = {f"lag_{k}": lagged(k) for k in LAGS}
-    expected |= {name: rolled(*rule) for name, rule in ROLLING.items()}
+    arrived = sent.groupBy(*keys, "_n").agg(
+        *[F.max(F.when(F.col("_ahead") == k, F.col("_y"))).alias(f"_e_lag_{k}") for k in LAGS],
+        *[rolled(*rule).alias(f"_e_{name}") for name, rule in ROLLING.items()],
+    )
+    expected = [*[f"lag_{k}" for k in LAGS], *ROLLING]
 
     def differs(name: str) -> Column:
-        a, b = F.col(name), expected[name]
+        a, b = F.col(name), F.col(f"_e_{name}")
         return a.isNull() != b.isNull(), F.abs(a - b) > tolerance
 
-    wide = seen.groupBy().agg(
+    wide = join_series(seen, arrived, keys, ["_n"]).groupBy().agg(
         *[F.count(F.col(name)).alias(f"n_{name}") for name in expected],
         *[F.count_if(F.coalesce(differs(name)[0] | differs(name)[1], differs(name)[0])).alias(f"m_{name}") for name in expected],
     )

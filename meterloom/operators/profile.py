@@ -6,28 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.stats import pearson
-from meterloom.operators.quantiles import exact_quantiles, union_all
+from meterloom.operators.quantiles import exact_quantiles, finite, union_all
 from meterloom.operators.series import (
-    Keys, attach, numbered, own_rows, split_window, with_halo,
+    Keys, attach, join_series, numbered, own_rows, split_window, with_halo,
 )
 from meterloom.session import cut_lineage
 
 
 def target_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, missing, mean, spread, extremes and median of each candidate target."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
-    ])).alias("e")).select("e.*")
-    basics = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.count_if(F.col("value").isNull()).alias("missing_count"),
-        (F.avg(F.col("value").isNull().cast("int")) * 100).alias("missing_pct"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    return attach(basics, exact_quantiles(long, "value", {"median": 0.5}, ["column"]), ["column"])
+    """Count, missing, mean, spread, extremes and median of each candidate target.
+
+    One wide aggregate serves all columns; each median reads its own column only.
+    """
+    def measures(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return F.struct(
+            F.lit(c).alias("column"), F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing_count"),
+            (F.avg(v.isNull().cast("int")) * 100).alias("missing_pct"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        )
+
+    basics = df.agg(F.array(*map(measures, columns)).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    medians = union_all([
+        exact_quantiles(df, c, {"median": 0.5}).select(F.lit(c).alias("column"), "median") for c in columns
+    ])
+    return attach(basics, medians, ["column"])
 
 
 def describe(df: DataFrame, value: str, keys: Keys = ()) -> DataFrame:
@@ -60,8 +63,11 @@ def pattern_means(df: DataFrame, stamp: str, value: str, keys: Keys = ()) -> Dat
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, keys: Keys = ()) -> DataFrame:
-    """Equal-width histogram between the smallest and the largest value, which falls in the last bin."""
-    known = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col(value).isNotNull())
+    """Equal-width histogram between the smallest and the largest value, which falls in the last bin.
+
+    Missing, not-a-number and infinite values do not count.
+    """
+    known = df.select(*keys, F.col(value).cast("double").alias("v")).where(finite("v"))
     span = known.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     if keys:
         span = cut_lineage(span)  # its written size decides how it joins the rows
@@ -85,8 +91,9 @@ def density_curve(
     Without a bandwidth the normal-reference rule ``sd * n^(-1/5)`` applies. Each grid point reads the bin
     counts, not the rows, so the work after one counting pass does not grow with the table.
     """
-    fine = histogram(df, value, bins)
-    stats = df.select(
+    known = df.select(F.col(value).cast("double").alias(value)).where(finite(value))
+    fine = histogram(known, value, bins)
+    stats = known.select(
         F.stddev_samp(value).alias("sd"), F.count(value).alias("n"),
         F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
     )
@@ -110,6 +117,13 @@ def correlations(df: DataFrame, target: str, columns: list[str], keys: Keys = ()
     return wide.unpivot(list(keys), columns, "column", "correlation_with_target")
 
 
+def strongest(table: DataFrame, n: int, leave_out: list[str] = ()) -> list[str]:
+    """The ``n`` columns of a correlation table with the largest absolute value, ties by name; a handful of names."""
+    known = table.where(F.col("correlation_with_target").isNotNull() & ~F.col("column").isin(list(leave_out) or [""]))
+    order = [F.abs("correlation_with_target").desc(), "column"]
+    return [r.column for r in known.orderBy(*order).limit(n).collect()]
+
+
 def correlation_matrix(df: DataFrame, columns: list[str], keys: Keys = ()) -> DataFrame:
     """All pairwise correlations from one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
@@ -138,8 +152,8 @@ def feature_correlations(
 
 
 def positioned(df: DataFrame, stamp: str, keys: Keys = (), total: str | None = None) -> DataFrame:
-    """Number the rows of a sub-daily series, a calendar month at a time."""
-    return numbered(df, keys, [stamp], F.date_trunc("month", F.col(stamp)), "_pos", total)
+    """Number the rows of a sub-daily series, an hour at a time."""
+    return numbered(df, keys, [stamp], F.date_trunc("hour", F.col(stamp)), "_pos", total)
 
 
 def lagged_correlations(
@@ -172,26 +186,25 @@ def rolling_statistics(
 ) -> DataFrame:
     """Rolling mean and sample deviation over full windows.
 
-    Without a length the rule of :func:`stationarity_window` picks one per series; it is at most 48 rows, so
-    one pass collects that many earlier values and the chosen length is taken from their end.
+    Without a length the rule of :func:`stationarity_window` picks one per series. The lengths that occur,
+    48 different ones at most, each get an ordinary row frame.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, stamp, F.col(value).cast("double").alias(value))
-    reach = window or 48
-    split = with_halo(positioned(known, stamp, keys, "_rows"), "_pos", block, reach)
-    length = F.lit(window) if window else stationarity_window(F.col("_rows"))
-    past = F.collect_list(value).over(split_window(keys).rowsBetween(-(reach - 1), 0))
-    taken = split.withColumns({"_past": past, "rolling_window": length})
-    taken = own_rows(taken).withColumn(
-        "_w", F.slice("_past", -F.least(F.size("_past"), F.col("rolling_window")), F.col("rolling_window"))
-    )
+    if window:
+        lengths = [window]
+    else:
+        sizes = known.groupBy(*keys).agg(stationarity_window(F.count(F.lit(1))).alias("w"))
+        lengths = sorted(r.w for r in sizes.select("w").distinct().collect()) or [2]
+    split = with_halo(positioned(known, stamp, keys, "_rows"), "_pos", block, max(lengths))
+    split = split.withColumn("rolling_window", F.lit(window) if window else stationarity_window(F.col("_rows")))
     full = F.col("_pos") >= F.col("rolling_window") - 1
-    mean = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / F.col("rolling_window")
-    squares = F.aggregate("_w", F.lit(0.0), lambda a, x: a + F.pow(x - F.col("rolling_mean"), F.lit(2.0)))
-    return (
-        taken.withColumn("rolling_mean", F.when(full, mean))
-        .withColumn("rolling_std", F.when(full, F.sqrt(squares / F.nullif(F.col("rolling_window") - 1, F.lit(0)))))
-        .select(*keys, stamp, "rolling_window", "rolling_mean", "rolling_std")
-    )
+
+    def chosen(statistic) -> Column:
+        frames = {w: statistic(value).over(split_window(keys).rowsBetween(1 - w, 0)) for w in lengths}
+        return F.when(full, F.coalesce(*[F.when(F.col("rolling_window") == w, v) for w, v in frames.items()]))
+
+    rolled = split.withColumns({"rolling_mean": chosen(F.avg), "rolling_std": chosen(F.stddev_samp)})
+    return own_rows(rolled).select(*keys, stamp, "rolling_window", "rolling_mean", "rolling_std")
 
 
 def latest_rolling(curve: DataFrame, stamp: str, keys: Keys = ()) -> DataFrame:
@@ -229,9 +242,9 @@ def decompose(
     if period % 2 == 0:
         total = total - (F.lag(value, half).over(line) + F.lead(value, half).over(line)) / 2
     inside = (F.col("_pos") >= half) & (F.col("_pos") < F.col("_rows") - half)
-    smoothed = own_rows(split.withColumn("_trend", total / period)).withColumn(
+    smoothed = cut_lineage(own_rows(split.withColumn("_trend", total / period)).withColumn(
         "_trend", F.when(inside, F.col("_trend"))
-    )
+    ))
     pos, trend = F.col("_pos"), F.col("_trend")
     head = pos < half + period
     tail = pos >= F.col("_rows") - half - period
@@ -250,7 +263,7 @@ def decompose(
     seasonal = phases.select(
         *keys, "_phase", (F.col("_mean") - F.avg("_mean").over(Window.partitionBy(*keys))).alias("seasonal")
     )
-    return completed.join(seasonal, [*keys, "_phase"]).select(
+    return join_series(completed, seasonal, keys, ["_phase"], "inner").select(
         *keys, stamp, F.col(value).alias("observed"), "trend", "seasonal",
         (F.col(value) - F.col("trend") - F.col("seasonal")).alias("residual"),
     )

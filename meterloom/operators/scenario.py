@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meterloom.functions.clock import add_calendar
 from meterloom.functions.names import RENEWABLE_COLUMNS
 from meterloom.operators.quantiles import interpolated
-from meterloom.operators.series import Keys, attach, spread
+from meterloom.operators.series import Keys, attach, join_series, spread
 from meterloom.sources.tables import require_columns, required
 
 # Scenarios in order, uplifts, the cap on their sum, and the text describing each.
@@ -53,14 +53,26 @@ def add_context(
     context = described.select(
         *keys, "date", *[F.col(c).alias(f"{c}_daily" if c in forecasts.columns else c) for c in wanted]
     )
-    joined = forecasts.join(context, [*keys, "date"], "left")
+    joined = join_series(forecasts, context, keys, ["date"])
     if "actual" not in joined.columns:
         joined = joined.withColumn("actual", F.col(target))
     return joined
 
 
-def residual_pool(context: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Centred residuals of the base forecast, numbered from 0 by day within each series."""
+def residual_pool(
+    context: DataFrame, keys: Keys = (), pool: str = "test", train: DataFrame | None = None
+) -> DataFrame:
+    """Centred residuals of the base forecast, numbered from 0 by day within each series.
+
+    ``pool="test"`` takes the evaluated days of ``context``, which is optimistic; ``pool="train"`` takes the rows
+    of ``train``, base forecasts of training days with their actuals.
+    """
+    if pool not in ("test", "train"):
+        raise ValueError("pool must be test or train")
+    if pool == "train":
+        if train is None:
+            raise ValueError("pool=train needs base forecasts of training days")
+        context = train
     require_columns(context, "actual", "base_forecast")
     error = F.col("actual").try_cast("double") - F.col("base_forecast")
     known = context.select(*keys, "date", error.alias("_e")).where("_e is not null")
@@ -178,31 +190,37 @@ def bootstrap(
     draws: int = 1000,
     seed: int = 42,
     keys: Keys = (),
+    salts: int = 16,
 ) -> DataFrame:
     """Simulated range and exceedance probability of every scenario day.
 
-    Draws live in an array on their scenario-day row, so nothing is exploded or shuffled: work grows with
-    rows x draws and memory with the draws of one row.
+    Bare scenario rows are dealt out first, a series over ``salts`` parts; the pool of a series, one short array, is
+    copied to those parts and meets the rows there, so it never travels with each of them. Draws live in an
+    array on their scenario-day row: work grows with rows x draws and memory with the draws of one row.
     """
     if draws <= 0:
         raise ValueError("the number of draws must be positive")
     size = F.size("_pool")
     names = [*[F.col(k).cast("string") for k in keys], F.col("scenario"), F.date_format("date", "yyyy-MM-dd")]
-    ready = attach(scenarios, pooled(pool, keys), keys)
+    bare = scenarios
     if thresholds is not None and "capacity_threshold" not in scenarios.columns:
-        ready = attach(ready, thresholds.select(*keys, "capacity_threshold"), keys)
+        bare = attach(bare, thresholds.select(*keys, "capacity_threshold"), keys)
     elif thresholds is None:
-        ready = ready.withColumn("capacity_threshold", F.lit(None).cast("double"))
-    drawn = spread(ready, [*keys, "date", "scenario"]).withColumn("_pool", required(
+        bare = bare.withColumn("capacity_threshold", F.lit(None).cast("double"))
+    salted = spread(bare.withColumn("_salt", F.pmod(F.xxhash64("date", "scenario"), F.lit(salts)).cast("int")), [*keys, "_salt"])
+    copies = pooled(pool, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    drawn = join_series(salted, copies, keys, ["_salt"]).withColumn("_pool", required(
         F.when(size > 0, F.col("_pool")), "no residuals are available to simulate from"
     )).withColumn("_sim", F.sort_array(F.transform(
         F.sequence(F.lit(0), F.lit(draws - 1)),
         lambda i: F.col("adjusted_forecast") + F.get("_pool", draw_index(seed, names, i, size).cast("int")),
     )))
+    # Summed as decimals, which no order changes; the tenth decimal of a draw carries nothing.
+    total = F.aggregate("_sim", F.lit(0).cast("decimal(30,9)"), lambda a, x: (a + x.cast("decimal(28,9)")).cast("decimal(30,9)"))
     exceeding = F.size(F.filter("_sim", lambda x: x > F.col("capacity_threshold"))) / draws
     return drawn.select(
         *keys, "date", "scenario", "base_forecast", "scenario_uplift_pct",
-        (F.aggregate("_sim", F.lit(0.0), lambda a, x: a + x) / draws).alias("simulated_mean"),
+        (total.cast("double") / draws).alias("simulated_mean"),
         interpolated("_sim", 0.05).alias("simulated_p05"),
         interpolated("_sim", 0.50).alias("simulated_p50"),
         interpolated("_sim", 0.95).alias("simulated_p95"),
@@ -215,13 +233,24 @@ def bootstrap(
 def exact_exceedance(
     scenarios: DataFrame, pool: DataFrame, thresholds: DataFrame, keys: Keys = ()
 ) -> DataFrame:
-    """Limit of the bootstrap for many draws: the share of residuals above the remaining headroom."""
-    ready = attach(scenarios, pooled(pool, keys), keys)
-    ready = attach(ready, thresholds.select(*keys, "capacity_threshold"), keys)
-    headroom = F.col("capacity_threshold") - F.col("adjusted_forecast")
-    share = F.size(F.filter("_pool", lambda r: r > F.col("_headroom"))) / F.size("_pool")
-    return ready.withColumn("_headroom", headroom).select(
-        *keys, "date", "scenario", "adjusted_forecast", share.alias("exceedance_probability")
+    """Limit of the bootstrap for many draws: the share of residuals above the remaining headroom.
+
+    Residuals and headrooms of a series are put in one order by value, where a running count tells how many
+    residuals lie at or below each headroom.
+    """
+    limits = attach(scenarios, thresholds.select(*keys, "capacity_threshold"), keys)
+    asked = limits.select(
+        *keys, "date", "scenario", "adjusted_forecast",
+        (F.col("capacity_threshold") - F.col("adjusted_forecast")).alias("_v"), F.lit(0).alias("_is"),
+    )
+    given = pool.select(*keys, F.col("residual").alias("_v"), F.lit(1).alias("_is"))
+    both = asked.unionByName(given, allowMissingColumns=True)
+    series = Window.partitionBy(*keys)
+    below = F.sum("_is").over(series.orderBy(F.col("_v"), F.col("_is").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    size = F.nullif(F.sum("_is").over(series), F.lit(0))
+    share = F.when(F.col("_v").isNotNull(), (size - below) / size)
+    return both.withColumn("exceedance_probability", share).where("_is = 0").select(
+        *keys, "date", "scenario", "adjusted_forecast", "exceedance_probability"
     )
 
 

@@ -53,7 +53,7 @@ def half_hourly(spark: SparkSession, folder: str) -> DataFrame:
     kind = lambda name: F.when(F.col("event_type") == name, F.col("value"))
     return events.select(
         F.col("event_id").alias("ordinal"),
-        F.date_format("ts", "yyyy-MM-dd").alias("settlement_date"),
+        F.to_date("ts").alias("settlement_date"),
         clock.alias("settlement_period"),
         F.year("ts").alias("source_year"),
         F.col("value").alias("nd"),

@@ -29,7 +29,7 @@ def oracle(name: str, sql: str, rounded: str = "") -> None:
     head = ",\n".join(f"{n} AS ({PARTS[n]})" for n in needed)
     body = sql.strip()
     if rounded:
-        cells = ", ".join(f"round({c} + 1.7320508e-7, 6) AS {c}" for c in rounded.split())
+        cells = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(30, 8)), 6) AS DOUBLE) AS {c}" for c in rounded.split())
         body = f"SELECT * REPLACE ({cells}) FROM ({body})"
     ORACLE[name] = f"WITH {head}\n{body}" if head else body
 
@@ -56,7 +56,7 @@ FROM lineitem GROUP BY 1""")
 part("joined_t", "SELECT * FROM panel_t LEFT JOIN exog_t USING (date)")
 part("joined_whole_t", "SELECT * FROM whole_t LEFT JOIN exog_t USING (date)")
 part("raw_t", """
-SELECT event_id AS ordinal, strftime(ts, '%Y-%m-%d') AS settlement_date,
+SELECT event_id AS ordinal, CAST(ts AS DATE) AS settlement_date,
        hour(ts) * 2 + CASE WHEN minute(ts) >= 30 THEN 1 ELSE 0 END + 1 AS settlement_period,
        year(ts) AS source_year, value AS nd,
        CASE WHEN event_type = 'view' THEN value END AS tsd,
@@ -122,8 +122,8 @@ FROM long_t""")
 
 oracle("yearly_union", """
 SELECT o_orderkey AS order_key, o_totalprice AS total_price, CAST(year(o_orderdate) AS BIGINT) AS source_year,
-       CASE WHEN year(o_orderdate) > 1995 THEN o_orderstatus END AS order_status
-FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001""")
+       CASE WHEN year(o_orderdate) > (SELECT min(year(o_orderdate)) FROM orders) THEN o_orderstatus END AS order_status
+FROM orders""")
 part("resources_t", """
 SELECT min(o_orderkey) AS position, CAST(year(o_orderdate) + 24 AS VARCHAR) AS y,
        o_orderstatus AS s, o_orderpriority AS p
@@ -174,8 +174,9 @@ oracle("window_predicates", """
 SELECT event_id, event_type, ts, value FROM events
 WHERE value <= 0.5 OR ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'""", "value")
 oracle("member_filters", """
-SELECT series, date, CASE WHEN date IN (SELECT date FROM exog_t) THEN 'left_semi' ELSE 'left_anti' END AS kind
-FROM panel_t WHERE series IN ('1-URGENT', '2-HIGH')""")
+SELECT series, date, series IN ('1-URGENT', '2-HIGH') AS listed,
+       CASE WHEN date IN (SELECT date FROM exog_t) THEN 'left_semi' ELSE 'left_anti' END AS kind
+FROM panel_t""")
 oracle("quantiles", """
 SELECT o_orderpriority, quantile_cont(o_totalprice, 0.05) AS p05, quantile_cont(o_totalprice, 0.25) AS p25,
        quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.95) AS p95
@@ -217,7 +218,9 @@ SELECT event_type, (array_agg(step ORDER BY n DESC, step))[1] AS most_common_sec
        min(step) AS minimum_seconds, max(step) AS maximum_seconds
 FROM tally_t GROUP BY 1""")
 oracle("step_inference", """
-SELECT *, CASE WHEN minimum_seconds = maximum_seconds THEN most_common_seconds || ' s' END AS frequency
+SELECT event_type, CAST(most_common_seconds AS DOUBLE) AS most_common_seconds, CAST(minimum_seconds AS DOUBLE) AS minimum_seconds,
+       CAST(maximum_seconds AS DOUBLE) AS maximum_seconds,
+       CASE WHEN minimum_seconds = maximum_seconds THEN most_common_seconds || ' s' END AS frequency
 FROM step_summary_t""")
 part("grid_t", """
 SELECT s.event_type, unnest(generate_series(a, b, to_seconds(most_common_seconds))) AS settlement_datetime
@@ -228,7 +231,7 @@ GAPS = """
 SELECT settlement_datetime, event_type FROM grid_t g
 WHERE {kinds} AND NOT EXISTS (SELECT 1 FROM steps_t s
                   WHERE s.event_type = g.event_type AND s.settlement_datetime = g.settlement_datetime)"""
-oracle("ts_gaps", GAPS.format(kinds="event_type IN ('view', 'click')"))
+oracle("ts_gaps", f"SELECT settlement_datetime FROM ({GAPS.format(kinds="event_type = 'all'")})")
 oracle("ts_gaps_by_key", GAPS.format(kinds="event_type <> 'all'"))
 
 # --- profiles ------------------------------------------------------------------------------------------
@@ -296,6 +299,11 @@ oracle("corr_target", " UNION ALL ".join(
     f"""SELECT series, '{c}' AS "column", corr({c}, value_mean) AS correlation_with_target FROM joined_t GROUP BY 1"""
     for c in ["value_peak", *EXOG]), "correlation_with_target")
 WIDE = ["value_mean", "value_peak", *EXOG]
+oracle("corr_ranked", """
+SELECT *, row_number() OVER (PARTITION BY series ORDER BY abs(correlation_with_target) DESC NULLS LAST, "column") AS rank FROM (
+""" + " UNION ALL ".join(
+    f"""SELECT series, '{c}' AS "column", corr({c}, value_mean) AS correlation_with_target FROM joined_t GROUP BY 1"""
+    for c in ["value_peak", *EXOG]) + ")", "correlation_with_target")
 oracle("corr_matrix", " UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS correlation FROM joined_whole_t"
     for i, a in enumerate(WIDE) for b in WIDE[i:]), "correlation")
@@ -309,6 +317,14 @@ oracle("lag_corr", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", CAST({k} AS BIGINT) AS lag, corr(nd, v) AS lagged_correlation
         FROM (SELECT nd, lag({c}, {k}) OVER (ORDER BY settlement_datetime) AS v FROM resolved_t)"""
     for c in ("tsd", "embedded_wind_generation") for k in (1, 2, 24, 48)), "lagged_correlation")
+TOP = ["tsd", "embedded_wind_generation", "pump_storage_pumping", "settlement_period", "source_year"]
+oracle("lag_corr_top", "WITH c AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", corr({c}, nd) AS r FROM resolved_t""" for c in TOP) + """),
+t AS (SELECT "column" FROM c WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY abs(r) DESC, "column" LIMIT 3)
+SELECT * FROM (""" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST({k} AS BIGINT) AS lag, corr(nd, v) AS lagged_correlation
+        FROM (SELECT nd, lag({c}, {k}) OVER (ORDER BY settlement_datetime) AS v FROM resolved_t)"""
+    for c in TOP for k in (1, 2, 24, 48)) + """) WHERE "column" IN (SELECT "column" FROM t)""", "lagged_correlation")
 part("rolled_t", """
 SELECT settlement_datetime, CAST(least(48, greatest(2, total // 20)) AS BIGINT) AS rolling_window,
        CASE WHEN rn >= least(48, greatest(2, total // 20)) THEN avg(nd) OVER w END AS rolling_mean,
@@ -592,9 +608,9 @@ SELECT s.series, s.date, s.scenario, s.base_forecast, s.scenario_uplift_pct, s.a
        l.capacity_threshold, s.adjusted_forecast + p.r[1 + CAST('0x' || substr(md5('42:' || s.series || ':'
          || s.scenario || ':' || strftime(s.date, '%Y-%m-%d') || ':' || draw), 1, 8) AS BIGINT) % len(p.r)] AS sim
 FROM scenarios_t s JOIN limit_t l ON l.series = s.series JOIN pools_t p ON p.series = s.series
-CROSS JOIN generate_series(0, 199) g(draw)""")
+CROSS JOIN generate_series(0, 999) g(draw)""")
 part("daily_sims_t", """
-SELECT series, date, scenario, base_forecast, scenario_uplift_pct, avg(sim) AS simulated_mean,
+SELECT series, date, scenario, base_forecast, scenario_uplift_pct, CAST(sum(CAST(sim AS DECIMAL(28, 9))) AS DOUBLE) / count(*) AS simulated_mean,
        quantile_cont(sim, 0.05) AS simulated_p05, quantile_cont(sim, 0.5) AS simulated_p50,
        quantile_cont(sim, 0.95) AS simulated_p95, capacity_threshold,
        avg(CAST(sim > capacity_threshold AS INTEGER)) AS exceedance_probability, actual, demand_regime
@@ -636,13 +652,44 @@ SELECT series, sum(value_mean * pow(0.8::DOUBLE, n - i) * CASE WHEN i = 1 THEN 1
 FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS i,
              count(*) OVER (PARTITION BY series) AS n FROM train_t)
 GROUP BY 1""", "level")
+oracle("top_days", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY value_mean DESC, date) AS place FROM panel_t) WHERE place <= 10""",
+       "value_mean value_peak")
+part("ranks_t", " UNION ALL ".join(
+    f"""SELECT series AS model, '{n}' AS feature, round(abs(corr({e}, value_mean)), 9) AS importance FROM joined_t GROUP BY 1"""
+    for n, e in ({"value_peak": "value_peak"} | FLAGS).items()))
+oracle("importance_rule", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS place FROM ranks_t) WHERE place <= 15
+UNION ALL
+SELECT * FROM (SELECT 'mean' AS model, feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS place
+               FROM (SELECT feature, avg(importance) AS importance FROM ranks_t GROUP BY 1)) WHERE place <= 20""", "importance")
+oracle("ridge_residual_check", " UNION ALL ".join(
+    f"SELECT series, '{n}' AS feature, CAST(0 AS DOUBLE) AS distance FROM train_t GROUP BY 1" for n, _ in AUDITED))
+part("complete_t", f"""
+SELECT date FROM (
+SELECT date, value_mean, {", ".join(f"lag(value_mean, {k}) OVER w AS lag_{k}" for k in LAGS)},
+       {", ".join(f"CASE WHEN count(value_mean) OVER w{n} >= {m} THEN {f}(value_mean) OVER w{n} END AS {name}" for name, f, n, m in ROLLING)},
+       {", ".join(EXOG)}
+FROM joined_t WINDOW w AS (PARTITION BY series ORDER BY date), {", ".join(
+    f"w{n} AS (PARTITION BY series ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (7, 14, 30))}
+) WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' AND value_mean IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in [*NAMES, *EXOG])}""")
+oracle("tree_walk_check", " UNION ALL ".join(
+    f"SELECT '{m}' AS model, count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM complete_t" for m in ("random_forest", "gradient_boosting")))
+part("moves_t", """
+SELECT series, value_mean - y AS d, y FROM (
+  SELECT series, value_mean, lag(value_mean) OVER (PARTITION BY series ORDER BY date) AS y FROM panel_t WHERE value_mean IS NOT NULL)
+WHERE y IS NOT NULL""")
+oracle("adf_given_lag", """
+SELECT series, b / sqrt((regr_syy - b * b * regr_sxx) / (n - 2) / regr_sxx) AS adf_statistic, CAST(0 AS BIGINT) AS adf_used_lag, n AS adf_n_obs
+FROM (SELECT series, regr_slope(d, y) AS b, regr_sxx(d, y) AS regr_sxx, regr_syy(d, y) AS regr_syy, count(*) AS n FROM moves_t GROUP BY 1)""",
+       "adf_statistic")
 part("bins_t", """
-SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 512)), 511) AS bin, count(*) AS rows, any_value(lo) AS lo, any_value(hi) AS hi,
+SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 4096)), 4095) AS bin, count(*) AS rows, any_value(lo) AS lo, any_value(hi) AS hi,
        any_value(n) AS n, any_value(sd * pow(n, -0.2::DOUBLE)) AS h
 FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n, stddev_samp(o_totalprice) AS sd FROM orders)
 GROUP BY 1""")
 oracle("density", """
 SELECT lo + (hi - lo) * i / 49 AS x,
-       sum(rows * exp(-pow((lo + (hi - lo) * i / 49 - (lo + (hi - lo) * (bin + 0.5) / 512)) / h, 2) / 2))
+       sum(rows * exp(-pow((lo + (hi - lo) * i / 49 - (lo + (hi - lo) * (bin + 0.5) / 4096)) / h, 2) / 2))
          / (any_value(n) * any_value(h) * sqrt(2 * pi())) * 1e6 AS density
 FROM bins_t CROSS JOIN generate_series(0, 49) g(i) GROUP BY i, lo, hi""", "x density")

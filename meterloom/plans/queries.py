@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from meterloom.functions.clock import (
     add_calendar, expected_periods, last_sunday, parse_stamp,
 )
-from meterloom.functions.names import sarimax_regressors
+from meterloom.functions.names import numeric_columns, sarimax_regressors
 from meterloom.operators import (
-    baseline, daily, evaluate, features, learn, profile, quality, recursive, scenario, smoothing, stationarity,
+    baseline, daily, evaluate, features, learn, profile, quality, recursive, regression, scenario, smoothing, stationarity,
 )
 from meterloom.operators import sarimax as sarimax_
 from meterloom.operators.quantiles import exact_quantiles, union_all
@@ -30,16 +30,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-# Added before rounding: means of money amounts often end exactly on half of the last digit, where the
-# order of summation would decide. Both engines add it.
-NUDGE = 1.7320508e-7
-
-
 def shown(df: DataFrame) -> DataFrame:
-    """Round fractions to 6 digits and widen whole numbers, so results compare across engines."""
+    """Round fractions to 6 digits and widen whole numbers, so results compare across engines.
+
+    Means of money amounts often end exactly on half of the last digit. The bits in which two orders of summation
+    differ are rounded away first, at 8 digits, so that such a half is one in every engine.
+    """
     def cell(f: T.StructField):
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return F.round(F.col(f.name) + NUDGE, 6).alias(f.name)
+            return F.round(F.round(F.col(f.name), 8), 6).alias(f.name)
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)):
             return F.col(f.name).cast("long").alias(f.name)
         return F.col(f.name)
@@ -111,16 +110,15 @@ def scenario_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 @query
 def yearly_union(spark, folder):
     """Yearly tables, the first of which lacks a column."""
-    orders = table(spark, folder, "orders")
-    frames = {}
-    for year in range(1995, 2002):
-        first, next_ = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
-        part = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < next_)).select(
-            F.col("o_orderkey").alias(" Order-Key "), F.col("o_totalprice").alias("Total  Price"),
-            F.col("o_orderstatus").alias("Order Status"),
-        )
-        frames[year] = part.drop("Order Status") if year == 1995 else part
-    return union_yearly(frames)
+    orders, year = table(spark, folder, "orders"), F.year("o_orderdate")
+    first = orders.agg(F.min(year)).first()[0]
+    named = orders.select(
+        F.col("o_orderkey").alias(" Order-Key "), F.col("o_totalprice").alias("Total  Price"),
+        F.col("o_orderstatus").alias("Order Status"), year.alias("source_year"),
+    )
+    return union_yearly([
+        named.where(F.col("source_year") == first).drop("Order Status"), named.where(F.col("source_year") > first)
+    ])
 
 
 def resources(spark, folder):
@@ -237,12 +235,11 @@ def window_predicates(spark, folder):
 
 @query
 def member_filters(spark, folder):
-    """Series days with and without any shipment."""
-    panel = daily_orders(spark, folder)
+    """Series days with and without any shipment, and whether the series is one of a list."""
+    panel = daily_orders(spark, folder).withColumn("listed", F.col("series").isin("1-URGENT", "2-HIGH"))
     shipped = table(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
-    kept = panel.where(F.col("series").isin("1-URGENT", "2-HIGH"))
     return union_all([
-        kept.join(shipped, "date", how).select("series", "date", F.lit(how).alias("kind"))
+        panel.join(shipped, "date", how).select("series", "date", "listed", F.lit(how).alias("kind"))
         for how in ("left_semi", "left_anti")
     ])
 
@@ -271,11 +268,8 @@ def daily_coverage(spark, folder):
 
 @query
 def ts_gaps(spark, folder):
-    seen = quality.distinct_stamps(stamped(spark, folder), keys=["event_type"])
-    return union_all([
-        quality.timestamp_gaps(seen.where(F.col("event_type") == kind)).withColumn("event_type", F.lit(kind))
-        for kind in ("view", "click")
-    ])
+    """Half-hours in which nothing happened, whatever the kind of event."""
+    return quality.timestamp_gaps(stamped(spark, folder))
 
 
 @query
@@ -341,7 +335,7 @@ def histogram50(spark, folder):
 @query
 def density(spark, folder):
     """Density per million, so that six digits carry information."""
-    curve = profile.density_curve(table(spark, folder, "orders"), "o_totalprice", points=50, bins=512)
+    curve = profile.density_curve(table(spark, folder, "orders"), "o_totalprice", points=50)
     return curve.withColumn("density", F.col("density") * 1e6)
 
 
@@ -378,6 +372,14 @@ def corr_target(spark, folder):
     )
 
 
+@query
+def corr_ranked(spark, folder):
+    """Correlations of every numeric column with the target, the strongest first whatever its sign."""
+    joined = daily_joined(spark, folder)
+    found = profile.correlations(joined, TARGET, [c for c in numeric_columns(joined) if c != TARGET], SERIES)
+    return evaluate.ranked(found, "correlation_with_target", SERIES, False, "column", absolute=True)
+
+
 @query
 def corr_matrix(spark, folder):
     return profile.correlation_matrix(daily_joined(spark, folder, []), [TARGET, "value_peak", *EXOGENOUS])
@@ -398,6 +400,15 @@ def lag_corr(spark, folder):
     )
 
 
+@query
+def lag_corr_top(spark, folder):
+    """Lagged correlations of the columns that correlate most with the target."""
+    series = stored_half_hours(spark, folder)
+    others = [c for c in numeric_columns(series) if c not in ("nd", "duplicate_count")]
+    top = profile.strongest(profile.correlations(series, "nd", others), 3)
+    return profile.lagged_correlations(series, "settlement_datetime", "nd", top, block=500)
+
+
 @query
 def rolling_stats(spark, folder):
     return profile.rolling_statistics(stored_half_hours(spark, folder), "settlement_datetime", "nd", block=500)
@@ -624,6 +635,12 @@ def box_stats(spark, folder):
     return profile.box_statistics(naive_errors(spark, folder), "error", [*SERIES, "model"])
 
 
+@query
+def top_days(spark, folder):
+    """The ten best days of each series."""
+    return evaluate.top_per_group(daily_orders(spark, folder), SERIES, TARGET, 10, "date")
+
+
 @query
 def residual_acf(spark, folder):
     return evaluate.residual_autocorrelation(naive_errors(spark, folder), SERIES)
@@ -698,12 +715,12 @@ def scenario_rows(spark, folder):
     )
 
 
-def simulated(spark: SparkSession, folder: str, draws: int = 200) -> tuple[DataFrame, DataFrame]:
+def simulated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     context, table_ = scenario_inputs(spark, folder)
     thresholds = scenario.capacity_threshold(table_, TARGET, TEST_START, SERIES)
     rows = scenario.scenario_rows(context, table_, TEST_START, SERIES)
     pool = scenario.residual_pool(context, SERIES)
-    return scenario.bootstrap(rows, pool, thresholds, draws, 42, SERIES), thresholds
+    return scenario.bootstrap(rows, pool, thresholds, keys=SERIES), thresholds
 
 
 @query
@@ -727,7 +744,7 @@ def capacity_pressure(spark, folder):
 
 @query
 def scenario_method(spark, folder):
-    draws, thresholds = simulated(spark, folder, 20)
+    draws, thresholds = simulated(spark, folder)
     return scenario.method_summary(
         draws, thresholds, design_comparison(spark, folder), "seasonal_naive_forecast", SERIES
     )
@@ -735,50 +752,54 @@ def scenario_method(spark, folder):
 
 # --- models -----------------------------------------------------------------------------------------------
 
-# Short ensembles keep the registered queries quick; the functions default to full length.
-SHORT = {"random_forest": {"numTrees": 20}, "gradient_boosting": {"maxIter": 20, "stepSize": 0.1}}
+def modelled(spark: SparkSession, folder: str) -> DataFrame:
+    """All daily series with outside influences."""
+    return cut_lineage(daily_joined(spark, folder))
 
 
-def modelled(spark: SparkSession, folder: str) -> DataFrame:
-    """The single daily series with outside influences."""
-    return cut_lineage(daily_joined(spark, folder, []))
+def ahead(spark, folder, *models):
+    return learn.one_day_ahead(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES, list(models))
 
 
 @query
 def ridge_forecast(spark, folder):
     """One ridge model per priority series."""
-    panel = cut_lineage(daily_joined(spark, folder))
-    return learn.one_day_ahead(panel, TARGET, TEST_START, TEST_END, SERIES, ["ridge"])[0]
+    return ahead(spark, folder, "ridge")[0]
 
 
 @query
 def ridge_coefficients(spark, folder):
-    panel = cut_lineage(daily_joined(spark, folder))
-    _, fitted = learn.one_day_ahead(panel, TARGET, TEST_START, TEST_END, SERIES, ["ridge"])
-    return learn.ridge_coefficients(fitted)
+    return learn.ridge_coefficients(ahead(spark, folder, "ridge")[1])
+
+
+@query
+def ridge_residual_check(spark, folder):
+    """Distance of every ridge model from its normal equations, zero to six digits."""
+    train, _, columns = learn.model_matrix(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES)
+    flags = {f.name: F.col(f.name).cast("int") for f in train.schema if f.name in columns and f.dataType.simpleString() == "boolean"}
+    train = cut_lineage(train.withColumns(flags))
+    model = learn.fit_models(train, TARGET, columns, SERIES, ["ridge"]).ridge
+    return regression.ridge_residuals(model, train, TARGET, columns, SERIES)
 
 
 @query
 def forest_forecast(spark, folder):
-    return learn.one_day_ahead(
-        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["random_forest"], SHORT
-    )[0]
+    return ahead(spark, folder, "random_forest")[0]
 
 
 @query
 def gbt_forecast(spark, folder):
-    return learn.one_day_ahead(
-        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["gradient_boosting"], SHORT
-    )[0]
+    return ahead(spark, folder, "gradient_boosting")[0]
 
 
 @query
 def importance_top(spark, folder):
     """Fifteen most important inputs of each tree model, and twenty by mean importance."""
-    _, fitted = learn.one_day_ahead(
-        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["random_forest", "gradient_boosting"], SHORT
-    )
-    importance = learn.importance_table(fitted)
+    _, fitted = ahead(spark, folder, "random_forest", "gradient_boosting")
+    return top_importance(learn.importance_table(fitted))
+
+
+def top_importance(importance: DataFrame) -> DataFrame:
     mean = learn.mean_importance(importance).withColumn("model", F.lit("mean"))
     return union_all([
         evaluate.top_per_group(importance, ["model"], "importance", 15, "feature"),
@@ -786,31 +807,41 @@ def importance_top(spark, folder):
     ])
 
 
+@query
+def importance_rule(spark, folder):
+    """The ranking of importances over a table that SQL can build: absolute correlations of each series' inputs."""
+    joined = add_calendar(daily_joined(spark, folder), only=["is_weekend", "month", "day_of_week"])
+    inputs = [*EXOGENOUS, "value_peak", "is_weekend", "month", "day_of_week"]
+    found = profile.feature_correlations(joined, inputs, [TARGET], SERIES)
+    return top_importance(found.select(
+        F.col("series").alias("model"), "feature", F.round(F.abs(f"correlation_with_{TARGET}"), 9).alias("importance")))
+
+
 @query
 def operational_metrics(spark, folder):
     """Accuracy by regime of the one-day-ahead models."""
-    forecasts, _ = learn.one_day_ahead(
-        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], ["ridge", "gradient_boosting"], SHORT
-    )
-    return learn.regime_metrics(forecasts)
+    return learn.regime_metrics(ahead(spark, folder, *learn.MODELS)[0], SERIES)
 
 
 @query
 def recursive_forecast(spark, folder):
-    """Strict multi-step forecasts of every series by ridge and boosted trees."""
-    panel = cut_lineage(daily_joined(spark, folder))
-    return recursive.strict_recursive(
-        panel, TARGET, TEST_START, TEST_END, SERIES, "drop", ["ridge", "gradient_boosting"], SHORT
-    )[0]
+    """Strict multi-step forecasts of every series by all models."""
+    return recursive.strict_recursive(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES, "drop")[0]
 
 
 @query
 def recursive_metrics(spark, folder):
     """Accuracy by regime when models see same-day observations but not the target."""
-    forecasts, _ = recursive.strict_recursive(
-        modelled(spark, folder), TARGET, TEST_START, TEST_END, [], "actual", ["ridge"], SHORT
-    )
-    return evaluate.metrics(forecasts, ["demand_regime", "model"])
+    forecasts, _ = recursive.strict_recursive(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES, "actual")
+    return evaluate.metrics(forecasts, [*SERIES, "demand_regime", "model"])
+
+
+@query
+def tree_walk_check(spark, folder):
+    """Forecast days on which the tree walk of the recursion differs from Spark's own prediction, per model."""
+    train, test, columns = learn.model_matrix(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES)
+    fitted = learn.fit_models(train, TARGET, columns, SERIES, ["random_forest", "gradient_boosting"])
+    return recursive.walk_differences(fitted, test)
 
 
 @query
@@ -843,6 +874,13 @@ def adf(spark, folder):
     return stationarity.dickey_fuller(stored_orders(spark, folder), "date", TARGET, SERIES)
 
 
+@query
+def adf_given_lag(spark, folder):
+    """The test without lagged moves, which has a closed form."""
+    return stationarity.dickey_fuller(stored_orders(spark, folder), "date", TARGET, SERIES, lag=0).select(
+        "series", "adf_statistic", "adf_used_lag", "adf_n_obs")
+
+
 @query
 def stationarity_checks(spark, folder):
     return stationarity.stationarity(stored_half_hours(spark, folder), "settlement_datetime", "nd")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.names import (
-    CORRELATION_CANDIDATES, default_target, demand_columns, external_columns, sarimax_regressors,
+    CORRELATION_CANDIDATES, default_target, demand_columns, external_columns, numeric_columns, sarimax_regressors,
 )
 from meterloom.operators import (
     baseline, daily, evaluate, features, learn, profile, quality, recursive, sarimax, scenario, smoothing,
@@ -33,29 +33,44 @@ def prepare(raw: DataFrame, target: str = "nd", ordinal: str = "ordinal", keys:
 
 
 def explore(raw: DataFrame, ordinal: str = "ordinal", target: str | None = None) -> Tables:
-    """Profile tables of raw records. Series statistics run on records with duplicates resolved."""
+    """Profile tables of raw records. Series statistics run on records with duplicates resolved.
+
+    Every numeric column is correlated with the target and ranked by absolute value; the ten strongest that are no
+    targets themselves are correlated with a lag.
+    """
     stamped = quality.ensure_stamp(raw)
     target = target or default_target(raw)
     series = cut_lineage(quality.resolve_duplicates(stamped, ordinal=ordinal))
-    stamp, outside = quality.STAMP, external_columns(raw)
+    stamp = quality.STAMP
     rows = stamped.select(ordinal, stamp, *[c for c in raw.columns if c not in (ordinal, stamp)])
     tables = {
         "column_summary": quality.column_profile(rows, ordinal),
         "missing_values": quality.missing_values(rows),
         "duplicates": quality.duplicate_row_counts(rows.drop(ordinal), stamp),
+        "datetime_columns": stamped.sparkSession.createDataFrame(
+            [(c,) for c in quality.detect_datetime_columns(rows, ordinal=ordinal)], "column string"),
+        "external_columns": stamped.sparkSession.createDataFrame([(c,) for c in external_columns(raw)], "column string"),
         "time_steps": quality.step_summary(stamped),
         "gaps": quality.timestamp_gaps(stamped),
         "targets": profile.target_summary(rows, demand_columns(raw) or [target]),
         "patterns": profile.pattern_means(rows, stamp, target),
         "histogram": profile.histogram(rows, target),
         "null_map": quality.null_map(rows, F.to_date(stamp), [c for c in rows.columns if c not in (ordinal, stamp)], "day"),
+        "density": profile.density_curve(rows, target),
+        "weekend": profile.describe(rows.withColumn("is_weekend", F.weekday(stamp) >= 5), target, ["is_weekend"]),
         "outliers": quality.iqr_outliers(rows, target),
+        "outlier_extremes": profile.extremes(quality.iqr_outliers(rows, target).select(ordinal, stamp, target), target, ordinal),
         "rolling": profile.rolling_statistics(series, stamp, target),
         "stationarity": stationarity.stationarity(series, stamp, target),
     }
-    if outside:
-        tables["correlations"] = profile.correlations(rows, target, outside)
-        tables["lagged_correlations"] = profile.lagged_correlations(series, stamp, target, outside[:10])
+    others = [c for c in numeric_columns(raw) if c not in (target, ordinal)]
+    if others:
+        found = cut_lineage(profile.correlations(rows, target, others))
+        tables["correlations"] = evaluate.ranked(found, "correlation_with_target", ascending=False, tie="column", absolute=True)
+        tables["correlation_matrix"] = profile.correlation_matrix(rows, [target, *others])
+        top = profile.strongest(found, 10, [*demand_columns(raw), target])
+        if top:
+            tables["lagged_correlations"] = profile.lagged_correlations(series, stamp, target, top)
     period = profile.decomposition_period(series.limit(96).count())
     if period:
         tables["decomposition"] = profile.decompose(series, stamp, target, period)
@@ -155,32 +170,32 @@ def feature_models(
 
 def validation(
     table: DataFrame, target: str, start: str, end: str, operational: DataFrame, exogenous: str = "drop",
-    models: list[str] | None = None, settings: dict[str, dict] | None = None,
+    models: list[str] | None = None, settings: dict[str, dict] | None = None, keys: Keys = (),
 ) -> Tables:
-    """Feature audit, strict recursive forecasts and the comparison of forecast designs for one series."""
+    """Feature audit, strict recursive forecasts and the comparison of forecast designs."""
     chosen = models or learn.MODELS
-    forecasts, _ = recursive.strict_recursive(table, target, start, end, (), exogenous, chosen, settings)
+    forecasts, _ = recursive.strict_recursive(table, target, start, end, keys, exogenous, chosen, settings)
     forecasts = cut_lineage(forecasts)
-    frame = features.feature_frame(table, target, start)
+    frame = features.feature_frame(table, target, start, keys)
     columns = features.feature_columns(frame, target)
     design = lambda df, name: df.withColumn("forecast_design", F.lit(name))
     # the benchmark looks up the training rows that are complete, as the models do
     used = features.strict_columns(columns, exogenous)
     train = frame.where(F.col("date") < F.lit(start).cast("date")).na.drop(subset=[target, *used])
     _, test = daily.time_split(table, start, end, target)
-    yearly = evaluate.long_forecasts(baseline.seasonal_naive(train, test, target, use_365=False))
-    strict = design(evaluate.metrics(forecasts, ["model"]), f"strict_recursive_{exogenous}_exog").unionByName(
-        design(evaluate.metrics(yearly, ["model"]), "benchmark")
+    yearly = evaluate.long_forecasts(baseline.seasonal_naive(train, test, target, keys, use_365=False), keys)
+    strict = design(evaluate.metrics(forecasts, [*keys, "model"]), f"strict_recursive_{exogenous}_exog").unionByName(
+        design(evaluate.metrics(yearly, [*keys, "model"]), "benchmark")
     )
-    summary = evaluate.operational_summary(operational, target, start, end, chosen)
+    summary = evaluate.operational_summary(operational, target, start, end, chosen, keys)
     audit = features.feature_audit(table.sparkSession, columns, exogenous)
     return {
         "feature_audit": audit,
         "audit_counts": features.audit_counts(audit),
         "operational_summary": summary,
         "forecasts": forecasts,
-        "regime_metrics": evaluate.metrics(forecasts, ["demand_regime", "model"]),
-        "design_comparison": evaluate.compare_designs(summary, strict),
+        "regime_metrics": evaluate.metrics(forecasts, [*keys, "demand_regime", "model"]),
+        "design_comparison": evaluate.compare_designs(summary, strict, keys=keys),
     }
 
 

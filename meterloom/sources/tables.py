@@ -56,14 +56,18 @@ def read_daily(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return validated_dates(read_raw(spark, path, schema))
 
 
-def union_yearly(frames: dict[int, DataFrame]) -> DataFrame:
-    """Stack yearly tables by column name; a column absent from a year is null there."""
+def union_yearly(frames: dict[int, DataFrame] | list[DataFrame]) -> DataFrame:
+    """Stack yearly tables by column name; a column absent from a year is null there.
+
+    Years whose headers agree may come as one table that has a ``source_year`` column: a list of such tables
+    is read once per header, not once per year.
+    """
     if not frames:
         raise ValueError("no yearly table was given")
-    tagged = [
-        normalise_columns(df).withColumn("source_year", F.lit(year))
-        for year, df in sorted(frames.items())
-    ]
+    if isinstance(frames, dict):
+        tagged = [normalise_columns(df).withColumn("source_year", F.lit(year)) for year, df in sorted(frames.items())]
+    else:
+        tagged = [require_columns(normalise_columns(df), "source_year") for df in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 

