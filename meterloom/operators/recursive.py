@@ -124,11 +124,11 @@ class Memory:
 
 def strict_recursive(
     daily: DataFrame, target: str, start: str, end: str, keys: Keys = (), exogenous: str = "drop",
-    models: list[str] | None = None, settings: dict[str, dict] | None = None,
+    models: list[str] | None = None, settings: dict[str, dict] | None = None, fitted: Fitted | None = None,
 ) -> tuple[DataFrame, Fitted]:
     """Forecast the whole test period without looking at its target values.
 
-    Models are fitted by Spark on complete training rows. Then each series runs its recursion over test days, all
+    Models are fitted by Spark on complete training rows, unless ``fitted`` brings ones with the same inputs. Then each series runs its recursion over test days, all
     models at once, started from its last training values; missing inputs take the training median. One
     series has one row per day, which bounds a group by the calendar.
     """
@@ -149,7 +149,10 @@ def strict_recursive(
     for side, part in (("training", train), ("test", test)):
         if part.isEmpty():
             raise ValueError(f"the {side} period holds no usable rows")
-    fitted = fit_models(train, target, columns, keys, models, settings)
+    if fitted is None:
+        fitted = fit_models(train, target, columns, keys, models, settings)
+    elif fitted.columns != columns:
+        raise ValueError(f"the models have other inputs: {fitted.columns}")
 
     fill = train.groupBy(*keys).agg(
         F.array(*[F.percentile(c, F.lit(0.5)) for c in columns]).alias("_fill")

@@ -757,8 +757,38 @@ def modelled(spark: SparkSession, folder: str) -> DataFrame:
     return cut_lineage(daily_joined(spark, folder))
 
 
+# Model matrices and fitted models of this session, by application, folder and model: several queries show
+# different tables of the same full-length ensembles, which take a minute or two to fit.
+_FITS: dict[tuple, object] = {}
+
+
+def _once(spark, folder, name, make):
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _FITS:
+        _FITS[key] = make()
+    return _FITS[key]
+
+
+def matrix(spark, folder):
+    """Stored training and test rows of all series, and their inputs."""
+    return _once(spark, folder, "matrix", lambda: learn.model_matrix(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES))
+
+
+def fits(spark, folder, *models):
+    """The named models, fitted on all training rows."""
+    train, _, columns = matrix(spark, folder)
+    parts = [_once(spark, folder, m, lambda m=m: learn.fit_models(train, TARGET, columns, SERIES, [m])) for m in models]
+    out = learn.Fitted(TARGET, columns, SERIES)
+    for part in parts:
+        out.trees |= part.trees
+        out.ridge = part.ridge if part.ridge is not None else out.ridge
+        out.scales = part.scales if part.scales is not None else out.scales
+    return out
+
+
 def ahead(spark, folder, *models):
-    return learn.one_day_ahead(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES, list(models))
+    fitted = fits(spark, folder, *models)
+    return learn.predict(fitted, matrix(spark, folder)[1]), fitted
 
 
 @query
@@ -775,7 +805,7 @@ def ridge_coefficients(spark, folder):
 @query
 def ridge_residual_check(spark, folder):
     """Distance of every ridge model from its normal equations, zero to six digits."""
-    train, _, columns = learn.model_matrix(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES)
+    train, _, columns = matrix(spark, folder)
     flags = {f.name: F.col(f.name).cast("int") for f in train.schema if f.name in columns and f.dataType.simpleString() == "boolean"}
     train = cut_lineage(train.withColumns(flags))
     model = learn.fit_models(train, TARGET, columns, SERIES, ["ridge"]).ridge
@@ -832,16 +862,15 @@ def recursive_forecast(spark, folder):
 @query
 def recursive_metrics(spark, folder):
     """Accuracy by regime when models see same-day observations but not the target."""
-    forecasts, _ = recursive.strict_recursive(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES, "actual")
+    forecasts, _ = recursive.strict_recursive(
+        modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES, "actual", fitted=fits(spark, folder, *learn.MODELS))
     return evaluate.metrics(forecasts, [*SERIES, "demand_regime", "model"])
 
 
 @query
 def tree_walk_check(spark, folder):
     """Forecast days on which the tree walk of the recursion differs from Spark's own prediction, per model."""
-    train, test, columns = learn.model_matrix(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES)
-    fitted = learn.fit_models(train, TARGET, columns, SERIES, ["random_forest", "gradient_boosting"])
-    return recursive.walk_differences(fitted, test)
+    return recursive.walk_differences(fits(spark, folder, "random_forest", "gradient_boosting"), matrix(spark, folder)[1])
 
 
 @query
