@@ -5,7 +5,11 @@ positions, so a window still gives the same hash if the words there were substit
 different positions. Windows of benchmark items and of documents that agree on a mask's hash are joined. Around
 each hit the two texts are compared word by word on the hit's diagonal, and the best run of agreeing and
 substituted words decides: a leak has at least ``least_words`` words (or all of a shorter item) of which at least
-``similarity`` agree.
+``similarity`` agree. A run begins and ends with words that agree.
+
+The masks lose nothing: whichever words are substituted, a run of 12 words or more that agrees in 80 % of them fits at
+least one of the heavy masks somewhere, and so does a whole item of 4 to 11 words with the light ones (shorter items
+must agree in all words). Light masks serve only items shorter than ``LEAST_WORDS``. Other thresholds need other masks.
 
 The benchmark is cut into blocks of a bounded number of windows. One block after the other is sent to all tasks
 and joined with every document there, so no window of a document is ever shuffled, and a benchmark of any size is
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .text import hashes, mixed, pieces, words
 
-#: Window positions that count; each mask ignores others. Spaced so that shifted masks share few positions.
-MASKS = ("11101001011011", "11010110010111", "10111011100101")
+#: Window positions that count; each mask ignores others. The first four are light, the rest heavy: see above.
+MASKS = ("1111", "11011", "11101", "10111", "11010111", "1110001011", "11111001", "100110111")
+#: Positions that a mask needs to be used on items of :data:`LEAST_WORDS` words or more.
+HEAVY = 6
 LEAST_WORDS = 12
 SIMILARITY = 0.8
 #: Words of all benchmark items that are sent to the tasks at once (about 40 bytes each with three masks).
@@ -73,10 +79,16 @@ class Block:
         span = min(map(len, masks))
         shapes = [_positions(m) for m in masks]
         shapes += [list(range(n)) for n in sorted({len(t) for t in self.tokens if len(t) < span})]
+        heavy = any(len(s) >= HEAVY for s in shapes[: len(masks)])
         self.shapes = []
         for seed, shape in enumerate(shapes):
-            short = seed >= len(masks)
-            found = [(windows(t, shape, seed), i) for i, t in enumerate(self.tokens) if (len(t) == len(shape) if short else len(t) > max(shape))]
+            if seed >= len(masks):
+                fits = lambda n, shape=shape: n == len(shape)
+            elif len(shape) < HEAVY and heavy:
+                fits = lambda n, shape=shape: max(shape) < n < LEAST_WORDS
+            else:
+                fits = lambda n, shape=shape: n > max(shape)
+            found = [(windows(t, shape, seed), i) for i, t in enumerate(self.tokens) if fits(len(t))]
             if not found:
                 continue
             keys = np.concatenate([w for w, _ in found])
@@ -89,7 +101,7 @@ class Block:
         """Different (row, item, diagonal) with an equal window; the diagonal is the item's start in the row."""
         row = np.repeat(np.arange(len(counts)), counts)
         first = np.repeat(np.cumsum(counts) - counts, counts)
-        found = set()
+        found = [np.zeros((0, 3), np.int64)]
         for seed, shape, keys, owner, at in self.shapes:
             asked = windows(tokens, shape, seed)
             low = np.searchsorted(keys, asked, "left")
@@ -98,8 +110,8 @@ class Block:
             n = np.searchsorted(keys, asked[some], "right") - low[some]
             entry = np.repeat(low[some], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             who = np.repeat(some, n)
-            found |= set(zip(row[who].tolist(), owner[entry].tolist(), (who - first[who] - at[entry]).tolist(), strict=True))
-        yield from sorted(found)
+            found.append(np.column_stack([row[who], owner[entry], who - first[who] - at[entry]]))
+        yield from map(tuple, np.unique(np.concatenate(found), axis=0).tolist())
 
     def overlaps(self, tokens: np.ndarray, counts: np.ndarray, least: int, similarity: float) -> Iterator[tuple[int, int, int, int, int]]:
         """Verified (row, item, start, words, agreeing words) of every hit."""
@@ -108,7 +120,10 @@ class Block:
             mine = tokens[starts[row] : starts[row] + counts[row]]
             theirs = self.tokens[item]
             low, high = max(0, diagonal), min(len(mine), diagonal + len(theirs))
-            run = best_run(mine[low:high] == theirs[low - diagonal : high - diagonal], similarity)
+            equal = mine[low:high] == theirs[low - diagonal : high - diagonal]
+            if len(equal) < min(least, len(theirs)):
+                continue
+            run = best_run(equal, similarity)
             if run and run[1] - run[0] >= min(least, len(theirs)):
                 yield row, item, low + run[0], run[1] - run[0], run[2]
 

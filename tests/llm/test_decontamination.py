@@ -93,3 +93,49 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.hits for r in dc.leaks(df, none).collect()] == [[]]
     assert dc.leaks(df.limit(0), df.select(df.doc_id.alias("item_id"), "text")).collect() == []
+
+
+def test_masks_lose_no_run():
+    """Longest runs that avoid all heavy masks, by dynamic programming over the last words: none agrees in 80 %."""
+    heavy = [int(m, 2) for m in dc.MASKS if m.count("1") >= dc.HEAVY]
+    size = 1 << (max(m.bit_length() for m in heavy) - 1)
+    state, best = np.arange(size), np.full(size, -(10**6))
+    best[1] = 1
+    for n in range(2, 121):
+        after = np.full(size, -(10**6))
+        for bit in (0, 1):
+            last = 2 * state + bit
+            hit = np.any([(last & m) == m for m in heavy], axis=0)
+            np.maximum.at(after, last & (size - 1), np.where(hit, -(10**6), best + bit))
+        best = after
+        assert n < 12 or best[state & 1 == 1].max() < 0.8 * n
+
+
+def verified(doc, item):
+    """Longest run over all diagonals, whatever the masks."""
+    d, b = tokens(doc), tokens(item)
+    runs = [brute_run([d[k] == b[k - s] for k in range(max(0, s), min(len(d), s + len(b)))], 0.8) for s in range(-len(b) + 1, len(d))]
+    return best if (best := max(runs, default=0)) >= min(12, len(b)) else 0
+
+
+def test_no_accepted_pattern_is_lost(spark):
+    rng = random.Random(6)
+    prose = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(i, prose(n)) for i, n in enumerate([*range(1, 16), 40, 200])]
+    docs = []
+    for i, words in items:
+        for k in range(12):
+            at = rng.randrange(len(words) - 11) if len(words) > 12 and k % 2 else 0
+            n = len(words) - at if k % 4 != 1 else min(12 + k // 8, len(words) - at)
+            cut = words[at : at + n]
+            if k < 3:  # every fifth word
+                cut = ["x" if j % 5 == k + 1 and j < n - 1 else w for j, w in enumerate(cut)]
+            else:
+                for j in rng.sample(range(1, max(1, n - 1)), min(max(0, n - 2), n // 5)):
+                    cut[j] = "x"
+            docs.append((len(docs), " ".join(prose(15) + cut + prose(15))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(r.row.doc_id, int(h.item_id)): h.words for r in dc.leaks(df, bench).collect() for h in r.hits}
+    want = {(d, i): n for d, text in docs for i, t in items if (n := verified(text, " ".join(t)))}
+    assert got == want and len(want) > 150
