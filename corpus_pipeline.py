@@ -14,8 +14,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language cannot be told; profiles are learned from the documents of this stage."""
-    return language.keep_identified(docs)
+    """Drop documents whose language cannot be told or is none of the labelled ones; profiles and least scores are
+    learned from the documents of this stage."""
+    return language.keep_identified(docs, quantile=language.LEAST_QUANTILE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

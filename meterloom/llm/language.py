@@ -31,6 +31,11 @@ UNDETERMINED = "und"
 MOST_LANGUAGES = 4096
 #: Distinct n-grams turned into vectors at once.
 GRAMS = 2048
+#: A language is told if the cosine is at least this share of a low quantile of held-out documents' cosines. The rest
+#: leaves room for short documents; letters at random and languages that were not learned stay below.
+LEAST_SHARE, LEAST_QUANTILE = 0.4, 0.01
+#: Held-out documents that a quantile needs.
+LEAST_ROWS = 20
 
 _BITS = 21  # of a code point
 
@@ -212,6 +217,30 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict(docs, names, matrix, text).withColumn("held_out", held_out(F.col("row").getField(doc_id)))
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.0, **columns: str) -> DataFrame:
-    """``docs`` without those whose language cannot be told, or is told with less than ``least_score``."""
-    return identify(docs, **columns).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
+def least_scores(judged: DataFrame, share: float = LEAST_SHARE, quantile: float = LEAST_QUANTILE, least_rows: int = LEAST_ROWS) -> tuple[dict[str, float], float]:
+    """Least score by language and for languages that are too rare: ``share`` of the low ``quantile`` of the scores
+    ``(lang_pred, score)`` of documents that were not learned from and were answered rightly. Fewer than
+    ``least_rows`` such documents of a language leave it to those of all, and fewer of all set no bound."""
+    rows = judged.rollup("lang_pred").agg(F.count("*").alias("n"), F.percentile_approx("score", quantile, 10000).alias("low")).collect()
+    bounds = {r["lang_pred"]: share * r["low"] for r in rows if r["n"] >= least_rows}
+    return {k: v for k, v in bounds.items() if k is not None}, bounds.get(None, 0.0)
+
+
+def keep_identified(
+    docs: DataFrame, least_score: float = 0.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float | None = None,
+) -> DataFrame:
+    """``docs`` without those whose language cannot be told, or is told with less than ``least_score``; with a
+    ``quantile``, also without those that are further from every profile than held-out documents (:func:`least_scores`).
+
+    The held-out documents that bounds come from are answered twice instead of storing all answers.
+    """
+    names, matrix = collected(learn(docs.where(~held_out(F.col(doc_id))), text, lang))
+    if quantile is None:
+        return predict(docs, names, matrix, text).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
+    tried = predict(docs.where(held_out(F.col(doc_id)) & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang")), names, matrix)
+    bounds, other = least_scores(tried.where(F.col("row.lang") == F.col("lang_pred")), quantile=quantile)
+    least = F.lit(other)
+    if bounds:
+        least = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang_pred")), least)
+    return predict(docs, names, matrix, text).where(
+        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= F.greatest(least, F.lit(float(least_score))))).select("row.*")

@@ -88,3 +88,16 @@ def test_held_out_accuracy(spark, folder):
     rows = got.join(truth, "doc_id").where("lang is not null").collect()
     assert len(rows) > 40
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) >= 0.95
+
+
+def test_keep_identified_drops_what_no_profile_is_near(spark, folder):
+    clean = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    clean = clean.where("size(split(text, ' ')) >= 30 and lang is not null")
+    rng = random.Random(9)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (12, 60, 400)]
+    junk += ["Η γλώσσα είναι ένα σύστημα που χρησιμοποιούν οι άνθρωποι για να μιλούν μεταξύ τους",
+             "minä olen suomalainen ja puhun suomea koska asun helsingissä talossa järven rannalla"]
+    strange = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(junk)], clean.schema)
+    kept = [r.doc_id for r in language.keep_identified(clean.unionByName(strange), quantile=language.LEAST_QUANTILE).collect()]
+    assert [i for i in kept if i < 0] == []
+    assert len(kept) >= 0.99 * clean.count()
