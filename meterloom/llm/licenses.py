@@ -62,6 +62,66 @@ BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DA
 AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
 OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE
+OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE_END = "For more information, please refer to <{}>"
+
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
+disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such
+copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE
+DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at
+
+    {}://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License."""
+
+_GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU{0} General Public License
+as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU{0} General Public License for more details.
+
+You should have received a copy of the GNU{0} General Public License along with this program. If not, see <{1}://www.gnu.org/licenses/>."""
+
 #: Known texts by licence. Copyright lines play no part; titles do, so texts stand with and without theirs.
 KNOWN: dict[str, tuple[str, ...]] = {
     "MIT": (_MIT, f"MIT License\n{_MIT}", f"The MIT License (MIT)\n{_MIT}", "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"),
@@ -70,8 +130,15 @@ KNOWN: dict[str, tuple[str, ...]] = {
     "0BSD": (f"{_ISC_GRANT}.\n{_ISC_END}", f"BSD Zero Clause License\n{_ISC_GRANT}.\n{_ISC_END}", "SPDX-License-Identifier: 0BSD"),
     "BSD-2-Clause": (f"{_BSD_START}\n{_BSD_END}", f"BSD 2-Clause License\n{_BSD_START}\n{_BSD_END}", "SPDX-License-Identifier: BSD-2-Clause"),
     "BSD-3-Clause": (f"{_BSD_START}\n{_BSD_THIRD}\n{_BSD_END}", f"BSD 3-Clause License\n{_BSD_START}\n{_BSD_THIRD}\n{_BSD_END}", "SPDX-License-Identifier: BSD-3-Clause"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", _APACHE_NOTICE.format("http"), _APACHE_NOTICE.format("https"), "SPDX-License-Identifier: Apache-2.0"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
+    "GPL-3.0-or-later": (_GPL_NOTICE.format("", "http"), _GPL_NOTICE.format("", "https"), "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "LGPL-3.0-or-later": (_GPL_NOTICE.format(" Lesser", "http"), _GPL_NOTICE.format(" Lesser", "https"), "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    "AGPL-3.0-or-later": (_GPL_NOTICE.format(" Affero", "http"), _GPL_NOTICE.format(" Affero", "https"), "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    "Unlicense": (_UNLICENSE, *(f"{_UNLICENSE}\n{_UNLICENSE_END.format(u)}" for u in ("http://unlicense.org", "http://unlicense.org/", "https://unlicense.org")),
+                  "SPDX-License-Identifier: Unlicense"),
+    "Zlib": (_ZLIB, f"zlib License\n{_ZLIB}", "SPDX-License-Identifier: Zlib"),
+    "BSL-1.0": (_BSL, f"Boost Software License - Version 1.0 - August 17th, 2003\n{_BSL}", "SPDX-License-Identifier: BSL-1.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 }
 
@@ -104,11 +171,14 @@ def digest_of(canonical: Column) -> Column:
     return F.when(joined != "", F.sha2(joined.cast("binary"), 256))
 
 
-def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
-    """``(license, digest, size)`` of known texts. Texts that are equal in canonical form have their licences' smallest
-    name."""
+def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN, further: DataFrame | None = None) -> DataFrame:
+    """``(license, digest, size)`` of known texts and of those in the table ``further`` (license, text). Texts that are
+    equal in canonical form have their licences' smallest name."""
     rows = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, texts in known.items() for text in texts]
-    lines = spark.range(1).select(F.inline(F.array(*rows))).withColumn("text", canonical_lines(F.col("text")))
+    texts = spark.range(1).select(F.inline(F.array(*rows)))
+    if further is not None:
+        texts = texts.unionByName(further.select("license", "text").where("license IS NOT NULL"))
+    lines = texts.withColumn("text", canonical_lines(F.col("text")))
     return lines.select("license", digest_of(F.col("text")).alias("digest"), F.length(_joined(F.col("text"))).alias("size")).where(
         "digest IS NOT NULL").groupBy("digest", "size").agg(F.min("license").alias("license"))
 

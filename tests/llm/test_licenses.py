@@ -50,3 +50,13 @@ def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"), known).collect() == []
     got = licenses.scan(spark.createDataFrame([(1, "MIT License")], "doc_id long, text string"), known.limit(0)).collect()
     assert [(r.license, r.line_licenses) for r in got] == [(None, [])]
+
+
+def test_whole_texts_and_notices_of_more_licenses(spark):
+    names = ["Unlicense", "Zlib", "BSL-1.0", "Apache-2.0", "GPL-3.0-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later"]
+    rows = [(n, "Copyright 2020 Someone\n\n" + max(licenses.KNOWN[n], key=len).upper()) for n in names] + [("Own-1.0", "The text\nof an own licence.")]
+    assert all(len(t) > 500 for _, t in rows[:-1])
+    further = spark.createDataFrame([("Own-1.0", "the text of an own license"), (None, "x")], "license string, text string")
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df, licenses.known_digests(spark, further=further)).collect()}
+    assert got == {n: n for n, _ in rows}
