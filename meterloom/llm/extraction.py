@@ -4,8 +4,9 @@ A page is read into text blocks; each has a root-to-leaf path of block tags. Tex
 are added up per path: an article's paragraphs share one path and have much text and punctuation per node, menus
 and teasers have little text, no punctuation and mostly links. The ratios are smoothed over neighbouring blocks,
 fused into one score per path, and paths above a threshold are content. Two kinds of markup that authors state
-outright come first: blocks under tags, roles or class names of page furniture never count, and where a page has an
-``article`` or ``main``, blocks outside of it are furniture too. Within an ``article`` only paths of links are left out.
+outright come first: blocks under tags, roles or class names of page furniture never count, and where the paths of an
+``article`` or ``main`` hold most of the page's score, blocks outside of it are furniture too; where they do not, theirs
+are. Within an ``article`` that wins only paths of links are left out.
 
 Each page is handled by itself, in the task that reads it.
 """
@@ -210,14 +211,26 @@ def path_scores(found: list[TextBlock]) -> dict[tuple[str, ...], float]:
     return {p: float(fused[i] * (1 - share[i]) if share[i] < MOST_LINKS else 0.0) for p, i in index.items()}
 
 
+def _winning(found: list[TextBlock]) -> tuple[list[TextBlock], int]:
+    """The blocks of the highest region that holds most of the page's score: the score of a block's path for each
+    character outside of links. A region that loses is left out, as cards beside the text are."""
+    for region in range(max(b.region for b in found), 0, -1):
+        scores = path_scores(found)
+        weight = [scores[b.path] * (len(b.text) - b.links) for b in found]
+        if 2 * sum(w for w, b in zip(weight, found, strict=True) if b.region == region) >= sum(weight):
+            return [b for b in found if b.region == region], region
+        if any(b.region < region for b in found):
+            found = [b for b in found if b.region < region]
+    return found, max(b.region for b in found)
+
+
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """Content blocks of a page in page order, one per line. Null and empty pages, and pages of furniture alone,
     give an empty text; what is no markup at all is one block."""
     found = [b for b in blocks(page or "") if not b.furniture]
     if not found:
         return ""
-    region = max(b.region for b in found)
-    found = [b for b in found if b.region == region]
+    found, region = _winning(found)
     scores = path_scores(found)
     least = threshold * max(scores.values()) if region < 2 else 0.0
     chosen = [scores[b.path] >= least and scores[b.path] > 0 for b in found]

@@ -76,3 +76,16 @@ def test_rows_are_kept(spark):
     got = [(r.row.page_id, r.row.text, r.n_chars) for r in extraction.extract(df).collect()]
     assert got == [(1, "a", 0), (None, "b", len("\n".join(CASES["main"][1]))), (1, "c", 0), (1, "c", 0)]
     assert extraction.extract(df.limit(0)).collect() == []
+
+
+LONG = "This is a long sentence of the text, with a comma, and it goes on for some time, as running text does."
+
+
+@pytest.mark.parametrize("outer", ["div", "main"])
+def test_cards_beside_the_text(outer):
+    cards = "".join(f"<article><h3>Card {k}</h3><p>A few words, {k}.</p></article>" for k in range(4))
+    page = f"<body><{outer}><h1>Title</h1>" + f"<p>{LONG}</p>" * 6 + f"</{outer}><div>{cards}</div></body>"
+    got = extraction.main_text(page)
+    assert got.count(LONG) == 6 and "Card" not in got
+    inside = "<body><main><h1>Title</h1>" + f"<p>{LONG}</p>" * 6 + f"{cards}</main></body>"
+    assert extraction.main_text(inside).count(LONG) == 6
