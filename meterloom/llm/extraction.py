@@ -4,7 +4,8 @@ A page is read into text blocks; each has a root-to-leaf path of block tags. Tex
 are added up per path: an article's paragraphs share one path and have much text and punctuation per node, menus
 and teasers have little text, no punctuation and mostly links. The ratios are smoothed over neighbouring blocks,
 fused into one score per path, and paths above a threshold are content. Two kinds of markup that authors state
-outright come first: blocks under tags, roles or class names of page furniture never count, and where the paths of an
+outright come first: blocks under tags, roles or class names of page furniture do not count (names and forms only where the element
+is not a wrapper of the page's text), and where the paths of an
 ``article`` or ``main`` hold most of the page's score, blocks outside of it are furniture too; where they do not, theirs
 are. Within an ``article`` that wins only paths of links are left out.
 
@@ -40,10 +41,10 @@ BLOCKS = frozenset(
     "title tr ul".split())
 #: Tags whose text is never content.
 FURNITURE = frozenset(
-    "aside button canvas datalist dialog footer form head iframe input label menu nav noframes noscript object select svg "
+    "aside button canvas datalist dialog footer head iframe input label menu nav noframes noscript object select svg "
     "template textarea title".split())
 #: Tags whose inside is not markup.
-RAW = frozenset("iframe math noembed noframes noscript script style svg template textarea title xmp".split())
+RAW = frozenset("iframe noembed noframes noscript script style svg template textarea title xmp".split())
 _RAW_END = {tag: re.compile(f"</{tag}(?![^\\s/>])", re.IGNORECASE | re.ASCII) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id or role that name page furniture.
@@ -71,6 +72,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 class Element:
     tag: str
     furniture: bool
+    #: Number of an element that a hint or its tag makes furniture unless it holds the page's text; none otherwise.
+    hinted: int | None = None
 
 
 @dataclass
@@ -83,27 +86,55 @@ class TextBlock:
     furniture: bool
     #: The region it stands in: 2 an article, 1 the main part, 0 neither.
     region: int
+    #: Hinted elements that it stands in.
+    hinted: tuple[int, ...] = ()
 
 
 def _furniture(tag: str, attributes: str) -> bool:
+    """Whether markup hides an element or its tag is never content."""
     if tag in FURNITURE:
         return True
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
-            if any(w.lower() in HINTS for w in _NAME.findall(value)):
+    return False
+
+
+def _hinted(tag: str, attributes: str) -> bool:
+    """Whether an element is a form or its names hint at furniture."""
+    if tag == "form":
+        return True
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role") and tag not in ("html", "body", "main"):
+            if any(w.lower() in HINTS for w in _NAME.findall(m[2] or m[3] or m[4] or "")):
                 return True
     return False
 
 
+def _judge_hints(out: list[TextBlock]) -> None:
+    """Blocks in hinted elements are furniture, but for elements that hold most of the page's text outside of links
+    and furniture, and all of the articles and main parts if there are some (three quarters of the text if not)."""
+    held: dict[int, int] = {}
+    total = 0
+    for b in out:
+        if not b.furniture:
+            total += len(b.text) - b.links
+            for e in b.hinted:
+                held[e] = held.get(e, 0) + len(b.text) - b.links
+    regions = [set(b.hinted) for b in out if b.region and not b.furniture]
+    inside = set.intersection(*regions) if regions else set()
+    wraps = {e for e, n in held.items() if (e in inside and 2 * n > total) or (not regions and 4 * n > 3 * total)}
+    for b in out:
+        b.furniture = b.furniture or not wraps.issuperset(b.hinted)
+
+
 def blocks(page: str) -> list[TextBlock]:
     """All text blocks of a page in order, furniture included. Open tags may lack their end, as browsers allow."""
     stack: list[Element] = []
     out: list[TextBlock] = []
     text: list[str] = []
-    links = 0
+    links = numbers = 0
 
     def flush() -> None:
         nonlocal links
@@ -112,12 +143,12 @@ def blocks(page: str) -> list[TextBlock]:
             tags = tuple(e.tag for e in stack if e.tag in BLOCKS)
             region = 2 if "article" in tags else 1 if "main" in tags else 0
             hidden = any(e.furniture for e in stack) or ("header" in tags and not region)
-            out.append(TextBlock(tags, whole, min(links, len(whole)), hidden, region))
+            out.append(TextBlock(tags, whole, min(links, len(whole)), hidden, region, tuple(e.hinted for e in stack if e.hinted is not None)))
         text.clear()
         links = 0
 
     def close(index: int) -> None:
-        if any(e.tag in BLOCKS or e.furniture for e in stack[index:]):
+        if any(e.tag in BLOCKS or e.furniture or e.hinted is not None for e in stack[index:]):
             flush()
         del stack[index:]
 
@@ -158,11 +189,11 @@ def blocks(page: str) -> list[TextBlock]:
                     flush()
             continue
         if tag in RAW and not attributes.endswith("/"):
-            stop = _RAW_END[tag].search(page, at)
+            stop, at_text = _RAW_END[tag].search(page, at), at
             if not stop:
                 break  # what is never closed holds the rest of the page
             at = page.find(">", stop.end()) + 1 or len(page)
-            text.append(" ")
+            text.append(f" {page[at_text : stop.start()]} " if tag == "xmp" else " ")
             continue
         if tag == "br":
             text.append(" ")
@@ -184,11 +215,13 @@ def blocks(page: str) -> list[TextBlock]:
                     break
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
-        furniture = _furniture(tag, attributes)
-        if furniture:
+        furniture, hinted = _furniture(tag, attributes), _hinted(tag, attributes)
+        if furniture or hinted:
             flush()
-        stack.append(Element(tag, furniture))
+        numbers += hinted
+        stack.append(Element(tag, furniture, numbers if hinted else None))
     flush()
+    _judge_hints(out)
     return out
 
 

@@ -89,3 +89,20 @@ def test_cards_beside_the_text(outer):
     assert got.count(LONG) == 6 and "Card" not in got
     inside = "<body><main><h1>Title</h1>" + f"<p>{LONG}</p>" * 6 + f"{cards}</main></body>"
     assert extraction.main_text(inside).count(LONG) == 6
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div class='with-sidebar'><article>", "</article></div>"),
+    ("<article class='post tag-social'>", "</article>"), ("<form action=x><article>", "</article></form>"),
+    ("<form><div class='has-sidebar'><main>", "</main></div></form>"), ("<div class='with-sidebar'>", "</div>")])
+def test_wrappers_with_hints_keep_the_text(start, end):
+    text = f"<p>{LONG}</p>" * 3
+    side = "<div class='sidebar'><p>Some words, beside.</p></div>"
+    comments = "<div class='comments'><p>Nice, thanks.</p></div>"
+    assert extraction.main_text(f"<body>{start}{text}{comments}{end}{side}</body>") == "\n".join([LONG] * 3)
+
+
+def test_math_and_xmp_are_text():
+    page = f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><xmp><b>raw</b></xmp></article>"
+    got = extraction.main_text(page)
+    assert "x=1 holds." in got and "<b>raw</b>" in got
