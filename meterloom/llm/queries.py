@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import cotraining, decontamination, extraction, language, licenses, mixing, repetition, simhash, urls, warc
+from . import (
+    cotraining, decontamination, extraction, infill, language, licenses, mixing, packing, repetition, simhash, urls, warc, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -161,3 +163,50 @@ def op9_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op10_segmented_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"))
+
+
+@_query()
+def op11_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "part")
+    found = found.select("row.vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", parts)
+    return found.select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"), "identity_error")
+
+
+def _digits(place: int) -> str:
+    return f"CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), {8 * place - 7}, 8) AS BIGINT)"
+
+
+@_query(f"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+               {_digits(1)} AS h1, {_digits(2)} AS h2, {_digits(3)} AS h3, {_digits(4)} AS h4
+        FROM documents
+    ), c AS (
+        SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+               CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM d
+    ), p AS (
+        SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p
+""")
+def op12_repeated_capture_infill(spark: SparkSession, folder: str) -> DataFrame:
+    found = infill.transform(_table(spark, folder, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@_query()
+def op13_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    found = packing.pack(packing.tokenised(_table(spark, folder, "documents")))
+    return found.select("row.doc_id", "row.piece", "row.start", "row.length", "row.ids_crc32", "sequence_id", "offset")
