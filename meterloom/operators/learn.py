@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import (
+    DecisionTreeRegressor, GBTRegressionModel, RandomForestRegressionModel, RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from meterloom.operators import evaluate, features
 from meterloom.operators.daily import coerce_numeric, time_split
 from meterloom.operators.regression import coefficient_table, predict_linear, ridge
 from meterloom.operators.series import Keys, attach
-from meterloom.session import cut_lineage
+from meterloom.session import cut_lineage, shared_folder
 
 # Model names and their default settings.
 MODELS = ["ridge", "random_forest", "gradient_boosting"]
@@ -22,6 +26,9 @@ ROWS_A_TASK = 1_500
 FOREST = {"numTrees": 250, "maxDepth": 10, "minInstancesPerNode": 5, "seed": 42}
 BOOSTING = {"maxIter": 250, "stepSize": 0.05, "maxDepth": 3, "minInstancesPerNode": 5, "seed": 42}
 
+# Own choice: boosting rounds between two writes of the residuals.
+ROUNDS_A_WRITE = 10
+
 
 # Own choice: name of the input that tells series apart.
 SERIES_CODE = "series_code"
@@ -75,25 +82,108 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     return vector.transform(numeric).drop(*[f"_x_{c}" for c in columns])
 
 
-def tree_estimator(name: str, target: str, **settings):
-    """Spark ML estimator under the default settings; ``settings`` override single values."""
-    if name == "random_forest":
-        return RandomForestRegressor(
-            labelCol=target, featureSubsetStrategy="all", maxBins=256, maxMemoryInMB=1024, **{**FOREST, **settings}
-        )
-    if name == "gradient_boosting":
-        return GBTRegressor(labelCol=target, lossType="squared", maxBins=256, **{**BOOSTING, **settings})
-    raise ValueError(f"unknown tree model {name}")
+def forest(matrix: DataFrame, label: str, **settings) -> RandomForestRegressionModel:
+    """Random forest under the default settings; ``settings`` override single values."""
+    estimator = RandomForestRegressor(
+        labelCol=label, featureSubsetStrategy="all", maxBins=256, maxMemoryInMB=1024, **{**FOREST, **settings})
+    return estimator.fit(matrix)
+
+
+def boosted(matrix: DataFrame, label: str, **settings) -> GBTRegressionModel:
+    """Boosted trees that start from the mean of the labels, every tree added with the same weight.
+
+    One single Spark tree per round is fitted to what is left of the labels. The start is a tree without a split, whose
+    value is the mean; all trees together are one model of Spark's own kind, so it is applied, inspected and saved like
+    any other. Residuals are written every ``ROUNDS_A_WRITE`` rounds.
+    """
+    chosen = {**BOOSTING, **settings}
+    rate, rounds = chosen.pop("stepSize"), chosen.pop("maxIter")
+    start = DecisionTreeRegressor(labelCol=label, maxDepth=0).fit(matrix)
+    trees = [start]
+    rest = start.setPredictionCol("_tree").transform(matrix).select("features", (F.col(label) - F.col("_tree")).alias("_rest"))
+    estimator = DecisionTreeRegressor(labelCol="_rest", predictionCol="_tree", maxBins=256, **chosen)
+    for done in range(rounds):
+        if done % ROUNDS_A_WRITE == 0:
+            pieces = matrix.rdd.getNumPartitions()
+            rest = cut_lineage(rest).coalesce(pieces)
+        tree = estimator.fit(rest)
+        trees.append(tree)
+        rest = tree.transform(rest).select("features", (F.col("_rest") - rate * F.col("_tree")).alias("_rest"))
+    jvm, gateway = matrix.sparkSession._jvm, matrix.sparkSession.sparkContext._gateway
+    regression = jvm.org.apache.spark.ml.regression
+    members = gateway.new_array(regression.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        members[i], weights[i] = tree._java_obj, rate if i else 1.0
+    return GBTRegressionModel(regression.GBTRegressionModel("boosted", members, weights))
+
+
+def boosting_checks(model: GBTRegressionModel, matrix: DataFrame, label: str, tolerance: float = 1e-6) -> DataFrame:
+    """Two rules that a boosted model must keep on its training rows, with rows checked and rows that break them.
+
+    ``leaf means``: in every round, the value of a leaf is the mean of what was left of the labels of its rows.
+    ``sum of trees``: the forecast is the start plus the weighted values of all trees.
+    """
+    every = []
+    rows = matrix.withColumn("_rest", F.col(label)).withColumn("_sum", F.lit(0.0))
+    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights, strict=True)):
+        rows = tree.setPredictionCol(f"_p{i}").setLeafCol(f"_l{i}").transform(rows)
+        every.append(F.struct(F.lit(i).alias("round"), F.col(f"_l{i}").alias("leaf"), F.col(f"_p{i}").alias("value"), F.col("_rest").alias("rest")))
+        rows = rows.withColumn(f"_e{i}", every[-1]).withColumn("_rest", F.col("_rest") - weight * F.col(f"_p{i}")).withColumn(
+            "_sum", F.col("_sum") + weight * F.col(f"_p{i}")).drop(f"_p{i}", f"_l{i}")
+    applied = model.setPredictionCol("_whole").transform(rows)
+    stored = cut_lineage(applied.select(F.array(*[f"_e{i}" for i in range(len(every))]).alias("_rounds"), "_sum", "_whole"))
+    leaves = stored.select(F.explode("_rounds").alias("e")).groupBy("e.round", "e.leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("e.rest").alias("mean"), F.max("e.value").alias("value"))
+    off = lambda a, b: F.abs(a - b) > tolerance * F.greatest(F.abs(b), F.lit(1.0))
+    means = leaves.agg(F.sum("n").alias("rows"), F.sum(F.when(off(F.col("mean"), F.col("value")), F.col("n")).otherwise(0)).alias("mismatches"))
+    sums = stored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(off(F.col("_sum"), F.col("_whole"))).alias("mismatches"))
+    return means.select(F.lit("leaf means").alias("rule"), "rows", "mismatches").unionByName(
+        sums.select(F.lit("sum of trees").alias("rule"), "rows", "mismatches"))
+
+
+FITS = {"random_forest": (forest, RandomForestRegressionModel), "gradient_boosting": (boosted, GBTRegressionModel)}
+
+
+def tree_model(name: str, matrix: DataFrame, label: str, store: bool = False, **settings):
+    """Fit a tree model; with ``store`` look it up in the shared folder first, under a mark of its training rows.
+
+    The mark is made of all rows and settings, so other rows or settings are another model.
+    """
+    if name not in FITS:
+        raise ValueError(f"unknown tree model {name}")
+    fit, kind = FITS[name]
+    if not store:
+        return fit(matrix, label, **settings)
+    spark = matrix.sparkSession
+    seen = matrix.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.to_json(F.struct("features", label))).cast("decimal(38,0)"))).first()
+    mark = hashlib.sha256(repr((name, tuple(seen), sorted(settings.items()))).encode()).hexdigest()[:32]
+    path = f"{shared_folder(spark)}/model-{mark}"
+    try:
+        return kind.load(path)
+    except Py4JJavaError:  # not there yet
+        model = fit(matrix, label, **settings)
+        model.write().overwrite().save(path)
+        return model
+
+
+def tree_matrix(fitted: Fitted, train: DataFrame) -> DataFrame:
+    """Vectors and labels that trees are fitted to, with the scales of the series filled in."""
+    if fitted.keys and fitted.scales is None:
+        fitted.scales = cut_lineage(series_scales(train, fitted.target, fitted.keys))
+    rows = assemble(scaled_inputs(train, fitted), fitted.tree_columns)
+    matrix = rows.select("features", F.col(fitted.target).cast("double").alias(fitted.target))
+    return matrix.coalesce(max(1, -(-train.count() // ROWS_A_TASK)))
 
 
 def fit_models(
     train: DataFrame, target: str, columns: list[str], keys: Keys = (),
-    models: list[str] | None = None, settings: dict[str, dict] | None = None,
+    models: list[str] | None = None, settings: dict[str, dict] | None = None, store: bool = False,
 ) -> Fitted:
     """Fit the listed models on complete rows: ridge per series, trees over all of them.
 
     The training table has one row per series and day; it is read in pieces of ``ROWS_A_TASK`` rows, because
-    trees start many small jobs over it.
+    trees start many small jobs over it. ``store``: see :func:`tree_model`.
     """
     chosen, settings = models or MODELS, settings or {}
     fitted = Fitted(target, columns, list(keys))
@@ -101,12 +191,9 @@ def fit_models(
         fitted.ridge = cut_lineage(ridge(train, target, columns, keys, settings.get("ridge", {}).get("alpha", RIDGE_ALPHA)))
     named = [m for m in chosen if m != "ridge"]
     if named:
-        if keys:
-            fitted.scales = cut_lineage(series_scales(train, target, keys))
-        matrix = assemble(scaled_inputs(train, fitted), fitted.tree_columns).select("features", F.col(target).cast("double").alias(target))
-        matrix = matrix.coalesce(max(1, -(-train.count() // ROWS_A_TASK)))
+        matrix = tree_matrix(fitted, train)
         for name in named:
-            fitted.trees[name] = tree_estimator(name, target, **settings.get(name, {})).fit(matrix)
+            fitted.trees[name] = tree_model(name, matrix, target, store, **settings.get(name, {}))
     return fitted
 
 

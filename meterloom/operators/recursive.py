@@ -1,125 +1,127 @@
-"""Strict multi-step evaluation: forecasts feed the lag and rolling inputs of later days."""
+"""Strict multi-step evaluation: forecasts feed the lag and rolling inputs of later days.
+
+A series is one row that holds its history and what is known of its test days. The linear model runs as one fold in
+the JVM. Tree models go day by day for all series at once: the inputs of a day are expressions over the history, the
+fitted model's own ``transform`` gives the forecast, and the forecast is added to the history. Every few days the
+table of series is written to the shared folder, which keeps plans short and lets lost executors repeat little.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.operators import features
 from meterloom.operators.daily import coerce_numeric
-from meterloom.operators.learn import SERIES_CODE, Fitted, assemble, fit_models, is_history, scaled_inputs
+from meterloom.operators.folds import back, days_of, fold, last, mean, pushed
+from meterloom.operators.learn import SERIES_CODE, Fitted, fit_models, is_history
 from meterloom.operators.quantiles import union_all
 from meterloom.operators.series import Keys, attach
-from meterloom.session import cut_lineage, shared_path
+from meterloom.session import cut_lineage
+
+#: Days back that lags and windows reach.
+REACH = max(*features.LAGS, *[length for _, length, _ in features.ROLLING.values()])
+
+# Own choice: days that tree models go between two writes.
+DAYS_A_WRITE = 6
+
+
+def next_inputs(history: Column, known: Column, fill: Column, columns: list[str]) -> list[Column]:
+    """Inputs of the day after ``history``: its lags and windows, else the known value, else the training median."""
+    lags = {f"lag_{k}": back(history, k) for k in features.LAGS}
 
+    def rolled(statistic: str, length: int, fewest: int) -> Column:
+        part = last(history, length)
+        return F.when(F.size(part) >= fewest, F.array_max(part) if statistic == "max" else mean(part))
 
-# Own choice: nodes of an ensemble that are sent to the tasks at most (about 50 bytes each).
-MOST_NODES = 4_000_000
+    made = {**lags, **{name: rolled(*rule) for name, rule in features.ROLLING.items()}}
+    return [F.coalesce(made.get(c, known[i]), fill[i]) for i, c in enumerate(columns)]
 
 
-def tree_nodes(model) -> dict[str, np.ndarray]:
-    """Nodes of a fitted Spark tree ensemble as flat arrays.
+def linear_recursion(state: DataFrame, columns: list[str], weights: str = "_weights") -> DataFrame:
+    """Add ``_made``, the forecasts of all days of a series by a linear model, as one fold.
 
-    The saved form of the model holds one row per node. Its size is bounded by the number and depth of
-    the trees, not by the data.
+    ``state`` holds per series ``_history`` (training values in order), ``_days`` (test days with their ``known``
+    inputs), ``_fill`` (a value per input for missing ones) and ``weights`` (intercept first).
     """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    path = shared_path(spark, "trees")
-    model.save(path)
-    stored = spark.read.parquet(f"{path}/data")
-    if stored.count() > MOST_NODES:
-        raise ValueError(f"more than {MOST_NODES} tree nodes; use fewer or shallower trees")
-    nodes = (
-        stored.select(
-            "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-            "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-        )
-        .toPandas()
-        .sort_values(["treeID", "id"])
-        .reset_index(drop=True)
-    )
-    first = nodes.groupby("treeID").size().cumsum().shift(fill_value=0)
-    offset = nodes["treeID"].map(first).to_numpy()
-    leaf = (nodes["leftChild"] < 0).to_numpy()
-    trees = model.getNumTrees
-    weights = np.asarray(model.treeWeights) if type(model).__name__.startswith("GBT") else np.full(trees, 1.0 / trees)
-    return {
-        "feature": np.where(leaf, 0, nodes["featureIndex"].to_numpy()),
-        "threshold": np.where(leaf, 0.0, nodes["threshold"].fillna(0.0).to_numpy()),
-        "left": np.where(leaf, np.arange(len(nodes)), nodes["leftChild"].to_numpy() + offset),
-        "right": np.where(leaf, np.arange(len(nodes)), nodes["rightChild"].to_numpy() + offset),
-        "value": nodes["prediction"].to_numpy(float),
-        "root": first.to_numpy(),
-        "weight": weights,
-    }
-
-
-def walk(nodes: dict[str, np.ndarray], x: np.ndarray) -> float:
-    """Weighted prediction of all trees for one input row, all trees descending together."""
-    at = nodes["root"]
-    while True:
-        goes_left = x[nodes["feature"][at]] <= nodes["threshold"][at]
-        below = np.where(goes_left, nodes["left"][at], nodes["right"][at])
-        if np.array_equal(below, at):
-            return float(nodes["value"][at] @ nodes["weight"])
-        at = below
-
-
-def _walked(sent):
-    """Column function that walks the trees of a broadcast ensemble."""
-
-    @F.pandas_udf("double")
-    def predict(inputs: pd.Series) -> pd.Series:
-        return pd.Series([walk(sent.value, np.asarray(x, float)) for x in inputs])
-
-    return predict
-
-
-def walk_differences(fitted: Fitted, rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Rows on which :func:`walk` and the fitted model's own prediction differ, counted per tree model."""
-    plain = [c for c in rows.columns if c not in fitted.columns]
-    ready = assemble(scaled_inputs(rows.select(*plain, *fitted.columns), fitted), fitted.tree_columns)
-    counts = []
-    for name, model in fitted.trees.items():
-        walked = _walked(rows.sparkSession.sparkContext.broadcast(tree_nodes(model)))
-        both = model.setPredictionCol("_spark").transform(ready).withColumn("_walk", walked(vector_to_array("features")))
-        differs = F.abs(F.col("_spark") - F.col("_walk")) > tolerance * F.greatest(F.abs("_spark"), F.lit(1.0))
-        counts.append(both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(differs).alias("mismatches")).withColumn("model", F.lit(name)))
-    return union_all(counts)
-
-
-class Memory:
-    """Target histories of several models side by side, which grow by one forecast per model and day.
-
-    All models start from the same training values. Which inputs are lags and windows, and how far they reach, is
-    worked out once; a day then reads one slice of the histories for all models together.
+    w = F.col(weights)
+
+    def step(s: Column, day: Column) -> dict[str, Column]:
+        inputs = next_inputs(s["history"], day["known"], F.col("_fill"), columns)
+        value = sum((w[i + 1] * x for i, x in enumerate(inputs)), w[0])
+        return {"history": pushed(s["history"], value, REACH), "made": pushed(s["made"], value)}
+
+    types = {"history": "array<double>", "made": "array<double>"}
+    start = {"history": F.col("_history"), "made": F.array().cast("array<double>")}
+    return state.withColumn("_made", fold(F.col("_days"), start, types, step)["made"])
+
+
+def tree_recursion(state: DataFrame, columns: list[str], models: dict[str, object], horizon: int) -> dict[str, DataFrame]:
+    """Per tree model, ``state`` with ``_made``: forecasts of ``horizon`` days, day by day for all series at once.
+
+    ``state`` also holds ``_mu``, ``_sd`` and the code of each series, in whose units the models were fitted, or none of
+    them. A series with fewer days gets forecasts that belong to no day; they are dropped with its missing days.
+    """
+    units = "_mu" in state.columns
+    start = state.select("*", *[F.col("_history").alias(f"_h_{m}") for m in models], *[F.array().cast("array<double>").alias(f"_m_{m}") for m in models])
+    table = start
+    for day in range(horizon):
+        known = F.get("_days", F.lit(day))["known"]
+        for name, model in models.items():
+            history = F.col(f"_h_{name}")
+            inputs = next_inputs(history, known, F.col("_fill"), columns)
+            if units:
+                inputs = [(x - F.col("_mu")) / F.col("_sd") if is_history(c) else x for x, c in zip(inputs, columns, strict=True)]
+                inputs.append(F.col(SERIES_CODE))
+            ready = table.withColumn("features", array_to_vector(F.array(*inputs)))
+            value = F.col("prediction") * F.col("_sd") + F.col("_mu") if units else F.col("prediction")
+            table = model.setPredictionCol("prediction").transform(ready).withColumn("_value", value).withColumns(
+                {f"_h_{name}": pushed(history, F.col("_value"), REACH), f"_m_{name}": pushed(F.col(f"_m_{name}"), F.col("_value"))}
+            ).select(*start.columns)
+        if day % DAYS_A_WRITE == DAYS_A_WRITE - 1:
+            table = cut_lineage(table)
+    table = cut_lineage(table)
+    return {name: table.select(*state.columns, F.col(f"_m_{name}").alias("_made")) for name in models}
+
+
+def series_state(rows: DataFrame, target: str, start: str, columns: list[str], keys: Keys = ()) -> DataFrame:
+    """One row per series: ``_history``, ``_days`` and ``_fill`` of a table of training and test days.
+
+    History are the last complete training rows. Series without one, or without a test day, have nothing to do.
     """
+    first = F.lit(start).cast("date")
+    train = rows.where(F.col("date") < first).na.drop(subset=[target, *columns])
+    test = rows.where(F.col("date") >= first)
+    for side, part in (("training", train), ("test", test)):
+        if part.isEmpty():
+            raise ValueError(f"the {side} period holds no usable rows")
+    fill = train.groupBy(*keys).agg(F.array(*[F.percentile(c, F.lit(0.5)) for c in columns]).alias("_fill"))
+    newest = Window.partitionBy(*keys).orderBy(F.col("date").desc())
+    tail = train.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= REACH)
+    past = days_of(tail, keys, [target], "_past").select(*keys, F.transform("_past", lambda d: d[target]).alias("_history"))
+    ahead = days_of(test.withColumn("known", F.array(*columns)).withColumn("actual", F.col(target)), keys, ["known", "actual", "demand_regime"])
+    return attach(attach(ahead, past, keys), fill, keys).where(F.col("_history").isNotNull())
 
-    def __init__(self, past: np.ndarray, models: int, ahead: int, columns: list[str]):
-        self.filled = len(past)
-        self.values = np.zeros((models, len(past) + ahead))
-        self.values[:, : self.filled] = past
-        reach = {f"lag_{k}": k for k in features.LAGS}
-        self.lags = [(i, reach[c]) for i, c in enumerate(columns) if c in reach]
-        self.windows = [(i, *features.ROLLING[c]) for i, c in enumerate(columns) if c in features.ROLLING]
 
-    def write_inputs(self, x: np.ndarray) -> None:
-        """Fill the history inputs of the next day into ``x``, a row per model; unknown ones become NaN."""
-        now = self.filled
-        for i, back in self.lags:
-            x[:, i] = self.values[:, now - back] if back <= now else np.nan
-        for i, statistic, length, fewest in self.windows:
-            part = self.values[:, max(0, now - length) : now]
-            x[:, i] = np.nan if part.shape[1] < fewest else getattr(part, statistic)(axis=1)
+def forecast_rows(state: DataFrame, model: str, keys: Keys = ()) -> DataFrame:
+    """One row per series and test day from folded series."""
+    day = F.posexplode("_days").alias("_at", "_day")
+    return state.select(*keys, "_made", day).select(
+        *keys, "_day.date", F.lit(model).alias("model"), "_day.actual", "_day.demand_regime", F.get("_made", F.col("_at")).alias("forecast"))
 
-    def add(self, forecasts: np.ndarray) -> None:
-        self.values[:, self.filled] = forecasts
-        self.filled += 1
+
+def panel_rows(daily: DataFrame, target: str, start: str, end: str, keys: Keys = (), exogenous: str = "drop") -> tuple[DataFrame, list[str]]:
+    """Stored days up to ``end`` with the inputs that a strict run may use, as numbers, and their names."""
+    frame = features.feature_frame(daily, target, start, keys)
+    columns = features.strict_columns(features.feature_columns(frame, target), exogenous)
+    flags = [f.name for f in frame.schema if f.name in columns and f.dataType.simpleString() == "boolean"]
+    numeric = coerce_numeric(frame, [c for c in columns if c not in flags]).withColumns(
+        {c: F.col(c).cast("int").cast("double") for c in flags}
+    )
+    return cut_lineage(numeric.where(F.col("date") <= F.lit(end).cast("date")).select(
+        *keys, "date", F.col(target).cast("double").alias(target), "demand_regime", *columns
+    )), columns
 
 
 def strict_recursive(
@@ -128,87 +130,23 @@ def strict_recursive(
 ) -> tuple[DataFrame, Fitted]:
     """Forecast the whole test period without looking at its target values.
 
-    Models are fitted by Spark on complete training rows, unless ``fitted`` brings ones with the same inputs. Then each series runs its recursion over test days, all
-    models at once, started from its last training values; missing inputs take the training median. One
-    series has one row per day, which bounds a group by the calendar.
+    Models are fitted by Spark on complete training rows, unless ``fitted`` brings ones with the same inputs. Each
+    series starts from its last training values; missing inputs take the training median.
     """
     keys = list(keys)
-    frame = features.feature_frame(daily, target, start, keys)
-    every = features.feature_columns(frame, target)
-    columns = features.strict_columns(every, exogenous)
-    flags = [f.name for f in frame.schema if f.name in columns and f.dataType.simpleString() == "boolean"]
-    numeric = coerce_numeric(frame, [c for c in columns if c not in flags]).withColumns(
-        {c: F.col(c).cast("int").cast("double") for c in flags}
-    )
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    rows = cut_lineage(numeric.where(F.col("date") <= last).select(
-        *keys, "date", F.col(target).cast("double").alias(target), "demand_regime", *columns
-    ))
-    train = rows.where(F.col("date") < first).na.drop(subset=[target, *columns])
-    test = rows.where(F.col("date") >= first)
-    for side, part in (("training", train), ("test", test)):
-        if part.isEmpty():
-            raise ValueError(f"the {side} period holds no usable rows")
+    rows, columns = panel_rows(daily, target, start, end, keys, exogenous)
+    state = cut_lineage(series_state(rows, target, start, columns, keys))
     if fitted is None:
+        train = rows.where(F.col("date") < F.lit(start).cast("date")).na.drop(subset=[target, *columns])
         fitted = fit_models(train, target, columns, keys, models, settings)
     elif fitted.columns != columns:
         raise ValueError(f"the models have other inputs: {fitted.columns}")
-
-    fill = train.groupBy(*keys).agg(
-        F.array(*[F.percentile(c, F.lit(0.5)) for c in columns]).alias("_fill")
-    )
-    reach = max(max(features.LAGS), *[length for _, length, _ in features.ROLLING.values()])
-    newest = Window.partitionBy(*keys).orderBy(F.col("date").desc())
-    tail = train.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= reach)
-    common = [*keys, "date", F.col(target).alias("actual"), "demand_regime"]
-    both = tail.select(*common, F.lit(False).alias("_test"), F.lit(None).cast("array<double>").alias("_known")).unionByName(
-        test.select(*common, F.lit(True).alias("_test"), F.array(*columns).alias("_known"))
-    )
-    ready = attach(both, fill, keys)
+    made = []
     if fitted.ridge is not None:
-        coefficients = fitted.ridge.select(
-            *keys, F.concat(F.array("intercept"), F.col("coefficients")).alias("_ridge")
-        )
-        ready = attach(ready, coefficients, keys)
-    else:
-        ready = ready.withColumn("_ridge", F.lit(None).cast("array<double>"))
-    scale = F.array("_mu", "_sd", SERIES_CODE).alias("_scale")
-    if fitted.scales is not None:
-        ready = attach(ready, fitted.scales.select(*keys, scale), keys)
-    else:
-        ready = ready.withColumn("_scale", F.lit(None).cast("array<double>"))
-
-    shipped = daily.sparkSession.sparkContext.broadcast({n: tree_nodes(m) for n, m in fitted.trees.items()})
-    names = [*(["ridge"] if fitted.ridge is not None else []), *fitted.trees]
-    history = np.array([is_history(c) for c in columns])
-
-    def forecast(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        ahead = group[group["_test"]]
-        past = group.loc[~group["_test"], "actual"].to_numpy(float)
-        made = np.full((len(names), len(ahead)), np.nan)
-        if past.size:  # a series without a complete training row has nothing to start from
-            medians = np.asarray(group["_fill"].iloc[0], float)
-            weights, scale = group["_ridge"].iloc[0], group["_scale"].iloc[0]
-            mu, sd, code = (0.0, 1.0, []) if scale is None else (scale[0], scale[1], [scale[2]])
-            memory = Memory(past, len(names), len(ahead), columns)
-            for day, known in enumerate(ahead["_known"]):
-                x = np.tile(np.array(known, float), (len(names), 1))
-                memory.write_inputs(x)
-                x = np.where(np.isnan(x), medians, x)
-                for m, name in enumerate(names):
-                    if name == "ridge":
-                        made[m, day] = weights[0] + np.dot(weights[1:], x[m])
-                    else:
-                        scaled = np.append(np.where(history, (x[m] - mu) / sd, x[m]), code)
-                        made[m, day] = mu + sd * walk(shipped.value[name], scaled)
-                memory.add(made[:, day])
-        parts = [ahead.assign(model=name, forecast=made[m]) for m, name in enumerate(names)]
-        return pd.concat(parts)[[*keys, "date", "model", "actual", "demand_regime", "forecast"]]
-
-    types = {f.name: f.dataType.simpleString() for f in ready.schema}
-    schema = ", ".join([
-        *[f"{k} {types[k]}" for k in keys],
-        "date date, model string, actual double, demand_regime string, forecast double",
-    ])
-    return ready.groupBy(*keys).applyInPandas(forecast, schema), fitted
+        weights = fitted.ridge.select(*keys, F.concat(F.array("intercept"), F.col("coefficients")).alias("_weights"))
+        made.append(forecast_rows(linear_recursion(attach(state, weights, keys), columns), "ridge", keys))
+    if fitted.trees:
+        placed = state if fitted.scales is None else attach(state, fitted.scales.select(*keys, "_mu", "_sd", SERIES_CODE), keys)
+        horizon = state.agg(F.max(F.size("_days"))).first()[0] or 0
+        made += [forecast_rows(df, name, keys) for name, df in tree_recursion(placed, columns, fitted.trees, horizon).items()]
+    return union_all(made), fitted

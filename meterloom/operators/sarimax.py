@@ -7,12 +7,15 @@ their error.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.operators.daily import align_to_calendar, densify, standardise
+from meterloom.operators.folds import back, days_of, fold, pushed
 from meterloom.operators.regression import least_squares, linear_value
 from meterloom.operators.series import Keys, attach, by_series, join_series
 from meterloom.session import cut_lineage
@@ -67,6 +70,51 @@ def estimate(train: DataFrame, target: str, keys: Keys = ()) -> tuple[DataFrame,
     return second, shocks.select(*keys, "date", "_y", "_w", "_e")
 
 
+def forecast_days(series: DataFrame) -> DataFrame:
+    """Add ``_made``, a forecast for each entry of ``_days``, to one row per series.
+
+    Needs the last values ``_y``, differences ``_w`` and shocks ``_e`` as arrays and weights ``_ar`` and ``_ma`` at the
+    lags ``TERMS``. Shocks to come are zero; each step undoes both differences.
+    """
+    def step(s: Column, _: Column) -> dict[str, Column]:
+        move = sum((F.col("_ar")[i] * F.coalesce(back(s["w"], k), F.lit(0.0)) + F.col("_ma")[i] * F.coalesce(back(s["e"], k), F.lit(0.0))
+                    for i, k in enumerate(TERMS)), F.lit(0.0))
+        value = move + back(s["y"], 1) + back(s["y"], SEASON) - back(s["y"], SEASON + 1)
+        return {"y": pushed(s["y"], value, SEASON + 1), "w": pushed(s["w"], move, max(TERMS)),
+                "e": pushed(s["e"], F.lit(0.0), max(TERMS)), "made": pushed(s["made"], value)}
+
+    types = dict.fromkeys(("y", "w", "e", "made"), "array<double>")
+    start = {"y": F.col("_y"), "w": F.col("_w"), "e": F.col("_e"), "made": F.array()}
+    return series.withColumn("_made", fold(F.col("_days"), start, types, step)["made"])
+
+
+def given_shocks(moves: Column, ar: Column, ma: Column) -> Column:
+    """Shocks of an array of differenced values under given weights, starting from rest. A null difference is no step's
+    value: it counts as zero, and its shock too."""
+    def step(s: Column, move: Column) -> dict[str, Column]:
+        expected = sum((ar[i] * F.coalesce(back(s["w"], k), F.lit(0.0)) + ma[i] * F.coalesce(back(s["e"], k), F.lit(0.0))
+                        for i, k in enumerate(TERMS)), F.lit(0.0))
+        shock = F.coalesce(move - expected, F.lit(0.0))
+        return {"w": pushed(s["w"], F.coalesce(move, F.lit(0.0)), max(TERMS)), "e": pushed(s["e"], shock, max(TERMS)), "all": pushed(s["all"], shock)}
+
+    types = dict.fromkeys(("w", "e", "all"), "array<double>")
+    return fold(moves, dict.fromkeys(types, F.array()), types, step)["all"]
+
+
+def _panel(past: DataFrame, test: DataFrame, target: str, keys: Keys) -> DataFrame:
+    """One row per series with its test days, and its training days as arrays ``_y``, ``_w`` and ``_e``."""
+    ahead = test.select(*keys, "date", F.col(target).cast("double").alias("actual")).where("actual is not null")
+    of = lambda c: F.transform("_past", lambda d: F.coalesce(d[c], F.lit(0.0))).alias(c)
+    known = days_of(past, keys, ["_y", "_w", "_e"], "_past").select(*keys, of("_y"), of("_w"), of("_e"))
+    return attach(days_of(ahead, keys, ["actual"]), known, keys)
+
+
+def _rows(series: DataFrame, keys: Keys, forecast: Column, name: str, *more: str) -> DataFrame:
+    day = F.posexplode("_days").alias("_at", "_day")
+    rows = series.select(*keys, "_made", *[c for c in ("_known",) if c in series.columns], *more, day)
+    return rows.select(*keys, "_day.date", "_day.actual", forecast.alias(name), *more)
+
+
 def sarima(
     train: DataFrame, test: DataFrame, target: str, keys: Keys = (), name: str = "sarima_forecast"
 ) -> DataFrame:
@@ -77,43 +125,40 @@ def sarima(
     where a series has fewer rows than weights; or the last value, where it is shorter than a season.
     """
     keys = list(keys)
+
+    @F.pandas_udf("array<double>")
+    def calm(weights: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else steadied(np.nan_to_num(np.asarray(w, float)[: len(TERMS)])) for w in weights])
+
     model, days = estimate(train, target, keys)
     newest = Window.partitionBy(*keys).orderBy(F.col("date").desc())
     state = days.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= STATE_DAYS).drop("_back")
-    ahead = test.select(*keys, "date", F.col(target).cast("double").alias("_y")).where("_y is not null")
-    rows = state.withColumn("_test", F.lit(False)).unionByName(
-        ahead.withColumn("_test", F.lit(True)), allowMissingColumns=True
-    )
-    ready = attach(rows, model, keys)
-
-    def forecast(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        past, future = group[~group["_test"]], group[group["_test"]]
-        out = future.assign(actual=future["_y"], forecast=np.nan, status=LAST)
-        known = past["_y"].to_numpy(float)
-        if len(future) and known.size > SEASON:
-            weights = group["coefficients"].iloc[0]
-            fitted = weights is not None
-            weights = np.nan_to_num(weights) if fitted else np.zeros(2 * len(TERMS))
-            ar, ma = steadied(weights[:3]), weights[3:]
-            out["status"] = DIFFERENCES if not fitted else FITTED if np.array_equal(ar, weights[:3]) else SHRUNK
-            y = list(known)
-            w = [0.0] * max(TERMS) + list(past["_w"].fillna(0.0))
-            e = [0.0] * max(TERMS) + list(past["_e"].fillna(0.0))
-            for _ in range(len(future)):
-                step = sum(a * w[-k] + b * e[-k] for a, b, k in zip(ar, ma, TERMS))
-                y.append(step + y[-1] + y[-SEASON] - y[-SEASON - 1])
-                w.append(step)
-                e.append(0.0)
-            out["forecast"] = y[known.size:]
-        elif len(future) and known.size:
-            out["forecast"] = known[-1]
-        return out[[*keys, "date", "actual", "forecast", "status"]]
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "date date, actual double, forecast double, status string"])
-    made = ready.groupBy(*keys).applyInPandas(forecast, schema)
-    return made.withColumnsRenamed({"forecast": name, "status": "sarima_status"})
+    raw = F.transform("coefficients", lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)))
+    zeros = F.array(*[F.lit(0.0)] * len(TERMS))
+    weights = cut_lineage(model.select(*keys, raw.alias("_raw"), calm("coefficients").alias("_calm")))
+    series = attach(_panel(state, test, target, keys), weights, keys)
+    series = series.withColumns({
+        "_known": F.coalesce(F.size("_y"), F.lit(0)), "_ar": F.coalesce("_calm", zeros),
+        "_ma": F.coalesce(F.slice("_raw", len(TERMS) + 1, len(TERMS)), zeros)})
+    shrunk = F.slice("_raw", 1, len(TERMS)) != F.col("_calm")
+    status = F.when(F.col("_known") <= SEASON, LAST).when(F.col("_raw").isNull(), DIFFERENCES).when(shrunk, SHRUNK).otherwise(FITTED)
+    made = forecast_days(series.withColumn("sarima_status", status).withColumn("_last", back(F.col("_y"), 1)))
+    value = F.when(F.col("_known") > SEASON, F.get("_made", F.col("_at"))).otherwise(F.col("_last"))
+    return _rows(made, keys, value, name, "sarima_status", "_last").drop("_last")
+
+
+def sarima_given(
+    train: DataFrame, test: DataFrame, target: str, ar: Sequence[float], ma: Sequence[float], keys: Keys = (), name: str = "sarima_forecast",
+) -> DataFrame:
+    """Forecasts under given weights of past values and past shocks at the lags ``TERMS``; null for series of less than
+    eight known days. Shocks are those that the weights themselves leave, from the first training day on."""
+    known = train.select(*keys, "date", F.col(target).cast("double").alias("_y")).where("_y is not null")
+    moves = known.withColumn("_w", differenced(F.col("_y"), by_series(keys))).withColumn("_e", F.lit(0.0))
+    series = _panel(moves, test, target, keys).withColumns({"_ar": F.array(*map(F.lit, ar)), "_ma": F.array(*map(F.lit, ma))})
+    # The first differences need eight days before them and are no moves of the series.
+    real = F.slice("_w", SEASON + 2, F.greatest(F.size("_w") - SEASON - 1, F.lit(0)))
+    series = cut_lineage(series.withColumn("_w", real)).withColumn("_e", given_shocks(F.col("_w"), F.col("_ar"), F.col("_ma")))
+    return _rows(forecast_days(series), keys, F.get("_made", F.col("_at")), name)
 
 
 def sarimax(

@@ -17,13 +17,14 @@ def part(name: str, sql: str) -> None:
 def oracle(name: str, sql: str, rounded: str = "") -> None:
     """Register SQL, adding the subqueries it mentions and rounding the listed columns."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for other in PARTS:
-            if other not in needed and re.search(rf"\b{other}\b", text):
+            if other not in seen and re.search(rf"\b{other}\b", text):
+                seen.add(other)
                 visit(PARTS[other])
-                if other not in needed:
-                    needed.append(other)
+                needed.append(other)
 
     visit(sql)
     head = ",\n".join(f"{n} AS ({PARTS[n]})" for n in needed)
@@ -31,7 +32,7 @@ def oracle(name: str, sql: str, rounded: str = "") -> None:
     if rounded:
         cells = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(30, 8)), 6) AS DOUBLE) AS {c}" for c in rounded.split())
         body = f"SELECT * REPLACE ({cells}) FROM ({body})"
-    ORACLE[name] = f"WITH {head}\n{body}" if head else body
+    ORACLE[name] = f"WITH RECURSIVE {head}\n{body}" if head else body
 
 
 # --- shared inputs -------------------------------------------------------------------------------
@@ -673,8 +674,99 @@ SELECT date, value_mean, {", ".join(f"lag(value_mean, {k}) OVER w AS lag_{k}" fo
 FROM joined_t WINDOW w AS (PARTITION BY series ORDER BY date), {", ".join(
     f"w{n} AS (PARTITION BY series ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (7, 14, 30))}
 ) WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' AND value_mean IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in [*NAMES, *EXOG])}""")
-oracle("tree_walk_check", " UNION ALL ".join(
-    f"SELECT '{m}' AS model, count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM complete_t" for m in ("random_forest", "gradient_boosting")))
+part("trained_t", f"""
+SELECT count(*) AS n FROM (SELECT {", ".join(f"lag(value_mean, {k}) OVER w AS lag_{k}" for k in LAGS)},
+       {", ".join(f"CASE WHEN count(value_mean) OVER w{n} >= {m} THEN {f}(value_mean) OVER w{n} END AS {name}" for name, f, n, m in ROLLING)},
+       {", ".join(EXOG)}, date, value_mean
+FROM joined_t WINDOW w AS (PARTITION BY series ORDER BY date), {", ".join(
+    f"w{n} AS (PARTITION BY series ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (7, 14, 30))}
+) WHERE date < DATE '2000-01-01' AND value_mean IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in [*NAMES, *EXOG])}""")
+oracle("boosting_rules", """
+SELECT 'leaf means' AS rule, n * 21 AS rows, CAST(0 AS BIGINT) AS mismatches FROM trained_t
+UNION ALL SELECT 'sum of trees', n, 0 FROM trained_t""")
+
+# The linear recursion: history and forecasts of a series in one list, a day at a time.
+GIVEN = dict(
+    lag_1=0.2, lag_2=0.05, lag_7=0.15, lag_365=0.05, rolling_7_mean=0.2, rolling_14_mean=0.05, rolling_30_mean=0.15,
+    rolling_7_max=0.02, rolling_30_max=0.03, month=120.0, is_weekend=-900.0, embedded_solar_capacity_mean=350.0)
+
+
+def _next_input(name: str) -> str:
+    if name.startswith("lag_"):
+        return f"h[-{name[4:]}]"
+    if name.startswith("rolling_"):
+        _, length, statistic = name.split("_")
+        fewest = {"7": 3, "14": 7, "30": 14}[length]
+        return f"CASE WHEN len(h) >= {fewest} THEN list_{'avg' if statistic == 'mean' else 'max'}(h[greatest(len(h) - {int(length) - 1}, 1):]) END"
+    return f"k_{name}"
+
+
+part("inputs_t", f"""
+SELECT series, date, value_mean, {", ".join(f"lag(value_mean, {k}) OVER w AS lag_{k}" for k in LAGS)},
+       {", ".join(f"CASE WHEN count(value_mean) OVER w{n} >= {m} THEN {f}(value_mean) OVER w{n} END AS {name}" for name, f, n, m in ROLLING)},
+       CAST(month(date) AS DOUBLE) AS month, CAST(isodow(date) >= 6 AS INTEGER)::DOUBLE AS is_weekend, embedded_solar_capacity_mean
+FROM joined_t WINDOW w AS (PARTITION BY series ORDER BY date), {", ".join(
+    f"w{n} AS (PARTITION BY series ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (7, 14, 30))}""")
+part("learnt_t", f"""
+SELECT * FROM inputs_t WHERE date < DATE '2000-01-01' AND value_mean IS NOT NULL AND embedded_solar_capacity_mean IS NOT NULL
+  AND {" AND ".join(f"{c} IS NOT NULL" for c in NAMES)}""")
+part("begun_t", f"""
+SELECT series, list(value_mean ORDER BY date)[-365:] AS h, {", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in GIVEN)}
+FROM learnt_t GROUP BY 1""")
+part("asked_t", """
+SELECT series, date, value_mean AS actual, month AS k_month, is_weekend AS k_is_weekend,
+       embedded_solar_capacity_mean AS k_embedded_solar_capacity_mean, row_number() OVER (PARTITION BY series ORDER BY date) AS n
+FROM inputs_t WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""")
+part("walked_t", f"""
+SELECT series, CAST(0 AS BIGINT) AS n, h, CAST(NULL AS DOUBLE) AS forecast FROM begun_t
+UNION ALL
+SELECT series, n, list_append(h, v), v FROM (
+  SELECT r.series, a.n, r.h, 9000 + {" + ".join(f"{w} * coalesce({_next_input(c)}, m_{c})" for c, w in GIVEN.items())} AS v
+  FROM (SELECT series, n AS before, h FROM walked_t) r JOIN asked_t a ON a.series = r.series AND a.n = r.before + 1
+  JOIN (SELECT * EXCLUDE (h) FROM begun_t) b ON b.series = r.series)""")
+oracle("recursive_ridge_given", """
+SELECT series, date, 'given' AS model, actual, forecast FROM walked_t JOIN asked_t USING (series, n)""", "actual forecast")
+
+# Smoothing with given weights: the seasonal states of a series in one list.
+part("steady_t", """
+SELECT series, list(v ORDER BY date) AS y, max(date) AS stop FROM (
+  SELECT c.series, c.date, p.value_mean AS v FROM (
+    SELECT series, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM train_t GROUP BY 1) c
+  LEFT JOIN train_t p ON p.series = c.series AND p.date = c.date) GROUP BY 1 HAVING count(*) >= 730""")
+part("cycles_t", """
+SELECT series, list_avg(y[1:365]) AS a, list_avg(y[366:730]) AS b FROM steady_t""")
+part("smooth_t", """
+SELECT series, CAST(0 AS BIGINT) AS t, a AS level, (b - a) / 365 AS drift, list_transform(y[1:365], lambda v: coalesce(v - a, 0)) AS wave
+FROM steady_t JOIN cycles_t USING (series)
+UNION ALL
+SELECT series, t + 1, level + drift + 0.2 * e, drift + CAST(0.01 AS DOUBLE) * CAST(0.2 AS DOUBLE) * e, list_append(wave[2:], wave[1] + CAST(0.1 AS DOUBLE) * CAST(0.8 AS DOUBLE) * e) FROM (
+  SELECT s.*, coalesce(y[t + 1] - (level + drift) - wave[1], 0) AS e FROM smooth_t s JOIN steady_t USING (series) WHERE t < len(y))""")
+oracle("holt_winters_given", """
+SELECT p.series, p.date, p.value_mean AS actual, level + drift * (p.date - stop) + wave[(p.date - stop - 1) % 365 + 1] AS holt_winters_forecast
+FROM test_t p LEFT JOIN steady_t s USING (series) LEFT JOIN smooth_t r ON r.series = p.series AND r.t = len(y)""", "actual holt_winters_forecast")
+
+# Seasonal ARIMA with given weights: shocks of the training days, then forecasts that undo both differences.
+part("moved_t", """
+SELECT series, row_number() OVER (PARTITION BY series ORDER BY date) AS t, move FROM (
+  SELECT series, date, value_mean - lag(value_mean, 1) OVER w - lag(value_mean, 7) OVER w + lag(value_mean, 8) OVER w AS move
+  FROM train_t WINDOW w AS (PARTITION BY series ORDER BY date)) WHERE move IS NOT NULL""")
+ARMA = " + ".join(f"({a} * coalesce(w[-{k}], 0) + {m} * coalesce(e[-{k}], 0))" for k, a, m in ((1, 0.3, -0.5), (7, 0.2, -0.4), (8, -0.06, 0.2)))
+part("shocked_t", f"""
+SELECT series, CAST(0 AS BIGINT) AS t, CAST([] AS DOUBLE[]) AS w, CAST([] AS DOUBLE[]) AS e FROM train_t GROUP BY 1
+UNION ALL
+SELECT series, t + 1, list_append(w[-7:], move), list_append(e[-7:], move - x) FROM (
+  SELECT s.series, s.t, s.w, s.e, m.move, {ARMA} AS x FROM shocked_t s JOIN moved_t m ON m.series = s.series AND m.t = s.t + 1)""")
+part("made_t", f"""
+SELECT series, CAST(0 AS BIGINT) AS t, list(value_mean ORDER BY date)[-8:] AS y,
+       arg_max(s.w, s.t) AS w, arg_max(s.e, s.t) AS e
+FROM train_t JOIN (SELECT series, max(t) AS t, arg_max(w, t) AS w, arg_max(e, t) AS e FROM shocked_t GROUP BY 1) s USING (series) GROUP BY 1
+UNION ALL
+SELECT series, t + 1, list_append(y[-7:], x + y[-1] + y[-7] - y[-8]), list_append(w[-7:], x), list_append(e[-7:], 0) FROM (
+  SELECT *, {ARMA} AS x FROM made_t WHERE t < 400)""")
+oracle("sarima_given", """
+SELECT series, date, actual, made_t.y[-1] AS sarima_forecast FROM (
+  SELECT series, date, value_mean AS actual, row_number() OVER (PARTITION BY series ORDER BY date) AS t FROM test_t) q
+JOIN made_t USING (series, t)""", "actual sarima_forecast")
 part("moves_t", """
 SELECT series, value_mean - y AS d, y FROM (
   SELECT series, value_mean, lag(value_mean) OVER (PARTITION BY series ORDER BY date) AS y FROM panel_t WHERE value_mean IS NOT NULL)

@@ -757,38 +757,20 @@ def modelled(spark: SparkSession, folder: str) -> DataFrame:
     return cut_lineage(daily_joined(spark, folder))
 
 
-# Model matrices and fitted models of this session, by application, folder and model: several queries show
-# different tables of the same full-length ensembles, which take a minute or two to fit.
-_FITS: dict[tuple, object] = {}
-
-
-def _once(spark, folder, name, make):
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _FITS:
-        _FITS[key] = make()
-    return _FITS[key]
-
-
 def matrix(spark, folder):
     """Stored training and test rows of all series, and their inputs."""
-    return _once(spark, folder, "matrix", lambda: learn.model_matrix(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES))
-
-
-def fits(spark, folder, *models):
-    """The named models, fitted on all training rows."""
-    train, _, columns = matrix(spark, folder)
-    parts = [_once(spark, folder, m, lambda m=m: learn.fit_models(train, TARGET, columns, SERIES, [m])) for m in models]
-    out = learn.Fitted(TARGET, columns, SERIES)
-    for part in parts:
-        out.trees |= part.trees
-        out.ridge = part.ridge if part.ridge is not None else out.ridge
-        out.scales = part.scales if part.scales is not None else out.scales
-    return out
+    return learn.model_matrix(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES)
 
 
 def ahead(spark, folder, *models):
-    fitted = fits(spark, folder, *models)
-    return learn.predict(fitted, matrix(spark, folder)[1]), fitted
+    """One-day-ahead forecasts of the named models, and the models.
+
+    A full-length ensemble takes minutes and several queries show tables of the same one, so it is kept in the shared
+    folder under a mark of its training rows.
+    """
+    train, test, columns = matrix(spark, folder)
+    fitted = learn.fit_models(train, TARGET, columns, SERIES, list(models), store=True)
+    return learn.predict(fitted, test), fitted
 
 
 @query
@@ -862,15 +844,38 @@ def recursive_forecast(spark, folder):
 @query
 def recursive_metrics(spark, folder):
     """Accuracy by regime when models see same-day observations but not the target."""
-    forecasts, _ = recursive.strict_recursive(
-        modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES, "actual", fitted=fits(spark, folder, *learn.MODELS))
+    panel = modelled(spark, folder)
+    train, _, columns = learn.model_matrix(panel, TARGET, TEST_START, TEST_END, SERIES)
+    fitted = learn.fit_models(train, TARGET, columns, SERIES, store=True)
+    forecasts, _ = recursive.strict_recursive(panel, TARGET, TEST_START, TEST_END, SERIES, "actual", fitted=fitted)
     return evaluate.metrics(forecasts, [*SERIES, "demand_regime", "model"])
 
 
+# Own choice: weights of a linear model that needs no fit, for what SQL can follow day by day.
+GIVEN_WEIGHTS = {
+    "lag_1": 0.2, "lag_2": 0.05, "lag_7": 0.15, "lag_365": 0.05, "rolling_7_mean": 0.2, "rolling_14_mean": 0.05,
+    "rolling_30_mean": 0.15, "rolling_7_max": 0.02, "rolling_30_max": 0.03, "month": 120.0, "is_weekend": -900.0,
+    "embedded_solar_capacity_mean": 350.0,
+}
+GIVEN_INTERCEPT = 9000.0
+
+
 @query
-def tree_walk_check(spark, folder):
-    """Forecast days on which the tree walk of the recursion differs from Spark's own prediction, per model."""
-    return recursive.walk_differences(fits(spark, folder, "random_forest", "gradient_boosting"), matrix(spark, folder)[1])
+def recursive_ridge_given(spark, folder):
+    """The strict recursion of a linear model with given weights."""
+    rows, columns = recursive.panel_rows(modelled(spark, folder), TARGET, TEST_START, TEST_END, SERIES)
+    state = recursive.series_state(rows, TARGET, TEST_START, columns, SERIES)
+    weights = F.array(F.lit(GIVEN_INTERCEPT), *[F.lit(GIVEN_WEIGHTS.get(c, 0.0)) for c in columns])
+    made = recursive.linear_recursion(state.withColumn("_weights", weights), columns)
+    return recursive.forecast_rows(made, "given", SERIES).drop("demand_regime")
+
+
+@query
+def boosting_rules(spark, folder):
+    """Leaf means and sums of trees of a short boosting run over all training rows."""
+    train, _, columns = matrix(spark, folder)
+    rows = cut_lineage(learn.tree_matrix(learn.Fitted(TARGET, columns, SERIES), train))
+    return learn.boosting_checks(learn.boosted(rows, TARGET, maxIter=20), rows, TARGET)
 
 
 @query
@@ -879,6 +884,17 @@ def holt_winters(spark, folder):
     return smoothing.holt_winters(train, test, TARGET, SERIES)
 
 
+# Own choice: weights of level, trend and season for what SQL can follow day by day.
+GIVEN_SMOOTHING = (0.2, 0.01, 0.1)
+
+
+@query
+def holt_winters_given(spark, folder):
+    """Smoothing with trend and season under given weights."""
+    train, test = sides(stored_orders(spark, folder))
+    return smoothing.smoothed_forecast(train, test, TARGET, GIVEN_SMOOTHING, SERIES)
+
+
 @query
 def level_smoothing(spark, folder):
     train, _ = sides(stored_orders(spark, folder))
@@ -891,6 +907,17 @@ def sarima(spark, folder):
     return sarimax_.sarima(train, test, TARGET, SERIES)
 
 
+# Own choice: weights of past values and of past shocks at lags 1, 7 and 8 for what SQL can follow day by day.
+GIVEN_ARMA = ((0.3, 0.2, -0.06), (-0.5, -0.4, 0.2))
+
+
+@query
+def sarima_given(spark, folder):
+    """Seasonal ARIMA with given weights: shocks of the training days, then forecasts."""
+    train, test = sides(stored_orders(spark, folder))
+    return sarimax_.sarima_given(train, test, TARGET, *GIVEN_ARMA, SERIES)
+
+
 @query
 def sarimax(spark, folder):
     panel = cut_lineage(add_calendar(daily_joined(spark, folder), only=["month", "day_of_week", "is_weekend"]))
