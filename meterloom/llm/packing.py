@@ -11,7 +11,7 @@ Only lengths and checksums are shuffled. Ids travel along where they are asked f
 Ids are those of the tokenizer for the whole text. White space separates all its matches, and so does every change
 between ASCII letters and other ASCII characters (but for ``'`` and ``|``, of which contractions and special tokens
 are made). So each distinct chunk is encoded once and looked up after that; chunks of Latin letters go to the parts of
-the tokenizer (normaliser, byte mapping, model) directly, since nothing splits them.
+the tokenizer's model directly, since nothing splits them or changes more than their case.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from ..session import cut_lineage
 from .text import Piece, pieces
@@ -40,7 +41,9 @@ VOCABULARY = "word_bpe_49k.json"
 PART_PIECES = 16_384
 MOST_PARTS = 20_000
 #: Chunks whose ids a worker remembers; at more it starts anew.
-KNOWN_CHUNKS = 1 << 18
+KNOWN_CHUNKS = 1 << 19
+#: Bytes of text looked up together.
+PIECE_BYTES = 1 << 22
 
 _KIND = np.full(256, 4, np.uint8)
 _KIND[:128] = 2
@@ -49,6 +52,13 @@ _KIND[65:91] = _KIND[97:123] = 1
 _KIND[ord("'")] = 3
 _KIND[ord("|")] = 4
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+#: Byte-level vocabularies write printable bytes as themselves and the others as the characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Encoder:
     """Ids of many texts at once, equal to the tokenizer's own for each text."""
@@ -59,27 +69,29 @@ class Encoder:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
         if len(self.known) + len(chunks) > KNOWN_CHUNKS:
             self.known.clear()
-        normal, model, rest = self.tokenizer.normalizer, self.tokenizer.model, []
+        known, tokenize, rest = self.known, self.tokenizer.model.tokenize, []
         for chunk in chunks:
-            lowered = chunk.lower() if chunk.isascii() else normal.normalize_str(chunk)
-            # Up to here letters are letters to all libraries.
-            if lowered.isalpha() and max(lowered) < "ɐ" and chunk.isalpha():
-                mapped = lowered if lowered.isascii() else self.bytes.pre_tokenize_str(lowered)[0][0]
-                self.known[chunk] = np.array([t.id for t in model.tokenize(mapped)], "<u4").tobytes()
+            lowered = chunk.lower()
+            # Letters up to here are letters to all libraries, in composed form, and lower case is one letter each.
+            if lowered.isalpha() and chunk.isalpha() and max(lowered) < "ɐ":
+                if not lowered.isascii():
+                    lowered = lowered.encode().decode("latin-1").translate(_WRITTEN)
+                known[chunk] = array("I", [t.id for t in tokenize(lowered)]).tobytes()
             else:
                 rest.append(chunk)
         for chunk, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+            known[chunk] = array("I", found.ids).tobytes()
 
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a piece, one after the other, and how many each has."""
         data, offsets = piece.data, piece.offsets
+        if b"<|" not in data.tobytes():  # the marks of special tokens, which are no others in upper case
+            data = _LOWER[data]
         rows = len(offsets) - 1
         kind = _KIND[data]
         black = kind != 0
@@ -151,7 +163,7 @@ def tokenised(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = encoder(vocabulary).encode
         for batch in batches:
-            for part in pieces(batch.column("text")):
+            for part in pieces(batch.column("text"), PIECE_BYTES):
                 flat, counts = encode(part)
                 ends = np.cumsum(counts + 1)
                 whole = np.full(int(ends[-1]), end_id, "<u4")

@@ -25,7 +25,7 @@ def odd_texts():
 
 
 def test_ids_are_the_tokenizers(tokenizer):
-    texts = odd_texts()
+    texts = odd_texts() + [t.replace("|", "Q") for t in odd_texts()] + ["<|ENDOFTEXT|> A<|endoftext|>B"]
     encoder = packing.Encoder(packing.VOCABULARY)
     for piece in pieces(pa.array(texts), 4000):
         flat, counts = encoder.encode(piece)
