@@ -83,18 +83,38 @@ def densify(df: DataFrame, keys: Keys = (), date: str = "date") -> DataFrame:
     return join_series(calendar, df, keys, [date])
 
 
-def fill_gaps(df: DataFrame, columns: list[str], keys: Keys = (), order: str = "date") -> DataFrame:
+def fill_gaps(df: DataFrame, columns: list[str], keys: Keys = (), order: str = "date", bucket: Column | None = None) -> DataFrame:
     """Fill forward, then backward, then with zero.
 
     The next known value is the last one along the reversed order, so both directions are running frames
-    that cost one step per row.
+    that cost one step per row. With ``bucket``, which must not decrease along ``order``, a series of any length is
+    filled bucket by bucket: the last and the first known value of each bucket are carried over the table of buckets,
+    and rows meet only the others of their bucket.
     """
-    forward = by_series(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     known = lambda c, line: F.last(c, ignorenulls=True).over(line)
-    return df.withColumns({
-        c: F.coalesce(known(c, forward), known(c, backward), F.lit(0.0)) for c in columns
-    })
+    running = (Window.unboundedPreceding, 0)
+    if bucket is None:
+        forward = by_series(keys, order).rowsBetween(*running)
+        backward = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(*running)
+        return df.withColumns({
+            c: F.coalesce(known(c, forward), known(c, backward), F.lit(0.0)) for c in columns
+        })
+    cut = df.withColumn("_bucket", bucket)
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
+    ends = cut.groupBy(*keys, "_bucket").agg(
+        *[F.min_by(c, at(c)).alias(f"_f_{c}") for c in columns], *[F.max_by(c, at(c)).alias(f"_l_{c}") for c in columns])
+    before = by_series(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *keys, "_bucket", *[known(f"_l_{c}", before).alias(f"_b_{c}") for c in columns],
+        *[known(f"_f_{c}", behind).alias(f"_n_{c}") for c in columns])
+    forward = by_series([*keys, "_bucket"], order).rowsBetween(*running)
+    backward = Window.partitionBy(*keys, "_bucket").orderBy(F.col(order).desc()).rowsBetween(*running)
+    inside = cut.withColumns({f"_p_{c}": known(c, forward) for c in columns}).withColumns({f"_s_{c}": known(c, backward) for c in columns})
+    filled = join_series(inside, carried, [*keys, "_bucket"], how="inner")
+    return filled.withColumns({
+        c: F.coalesce(f"_p_{c}", f"_b_{c}", f"_s_{c}", f"_n_{c}", F.lit(0.0)) for c in columns
+    }).select(*df.columns)
 
 
 def align_to_calendar(

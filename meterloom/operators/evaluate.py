@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meterloom.functions.errors import error_columns, metric_aggregates
 from meterloom.functions.stats import pearson
 from meterloom.operators.features import evaluation_regime
-from meterloom.operators.series import Keys, by_series, join_series
+from meterloom.operators.series import Keys, by_series, join_series, numbered, own_rows, split_window, with_halo
 from meterloom.sources.tables import require_columns
 
 # Forecast columns known to the diagnostics, and the stable order of models and regimes.
@@ -124,13 +124,24 @@ def incomplete_day_impact(errors: DataFrame, daily: DataFrame, keys: Keys = ())
     )
 
 
-def residual_autocorrelation(errors: DataFrame, keys: Keys = (), max_lag: int = 30) -> DataFrame:
-    """Correlation of the errors of a model with its own earlier errors, nulls removed first."""
+def residual_autocorrelation(
+    errors: DataFrame, keys: Keys = (), max_lag: int = 30, order: str = "date", bucket: Column | None = None, block: int = 10_000,
+) -> DataFrame:
+    """Correlation of the errors of a model with its own earlier errors, nulls removed first.
+
+    With ``bucket``, which must not decrease along ``order``, errors may be finer than daily: rows are numbered bucket by
+    bucket and cut into blocks that lend each other the rows of the largest lag, and the lagged products of all blocks
+    are added up.
+    """
     group = [*keys, "model"]
     known = errors.where(F.col("error").isNotNull())
     lags = range(1, max_lag + 1)
-    line = by_series(group)
-    shifted = known.withColumns({f"_l{k}": F.lag("error", k).over(line) for k in lags})
+    lagged = lambda line: {f"_l{k}": F.lag("error", k).over(line) for k in lags}
+    if bucket is None:
+        shifted = known.withColumns(lagged(by_series(group, order)))
+    else:
+        placed = with_halo(numbered(known.select(*group, order, "error"), group, [order], bucket), "_pos", block, max_lag)
+        shifted = own_rows(placed.withColumns(lagged(split_window(group))))
     wide = shifted.groupBy(*group).agg(*[pearson("error", f"_l{k}").alias(f"_l{k}") for k in lags])
     return wide.unpivot(group, [f"_l{k}" for k in lags], "lag", "autocorrelation").withColumn(
         "lag", F.substring("lag", 3, 9).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterloom.functions.clock import add_calendar
 from meterloom.functions.names import EXOGENOUS_TERMS, exogenous_features, ordered_union
 from meterloom.operators.daily import densify
-from meterloom.operators.series import Keys, attach, by_series, join_series, own_rows, split_window, with_halo
+from meterloom.operators.series import Keys, attach, by_series, join_series, numbered, own_rows, split_window, with_halo
 from meterloom.session import cut_lineage
 
 # Lags, rolling windows (statistic, length, fewest known values) and calendar features.
@@ -36,20 +36,24 @@ def history_columns(target: str, window) -> dict[str, Column]:
 
 
 def history_features(
-    df: DataFrame, target: str, keys: Keys = (), mode: str = "rows", block: int | None = None
+    df: DataFrame, target: str, keys: Keys = (), mode: str = "rows", block: int | None = None,
+    order: str = "date", bucket: Column | None = None,
 ) -> DataFrame:
     """Lags and shifted rolling statistics.
 
-    ``mode="rows"`` counts table rows; ``mode="calendar"`` counts days, so a missing day gives a null lag.
-    With ``block`` a calendar series is split into blocks of that many days, for series too long for one
-    task; all features share one window and one shuffle either way.
+    ``mode="rows"`` counts table rows in the order of ``order``; ``mode="calendar"`` counts days, so a missing day gives
+    a null lag. With ``block`` a series is split into blocks of that many rows (or days), for series too long for one
+    task; all features share one window and one shuffle either way. Blocks of rows need row numbers, which are counted
+    bucket by bucket: ``bucket`` must not decrease along ``order`` and is the year of the date unless given.
     """
     if mode not in ("rows", "calendar"):
         raise ValueError("mode must be rows or calendar")
     if mode == "rows" and block is None:
-        return df.withColumns(history_columns(target, by_series(keys)))
+        return df.withColumns(history_columns(target, by_series(keys, order)))
     if mode == "rows":
-        raise ValueError("blocks need mode=calendar: days give every row its position")
+        placed = numbered(df, keys, [order], F.year(order) if bucket is None else bucket)
+        split = with_halo(placed, "_pos", block, max(LAGS))
+        return own_rows(split.withColumns(history_columns(target, split_window(keys)))).drop("_pos")
     marked = densify(df.withColumn("_real", F.lit(True)), keys)
     if block is None:
         full = marked.withColumns(history_columns(target, by_series(keys)))
@@ -93,9 +97,11 @@ def evaluation_regime(df: DataFrame, actual: str = "actual", keys: Keys = ()) ->
     ).drop("_q25", "_q75")
 
 
-def feature_frame(df: DataFrame, target: str, start: str, keys: Keys = (), mode: str = "rows") -> DataFrame:
-    """History, calendar and regime columns next to the daily table."""
-    featured = add_calendar(history_features(df, target, keys, mode), only=CALENDAR)
+def feature_frame(
+    df: DataFrame, target: str, start: str, keys: Keys = (), mode: str = "rows", block: int | None = None,
+) -> DataFrame:
+    """History, calendar and regime columns next to the daily table; ``block`` as in :func:`history_features`."""
+    featured = add_calendar(history_features(df, target, keys, mode, block), only=CALENDAR)
     return training_regime(featured, target, start, keys)
 
 

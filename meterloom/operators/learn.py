@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressionModel, RandomForestRegressionModel, RandomForestRegressor,
@@ -99,16 +99,19 @@ def boosted(matrix: DataFrame, label: str, **settings) -> GBTRegressionModel:
     chosen = {**BOOSTING, **settings}
     rate, rounds = chosen.pop("stepSize"), chosen.pop("maxIter")
     start = DecisionTreeRegressor(labelCol=label, maxDepth=0).fit(matrix)
-    trees = [start]
+    trees, parts = [start], matrix.rdd.getNumPartitions()
     rest = start.setPredictionCol("_tree").transform(matrix).select("features", (F.col(label) - F.col("_tree")).alias("_rest"))
     estimator = DecisionTreeRegressor(labelCol="_rest", predictionCol="_tree", maxBins=256, **chosen)
+    held = None
     for done in range(rounds):
-        if done % ROUNDS_A_WRITE == 0:
-            pieces = matrix.rdd.getNumPartitions()
-            rest = cut_lineage(rest).coalesce(pieces)
-        tree = estimator.fit(rest)
+        rest = (cut_lineage(rest).coalesce(parts) if done % ROUNDS_A_WRITE == 0 else rest).persist()
+        tree = estimator.fit(rest)  # a fit reads its rows about ten times
         trees.append(tree)
-        rest = tree.transform(rest).select("features", (F.col("_rest") - rate * F.col("_tree")).alias("_rest"))
+        if held is not None:
+            held.unpersist()
+        held, rest = rest, tree.transform(rest).select("features", (F.col("_rest") - rate * F.col("_tree")).alias("_rest"))
+    if held is not None:
+        held.unpersist()
     jvm, gateway = matrix.sparkSession._jvm, matrix.sparkSession.sparkContext._gateway
     regression = jvm.org.apache.spark.ml.regression
     members = gateway.new_array(regression.DecisionTreeRegressionModel, len(trees))
@@ -161,7 +164,9 @@ def tree_model(name: str, matrix: DataFrame, label: str, store: bool = False, **
     path = f"{shared_folder(spark)}/model-{mark}"
     try:
         return kind.load(path)
-    except Py4JJavaError:  # not there yet
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         model = fit(matrix, label, **settings)
         model.write().overwrite().save(path)
         return model

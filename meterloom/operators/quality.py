@@ -175,28 +175,75 @@ def step_summary(
     )
 
 
+def datetime_shares(df: DataFrame, ordinal: str, columns: list[str] | None = None, sample_size: int = 1000) -> DataFrame:
+    """For each text column, how many of its first known values (in the order of ``ordinal``) read as a timestamp.
+
+    All columns are sampled in one job: their values are stacked and the first of each column are kept by every task
+    before they meet. The sample is part of the rule, not a shortcut.
+    """
+    texts = columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name != ordinal]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in texts])).alias("_e")
+    stacked = df.select(F.col(ordinal).alias("_o"), cells).select("_o", "_e.*").where("value is not null")
+    first = F.row_number().over(Window.partitionBy("column").orderBy("_o"))
+    sample = stacked.withColumn("_place", first).where(F.col("_place") <= sample_size)
+    return sample.groupBy("column").agg(
+        F.count(F.lit(1)).alias("sampled"), F.count(parse_stamp(F.col("value"))).alias("parsed"))
+
+
 def detect_datetime_columns(
     df: DataFrame, sample_size: int = 1000, share: float = 0.8, known: str = STAMP, ordinal: str | None = None
 ) -> list[str]:
     """Columns that are dates already, or text of which most of a small sample parses as one.
 
-    A known stamp column comes first. The sample, the first known values in the order of ``ordinal``, is part
-    of the rule, not a shortcut.
+    A known stamp column comes first. Without ``ordinal`` the sample follows the order in which rows are read.
     """
-    found = [known] if known in df.columns else []
-    for field in df.schema:
-        if field.name in found:
-            continue
-        if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            found.append(field.name)
-        elif isinstance(field.dataType, T.StringType):
-            c = F.col(field.name)
-            rows = df.where(c.isNotNull())
-            sample = (rows.orderBy(ordinal) if ordinal else rows).select(c).limit(sample_size)
-            parsed = sample.agg(F.avg(parse_stamp(c).isNotNull().cast("int")).alias("s")).first()
-            if parsed.s is not None and parsed.s >= share:
-                found.append(field.name)
-    return found
+    dates = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    numbered_ = df if ordinal else df.withColumn("_read", F.monotonically_increasing_id())
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in (ordinal, known)]
+    shares = datetime_shares(numbered_, ordinal or "_read", texts, sample_size).collect() if texts else []
+    read = {r.column for r in shares if r.parsed >= share * r.sampled}
+    found = [f.name for f in df.schema if f.name != known and (isinstance(f.dataType, dates) or f.name in read)]
+    return ([known] if known in df.columns else []) + found
+
+
+# Own choice: size of the sketches. Twelve bits count distinct values to 1.6 % (one deviation), 800 items know ranks to 0.5 %.
+DISTINCT_BITS = 12
+RANK_ITEMS = 800
+
+
+def sketches(df: DataFrame, columns: list[str], keys: Keys = ()) -> DataFrame:
+    """Mergeable sketches of every column in one pass: ``_rows``, and per column counts, distinct values and, for numbers,
+    ranks. A few kilobytes per group, whatever its rows; groups are added up with :func:`merged_sketches`."""
+    numbers = numeric_fields(df, columns)
+    plain = lambda c: F.col(c) if c in numbers and numbers[c] != "double" else F.col(c).cast("string")
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_n_{c}") for c in columns],
+        *[F.hll_sketch_agg(plain(c), F.lit(DISTINCT_BITS)).alias(f"_d_{c}") for c in columns],
+        *[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(RANK_ITEMS)).alias(f"_q_{c}") for c in numbers])
+
+
+def numeric_fields(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The numeric ones of the columns: ``double`` for fractions, ``long`` for whole numbers."""
+    return {f.name: "double" if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else "long"
+            for f in df.schema if f.name in columns and isinstance(f.dataType, T.NumericType)}
+
+
+def merged_sketches(parts: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Sketches of unions of groups from sketches of the groups."""
+    of = lambda prefix: [c for c in parts.columns if c.startswith(prefix)]
+    return parts.groupBy(*keys).agg(
+        F.sum("_rows").alias("_rows"), *[F.sum(c).alias(c) for c in of("_n_")],
+        *[F.hll_union_agg(c).alias(c) for c in of("_d_")], *[F.kll_merge_agg_double(c).alias(c) for c in of("_q_")])
+
+
+def sketch_profile(merged: DataFrame, columns: list[str], probs: dict[str, float], keys: Keys = ()) -> DataFrame:
+    """Counts, estimated distinct values and estimated quantiles of every column, from its sketches."""
+    numbers = [c for c in columns if f"_q_{c}" in merged.columns]
+    quantile = lambda c, p: F.when(F.col(f"_n_{c}") > 0, F.kll_sketch_get_quantile_double(f"_q_{c}", F.lit(p))) if c in numbers else F.lit(None).cast("double")
+    stacked = merged.select(*keys, "_rows", _stack(columns, lambda c: [
+        F.col(f"_n_{c}").alias("non_null_count"), F.hll_sketch_estimate(f"_d_{c}").alias("unique_estimate"),
+        *[quantile(c, p).alias(name) for name, p in probs.items()]]))
+    return stacked.select(*keys, "_e.*", (F.col("_rows") - F.col("_e.non_null_count")).alias("missing_count"))
 
 
 def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from meterloom.session import cut_lineage
 REACH = max(*features.LAGS, *[length for _, length, _ in features.ROLLING.values()])
 
 # Own choice: days that tree models go between two writes.
-DAYS_A_WRITE = 6
+DAYS_A_WRITE = 8
 
 
 def next_inputs(history: Column, known: Column, fill: Column, columns: list[str]) -> list[Column]:
@@ -64,24 +64,31 @@ def tree_recursion(state: DataFrame, columns: list[str], models: dict[str, objec
     them. A series with fewer days gets forecasts that belong to no day; they are dropped with its missing days.
     """
     units = "_mu" in state.columns
-    start = state.select("*", *[F.col("_history").alias(f"_h_{m}") for m in models], *[F.array().cast("array<double>").alias(f"_m_{m}") for m in models])
+    start = state.select(
+        "*", F.lit(0).alias("_at"), *[F.col("_history").alias(f"_h_{m}") for m in models],
+        *[F.array().cast("array<double>").alias(f"_m_{m}") for m in models])
+    value = F.col("_p") * F.col("_sd") + F.col("_mu") if units else F.col("_p")
+    known = F.get("_days", F.col("_at"))["known"]
+    steps = []
+    for name, model in models.items():  # the same expressions every day: they are built once
+        inputs = next_inputs(F.col(f"_h_{name}"), known, F.col("_fill"), columns)
+        if units:
+            inputs = [(x - F.col("_mu")) / F.col("_sd") if is_history(c) else x for x, c in zip(inputs, columns, strict=True)]
+            inputs.append(F.col(SERIES_CODE))
+        changed = {f"_h_{name}": pushed(F.col(f"_h_{name}"), value, REACH), f"_m_{name}": pushed(F.col(f"_m_{name}"), value)}
+        if name == list(models)[-1]:
+            changed["_at"] = F.col("_at") + 1
+        vector = array_to_vector(F.array(*inputs)).alias("_x")
+        steps.append((model.setFeaturesCol("_x").setPredictionCol("_p"), vector, [changed[c].alias(c) if c in changed else F.col(c) for c in start.columns]))
     table = start
-    for day in range(horizon):
-        known = F.get("_days", F.lit(day))["known"]
-        for name, model in models.items():
-            history = F.col(f"_h_{name}")
-            inputs = next_inputs(history, known, F.col("_fill"), columns)
-            if units:
-                inputs = [(x - F.col("_mu")) / F.col("_sd") if is_history(c) else x for x, c in zip(inputs, columns, strict=True)]
-                inputs.append(F.col(SERIES_CODE))
-            ready = table.withColumn("features", array_to_vector(F.array(*inputs)))
-            value = F.col("prediction") * F.col("_sd") + F.col("_mu") if units else F.col("prediction")
-            table = model.setPredictionCol("prediction").transform(ready).withColumn("_value", value).withColumns(
-                {f"_h_{name}": pushed(history, F.col("_value"), REACH), f"_m_{name}": pushed(F.col(f"_m_{name}"), F.col("_value"))}
-            ).select(*start.columns)
-        if day % DAYS_A_WRITE == DAYS_A_WRITE - 1:
+    for day in range(1, horizon + 1):
+        for model, vector, after in steps:
+            table = model.transform(table.select("*", vector)).select(*after)
+        if day % DAYS_A_WRITE == 0:
             table = cut_lineage(table)
     table = cut_lineage(table)
+    for model in models.values():
+        model.setFeaturesCol("features").setPredictionCol("prediction")
     return {name: table.select(*state.columns, F.col(f"_m_{name}").alias("_made")) for name in models}
 
 

@@ -321,7 +321,7 @@ oracle("lag_corr", " UNION ALL ".join(
 TOP = ["tsd", "embedded_wind_generation", "pump_storage_pumping", "settlement_period", "source_year"]
 oracle("lag_corr_top", "WITH c AS (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", corr({c}, nd) AS r FROM resolved_t""" for c in TOP) + """),
-t AS (SELECT "column" FROM c WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY abs(r) DESC, "column" LIMIT 3)
+t AS (SELECT "column" FROM c WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY abs(r) DESC, "column" LIMIT 10)
 SELECT * FROM (""" + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", CAST({k} AS BIGINT) AS lag, corr(nd, v) AS lagged_correlation
         FROM (SELECT nd, lag({c}, {k}) OVER (ORDER BY settlement_datetime) AS v FROM resolved_t)"""
@@ -781,7 +781,47 @@ SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 4096)), 4095) AS bin, coun
 FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n, stddev_samp(o_totalprice) AS sd FROM orders)
 GROUP BY 1""")
 oracle("density", """
-SELECT lo + (hi - lo) * i / 49 AS x,
-       sum(rows * exp(-pow((lo + (hi - lo) * i / 49 - (lo + (hi - lo) * (bin + 0.5) / 4096)) / h, 2) / 2))
+SELECT lo + (hi - lo) * i / 199 AS x,
+       sum(rows * exp(-pow((lo + (hi - lo) * i / 199 - (lo + (hi - lo) * (bin + 0.5) / 4096)) / h, 2) / 2))
          / (any_value(n) * any_value(h) * sqrt(2 * pi())) * 1e6 AS density
-FROM bins_t CROSS JOIN generate_series(0, 49) g(i) GROUP BY i, lo, hi""", "x density")
+FROM bins_t CROSS JOIN generate_series(0, 199) g(i) GROUP BY i, lo, hi""", "x density")
+
+# --- long series and mergeable sketches --------------------------------------------------------------
+
+GAPPY = ["tsd", "embedded_wind_generation", "pump_storage_pumping"]
+oracle("fill_half_hours", f"""
+SELECT settlement_datetime, {", ".join(
+    f"coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY settlement_datetime ROWS UNBOUNDED PRECEDING), "
+    f"first_value({c} IGNORE NULLS) OVER (ORDER BY settlement_datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS {c}" for c in GAPPY)}
+FROM resolved_t""", " ".join(GAPPY))
+oracle("lags_rows_blocked", f"""
+SELECT settlement_datetime, nd, {", ".join(f"lag(nd, {k}) OVER w AS lag_{k}" for k in LAGS)}, {", ".join(
+    f"CASE WHEN count(nd) OVER w{n} >= {m} THEN {f}(nd) OVER w{n} END AS {name}" for name, f, n, m in ROLLING)}
+FROM resolved_t WINDOW w AS (ORDER BY settlement_datetime), {", ".join(
+    f"w{n} AS (ORDER BY settlement_datetime ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (7, 14, 30))}""",
+       " ".join(["nd", *[f"lag_{k}" for k in LAGS], *[r[0] for r in ROLLING]]))
+part("before_t", " UNION ALL ".join(
+    f"SELECT '{name} before' AS model, a.settlement_datetime, a.nd - b.nd AS error FROM resolved_t a "
+    f"JOIN resolved_t b ON b.settlement_datetime = a.settlement_datetime - INTERVAL {days} DAY" for name, days in (("day", 1), ("week", 7))))
+oracle("residual_acf_half_hours", """
+WITH o AS (SELECT model, error, row_number() OVER (PARTITION BY model ORDER BY settlement_datetime) AS rn FROM before_t WHERE error IS NOT NULL)
+SELECT g.model, k AS lag, corr(a.error, b.error) AS autocorrelation
+FROM (SELECT DISTINCT model, k FROM o CROSS JOIN generate_series(1, 48) s(k)) g JOIN o a ON a.model = g.model
+LEFT JOIN o b ON b.model = a.model AND b.rn = a.rn - k
+GROUP BY 1, 2""", "autocorrelation")
+oracle("column_profile_sketch", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS non_null_count, count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS unique_count,
+        true AS unique_kept, {", ".join(f"{'true' if c in ('user_id', 'value') else 'CAST(NULL AS BOOLEAN)'} AS {p}_kept" for p in ("p05", "p50", "p95"))} FROM events"""
+    for c in ("event_id", "user_id", "event_type", "props", "value")))
+oracle("manifest_from_json", """
+SELECT event_id, event_type, CAST(0 AS BIGINT) AS position, CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS id FROM events""")
+oracle("manifest_documents", "SELECT * EXCLUDE (y, s, p), false AS selected_for_download FROM inventory_t")
+oracle("table_round_trip", """
+SELECT series, date, value_mean, value_peak + CASE WHEN year(date) = 1996 THEN 1 ELSE 0 END AS value_peak, CAST(year(date) AS BIGINT) AS year
+FROM panel_t WHERE year(date) BETWEEN 1995 AND 1997""", "value_mean value_peak")
+DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+oracle("datetime_columns", "SELECT *, parsed >= 0.8 * sampled AS is_datetime FROM (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS sampled, count(try_strptime(v, '%Y-%m-%d')) AS parsed FROM (
+        SELECT {e} AS v FROM orders WHERE {e} IS NOT NULL ORDER BY o_orderkey LIMIT 1000)"""
+    for c, e in (("o_orderstatus", "o_orderstatus"), ("o_orderpriority", "o_orderpriority"), ("day", DAY),
+                 ("gappy", f"CASE WHEN o_orderstatus <> 'P' THEN {DAY} END"), ("mixed", f"CASE WHEN o_orderstatus = 'F' THEN {DAY} ELSE 'open' END"))) + ")")

@@ -22,8 +22,8 @@ from meterloom.plans.adapters import (
     EXOGENOUS, SERIES, TARGET, TEST_END, TEST_START, daily_exogenous, daily_joined, daily_orders,
     half_hourly, table,
 )
-from meterloom.session import cut_lineage
-from meterloom.sources import manifest
+from meterloom.session import cut_lineage, shared_path
+from meterloom.sources import manifest, tables
 from meterloom.sources.tables import union_yearly
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,50 @@ def manifest_inventory(spark, folder):
     return manifest.manifest_inventory(resources(spark, folder), chosen)
 
 
+@query
+def manifest_from_json(spark, folder):
+    """Resources read from the JSON texts of all events: those of views say ``id``, others ``k``, and errors are cut off."""
+    events, kind = table(spark, folder, "events"), F.col("event_type")
+    text = F.when(kind == "view", F.replace("props", F.lit('"k"'), F.lit('"id"'))).when(
+        kind == "error", F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    found = manifest.resources_from_text(
+        events.select("event_id", "event_type", text.alias("document")), "document", {"id": ("id", "k")}, ("event_id", "event_type"), None)
+    return found.select("event_id", "event_type", "position", "id")
+
+
+@query
+def manifest_documents(spark, folder):
+    """The inventory of manifests that Spark writes as texts, one a priority, and reads back; empty fields have no key."""
+    fields = F.struct("position", "id", "name", "title", "format", "mimetype", "url", "path", "last_modified", "metadata_modified", "datastore_active")
+    texts = resources(spark, folder).groupBy(F.col("metadata_modified").alias("of")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(fields)).alias("resources"))).alias("document"))
+    rows = manifest.resources_from_text(texts, "document", carry=("of",))
+    return manifest.manifest_inventory(rows).withColumn("position", F.col("resource_id").cast("long"))
+
+
+@query
+def table_round_trip(spark, folder):
+    """Three years of the daily panel, read through a validated scan of a partitioned table whose middle year was written
+    again, and a table that was never made."""
+    path = shared_path(spark, "sink")
+    panel = cut_lineage(daily_orders(spark, folder).withColumns({"year": F.year("date"), "date": F.col("date").cast("string")}))
+    tables.write_table(panel, path, ["year"])
+    for _ in range(2):
+        tables.replace_partitions(panel.where("year = 1996").withColumn("value_peak", F.col("value_peak") + 1), path, ["year"])
+    stored = tables.read_daily(spark, path, panel.schema).where(F.col("year").between(1995, 1997))
+    return stored.unionByName(tables.validated_dates(tables.read_optional(spark, f"{path}-later", panel.schema)))
+
+
+@query
+def datetime_columns(spark, folder):
+    """Which text columns of the orders hold timestamps, by their first values."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", day.alias("day"), F.when(F.col("o_orderstatus") != "P", day).alias("gappy"),
+        F.when(F.col("o_orderstatus") == "F", day).otherwise("open").alias("mixed"))
+    shares = quality.datetime_shares(orders, "o_orderkey")
+    return shares.withColumn("is_datetime", F.col("parsed") >= 0.8 * F.col("sampled"))
+
+
 @query
 def select_years(spark, folder):
     return manifest.select_years(
@@ -296,6 +340,26 @@ def column_profile(spark, folder):
     )
 
 
+@query
+def column_profile_sketch(spark, folder):
+    """Sketches of every event column, made by month and merged, against exact counts: whether they keep their bounds."""
+    events = cut_lineage(table(spark, folder, "events").withColumn("month", by_month("ts")))
+    columns, probs = ["event_id", "user_id", "event_type", "props", "value"], {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    merged = quality.merged_sketches(cut_lineage(quality.sketches(events, columns, ["month"])))
+    profile_ = cut_lineage(quality.sketch_profile(merged, columns, probs))
+    exact = union_all([events.agg(F.lit(c).alias("column"), F.count_distinct(c).alias("unique_count")) for c in columns])
+    # Five deviations of the distinct count, and one per cent of the ranks.
+    off = F.abs(F.col("unique_estimate") - F.col("unique_count")) <= 5 * 1.04 / 2 ** (quality.DISTINCT_BITS / 2) * F.col("unique_count") + 1
+    cut = profile_.where("column in ('user_id', 'value')").select("column", *[F.col(p) for p in probs])
+    values = events.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in ("user_id", "value")])).alias("_e")).select("_e.*")
+    ranks = values.join(cut, "column").groupBy("column").agg(*[
+        ((F.avg((F.col("v") <= F.col(name)).cast("int")) >= p - 0.01) & (F.avg((F.col("v") < F.col(name)).cast("int")) <= p + 0.01)).alias(f"{name}_kept")
+        for name, p in probs.items()])
+    return profile_.join(exact, "column").join(ranks, "column", "left").select(
+        "column", "non_null_count", "missing_count", "unique_count", off.alias("unique_kept"), *[f"{p}_kept" for p in probs])
+
+
 @query
 def missing_values(spark, folder):
     return quality.missing_values(half_hourly(spark, folder))
@@ -335,7 +399,7 @@ def histogram50(spark, folder):
 @query
 def density(spark, folder):
     """Density per million, so that six digits carry information."""
-    curve = profile.density_curve(table(spark, folder, "orders"), "o_totalprice", points=50)
+    curve = profile.density_curve(table(spark, folder, "orders"), "o_totalprice")
     return curve.withColumn("density", F.col("density") * 1e6)
 
 
@@ -402,10 +466,10 @@ def lag_corr(spark, folder):
 
 @query
 def lag_corr_top(spark, folder):
-    """Lagged correlations of the columns that correlate most with the target."""
+    """Lagged correlations of the ten columns that correlate most with the target."""
     series = stored_half_hours(spark, folder)
     others = [c for c in numeric_columns(series) if c not in ("nd", "duplicate_count")]
-    top = profile.strongest(profile.correlations(series, "nd", others), 3)
+    top = profile.strongest(profile.correlations(series, "nd", others), 10)
     return profile.lagged_correlations(series, "settlement_datetime", "nd", top, block=500)
 
 
@@ -448,6 +512,19 @@ def fill_exog(spark, folder):
     return daily.fill_gaps(target.join(daily_exogenous(spark, folder), "date", "left"), EXOGENOUS, SERIES)
 
 
+def by_month(stamp: str):
+    """Months since year 0, a bucket that follows time."""
+    return F.year(stamp) * 12 + F.month(stamp)
+
+
+@query
+def fill_half_hours(spark, folder):
+    """Gaps of the half-hourly series, filled month by month."""
+    gappy = ["tsd", "embedded_wind_generation", "pump_storage_pumping"]
+    series = stored_half_hours(spark, folder).select("settlement_datetime", *gappy)
+    return daily.fill_gaps(series, gappy, [], "settlement_datetime", by_month("settlement_datetime"))
+
+
 @query
 def align_exog(spark, folder):
     target = daily.densify(stored_orders(spark, folder, []), []).select("date")
@@ -489,6 +566,13 @@ def lags_calendar(spark, folder):
     return featured.select("date", *[f"lag_{k}" for k in features.LAGS])
 
 
+@query
+def lags_rows_blocked(spark, folder):
+    """Lags and windows of the half-hourly series by rows, in blocks."""
+    series = stored_half_hours(spark, folder).select("settlement_datetime", "nd")
+    return features.history_features(series, "nd", [], "rows", 1000, "settlement_datetime", by_month("settlement_datetime"))
+
+
 @query
 def rolling_shifted(spark, folder):
     featured = features.history_features(daily_orders(spark, folder), TARGET, SERIES)
@@ -646,6 +730,17 @@ def residual_acf(spark, folder):
     return evaluate.residual_autocorrelation(naive_errors(spark, folder), SERIES)
 
 
+@query
+def residual_acf_half_hours(spark, folder):
+    """Autocorrelation of the errors of two half-hourly forecasts: the value a day and a week before."""
+    series = stored_half_hours(spark, folder).select("settlement_datetime", "nd")
+    earlier = lambda name, days: series.join(series.select(
+        (F.col("settlement_datetime") + F.expr(f"INTERVAL {days} DAY")).alias("settlement_datetime"), F.col("nd").alias("forecast")
+    ), "settlement_datetime").select(F.lit(name).alias("model"), "settlement_datetime", (F.col("nd") - F.col("forecast")).alias("error"))
+    errors = cut_lineage(union_all([earlier("day before", 1), earlier("week before", 7)]))
+    return evaluate.residual_autocorrelation(errors, [], 48, "settlement_datetime", by_month("settlement_datetime"), 500)
+
+
 @query
 def incomplete_impact(spark, folder):
     """Errors next to order counts as coverage: days with fewer orders than the series' usual are incomplete."""

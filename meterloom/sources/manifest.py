@@ -30,6 +30,31 @@ def _as_struct() -> str:
     return ", ".join(field.strip().replace(" ", ":", 1) for field in RESOURCE_SCHEMA.split(","))
 
 
+# The fields of a resource. A manifest of another make names the keys under which to look for each, in turn.
+RESOURCE_KEYS = {field.split()[0]: (field.split()[0],) for field in RESOURCE_SCHEMA.split(", ")}
+
+
+def resources_from_text(
+    documents: DataFrame, text: str, keys: dict[str, tuple[str, ...]] | None = None, carry: tuple[str, ...] = (), listed: str | None = "resources",
+) -> DataFrame:
+    """One row per resource of JSON texts, with its position in the text and the ``carry`` columns of its document.
+
+    A text is parsed once, as a variant, so documents need no common schema: a field is the first of its ``keys`` that is
+    there and readable. ``listed`` names the array of resources; without it a text is one resource. A null or broken text,
+    or one without resources, gives none where an array is asked for, and a resource without fields otherwise.
+    """
+    chosen = RESOURCE_KEYS | (keys or {})
+    parsed = documents.select(*carry, F.try_parse_json(F.col(text)).alias("_v"))
+    if listed:
+        each = F.try_variant_get("_v", f"$.{listed}", "array<variant>")
+        parsed = parsed.select(*carry, F.posexplode(each).alias("position", "_v"))
+    else:
+        parsed = parsed.withColumn("position", F.lit(0))
+    kinds = dict(field.split() for field in RESOURCE_SCHEMA.split(", "))
+    value = lambda name: F.coalesce(*[F.try_variant_get("_v", f"$.{k}", kinds[name]) for k in chosen[name]]).alias(name)
+    return parsed.select(*carry, "position", *map(value, kinds))
+
+
 def first_filled(*names: str) -> Column:
     """First value that is neither null nor empty."""
     return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])

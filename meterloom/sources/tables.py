@@ -77,3 +77,11 @@ def write_table(
     """Replace the table at ``path``."""
     writer = df.write.mode("overwrite").partitionBy(*(partition_by or []))
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+
+
+def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Write ``df`` over those partitions of the table at ``path`` that it has rows for, and leave the others.
+
+    Running it again with the same rows leaves the same table, so a failed run is simply repeated.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -3,10 +3,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from meterloom.operators import learn, profile, recursive, regression, sarimax, smoothing, stationarity
-from meterloom.operators.learn import assemble, tree_estimator
+from meterloom.operators import features, learn, profile, recursive, regression, sarimax, smoothing, stationarity
+from meterloom.operators.learn import assemble
+from meterloom.session import cut_lineage
 
 
 def table(spark, values, first="2018-01-01", key="a"):
@@ -38,16 +40,87 @@ def test_ridge_equals_the_closed_form(spark):
     assert fitted.agg(F.corr("y", "p")).first()[0] > 0.9
 
 
-@pytest.mark.parametrize("name, settings", [
-    ("random_forest", {"numTrees": 5, "maxDepth": 5}), ("gradient_boosting", {"maxIter": 5})])
-def test_tree_walk_equals_the_model(spark, name, settings):
+def boost_rows(spark):
     df = spark.range(400).select(F.rand(1).alias("a"), F.randn(2).alias("b"), (F.col("id") % 7).cast("double").alias("c"))
-    df = df.withColumn("y", F.col("a") * 3 + F.col("b") * F.col("c"))
-    matrix = assemble(df, ["a", "b", "c"])
-    model = tree_estimator(name, "y", **settings).fit(matrix)
-    nodes = recursive.tree_nodes(model)
-    for r in model.transform(matrix).limit(60).collect():
-        assert recursive.walk(nodes, np.array([r.a, r.b, r.c])) == pytest.approx(r.prediction, rel=1e-9)
+    return assemble(df.withColumn("y", F.col("a") * 3 + F.col("b") * F.col("c") + 50), ["a", "b", "c"]).select("features", "y")
+
+
+def test_boosting_starts_from_the_mean_and_shrinks_every_tree(spark):
+    rows = cut_lineage(boost_rows(spark))
+    model = learn.boosted(rows, "y", maxIter=12, stepSize=0.1)
+    assert model.treeWeights == [1.0] + [0.1] * 12 and model.trees[0].depth == 0
+    y = np.array([r.y for r in rows.collect()])
+    assert model.trees[0].predict(rows.first().features) == pytest.approx(y.mean())
+    checked = {r.rule: r for r in learn.boosting_checks(model, rows, "y").collect()}
+    assert checked["leaf means"].rows == 400 * 13 and checked["leaf means"].mismatches == 0
+    assert checked["sum of trees"].rows == 400 and checked["sum of trees"].mismatches == 0
+    # The rules tell a model of other labels.
+    other = {r.rule: r.mismatches for r in learn.boosting_checks(model, rows.withColumn("y", F.col("y") + 1), "y").collect()}
+    assert other["leaf means"] == 400 * 13
+    error = [np.mean([(r.y - r.p) ** 2 for r in learn.boosted(rows, "y", maxIter=n).setPredictionCol("p").transform(rows).collect()]) for n in (1, 15)]
+    assert error[1] < error[0] < y.var()
+
+
+def test_model_store_knows_rows_and_settings(spark):
+    rows = cut_lineage(boost_rows(spark))
+    first = learn.tree_model("gradient_boosting", rows, "y", True, maxIter=2)
+    again = learn.tree_model("gradient_boosting", rows.repartition(5), "y", True, maxIter=2)
+    assert again.uid == first.uid and again.treeWeights == first.treeWeights
+    predicted = lambda m: [r.p for r in m.setPredictionCol("p").transform(rows).orderBy("y").collect()]
+    assert predicted(first) == predicted(again)
+    assert len(again.featureImportances) == 3
+    assert learn.tree_model("gradient_boosting", rows, "y", True, maxIter=3).getNumTrees == 4
+    other = learn.tree_model("gradient_boosting", rows.withColumn("y", F.col("y") + 1), "y", True, maxIter=2)
+    assert other.trees[0].predict(rows.first().features) == pytest.approx(first.trees[0].predict(rows.first().features) + 1)
+    with pytest.raises(ValueError):
+        learn.tree_model("no such", rows, "y")
+
+
+def replay(past, known, columns, fill, predict):
+    """The recursion written out: history as a list, one day after the other."""
+    history, made = list(past), []
+    for day in known:
+        x = []
+        for i, c in enumerate(columns):
+            v = day[i]
+            if c.startswith("lag_"):
+                k = int(c[4:])
+                v = history[-k] if len(history) >= k else None
+            elif c in features.ROLLING:
+                statistic, length, fewest = features.ROLLING[c]
+                part = history[-length:]
+                v = None if len(part) < fewest else max(part) if statistic == "max" else sum(part) / len(part)
+            x.append(fill[i] if v is None else v)
+        made.append(predict(x))
+        history.append(made[-1])
+    return made
+
+
+def test_recursion_equals_a_replay(spark, seasonal):
+    cut = 760
+    start = (dt.date(2018, 1, 1) + dt.timedelta(cut)).isoformat()
+    df = table(spark, seasonal[:775]).union(table(spark, seasonal[5:770] * 2, key="b"))
+    settings = {"gradient_boosting": {"maxIter": 4}, "random_forest": {"numTrees": 3, "maxDepth": 4}}
+    forecasts, fitted = recursive.strict_recursive(df, "y", start, "2030-01-01", ["k"], settings=settings)
+    got = {(r.k, r.model): [] for r in forecasts.select("k", "model").distinct().collect()}
+    for r in forecasts.orderBy("date").collect():
+        got[r.k, r.model].append(r.forecast)
+    rows, columns = recursive.panel_rows(df, "y", start, "2030-01-01", ["k"])
+    scales = {r.k: r for r in fitted.scales.collect()}
+    ridge = {r.k: r for r in fitted.ridge.collect()}
+    for s in recursive.series_state(rows, "y", start, columns, ["k"]).collect():
+        known = [d.known for d in s._days]
+        weights = ridge[s.k]
+        line = lambda x: weights.intercept + np.dot(weights.coefficients, x)  # noqa: B023, E731
+        assert got[s.k, "ridge"] == pytest.approx(replay(s._history, known, columns, s._fill, line), rel=1e-9)
+        unit = scales[s.k]
+        for name, model in fitted.trees.items():
+            def predict(x, model=model, unit=unit):
+                scaled = [(v - unit._mu) / unit._sd if learn.is_history(c) else v for v, c in zip(x, columns, strict=True)]
+                return unit._mu + unit._sd * model.predict(Vectors.dense([*scaled, unit[learn.SERIES_CODE]]))
+
+            assert got[s.k, name] == pytest.approx(replay(s._history, known, columns, s._fill, predict), rel=1e-9)
+    assert {len(v) for v in got.values()} == {5, 15}
 
 
 def test_recursion_never_sees_test_targets(spark, seasonal):
@@ -80,6 +153,71 @@ def test_first_recursive_step_equals_one_day_ahead(spark, seasonal):
     assert learn.ridge_coefficients(fitted).count() == len(fitted.columns)
 
 
+def smooth_by_hand(y, alpha, beta, gamma, season):
+    cycles = [[v for v in y[i * season:(i + 1) * season] if v is not None] for i in range(2)]
+    level, drift = np.mean(cycles[0]), (np.mean(cycles[1]) - np.mean(cycles[0])) / season
+    waves = [0.0 if v is None else v - level for v in y[:season]]
+    for t, v in enumerate(y):
+        ahead, wave = level + drift, waves[t % season]
+        error = 0.0 if v is None else v - ahead - wave
+        level, drift, waves[t % season] = ahead + alpha * error, drift + alpha * beta * error, wave + gamma * (1 - alpha) * error
+    return lambda h: level + drift * h + waves[(len(y) + h - 1) % season]
+
+
+@pytest.mark.parametrize("season, days", [(7, 61), (20, 40), (21, 100), (2, 9)])
+def test_smoothing_fold_equals_a_loop(spark, season, days):
+    rng = np.random.default_rng(season)
+    y = [float(v) for v in 50 + np.arange(days) * 0.3 + rng.normal(0, 3, days)]
+    for i in (0, 5, days // 2):
+        y[i] = None
+    y[-1] = 47.0
+    first = dt.date(2018, 1, 1)
+    rows = [("a", first + dt.timedelta(i), v) for i, v in enumerate(y) if v is not None or i == 0]
+    train = spark.createDataFrame(rows, "k string, date date, y double")
+    test = spark.createDataFrame([("a", first + dt.timedelta(days + h), 1.0) for h in range(30)] + [("new", first, 1.0)], "k string, date date, y double")
+    want = smooth_by_hand(y, 0.3, 0.1, 0.2, season)
+    got = smoothing.smoothed_forecast(train, test, "y", (0.3, 0.1, 0.2), ["k"], season).orderBy("k", "date").collect()
+    assert [r.holt_winters_forecast for r in got[:30]] == pytest.approx([want(h + 1) for h in range(30)], rel=1e-12)
+    assert got[30].holt_winters_forecast is None
+
+
+def test_smoothing_forms_and_their_fall_back(spark):
+    rows = [("long", v, i) for i, v in enumerate(np.sin(np.arange(740)) + 5)] + [("mid", 2.0 * i, i) for i in range(25)] + [("few", 3.0, i) for i in range(4)]
+    first = dt.date(2018, 1, 1)
+    train = spark.createDataFrame([(k, first + dt.timedelta(i), float(v)) for k, v, i in rows] + [("none", first, None)], "k string, date date, y double")
+    test = spark.createDataFrame([(k, dt.date(2020, 6, 1), 0.0) for k in ("long", "mid", "few", "none")], "k string, date date, y double")
+    got = {r.k: r for r in smoothing.holt_winters(train, test, "y", ["k"]).collect()}
+    assert {k: r.holt_winters_form for k, r in got.items()} == {
+        "long": "trend and season", "mid": "trend", "few": "level", "none": "last value"}
+    assert got["few"].holt_winters_forecast == pytest.approx(3.0) and got["none"].holt_winters_forecast is None
+    steps = (dt.date(2020, 6, 1) - first).days
+    assert got["mid"].holt_winters_forecast == pytest.approx(2.0 * steps, rel=0.05)
+
+
+def test_given_arima_weights_equal_a_loop(spark):
+    rng = np.random.default_rng(6)
+    y = list(np.cumsum(rng.normal(0, 1, 60)) + 30)
+    ar, ma = (0.4, 0.1, -0.05), (-0.3, -0.2, 0.1)
+    w = [y[t] - y[t - 1] - y[t - 7] + y[t - 8] for t in range(8, 60)]
+    e = []
+    term = lambda seq, k, t: seq[t - k] if t >= k else 0.0
+    for t, v in enumerate(w):
+        e.append(v - sum(a * term(w, k, t) + m * term(e, k, t) for a, m, k in zip(ar, ma, (1, 7, 8), strict=True)))
+    z = list(y)
+    for _ in range(15):
+        t = len(w)
+        w.append(sum(a * term(w, k, t) + m * term(e, k, t) for a, m, k in zip(ar, ma, (1, 7, 8), strict=True)))
+        e.append(0.0)
+        z.append(w[-1] + z[-1] + z[-7] - z[-8])
+    df = table(spark, z)
+    train, test = df.where(F.col("date") < "2018-03-02"), df.where(F.col("date") >= "2018-03-02")
+    assert train.count() == 60
+    got = sarimax.sarima_given(train, test, "y", ar, ma, ["k"]).orderBy("date").collect()
+    assert [r.sarima_forecast for r in got] == pytest.approx(z[60:], rel=1e-9)
+    short = sarimax.sarima_given(train.limit(5), test, "y", ar, ma, ["k"]).collect()
+    assert {r.sarima_forecast for r in short} == {None}
+
+
 def test_smoothing_follows_trend_and_season(spark, seasonal):
     df = table(spark, seasonal)
     train, test = df.where("date < '2020-04-01'"), df.where("date >= '2020-04-01'")

@@ -72,3 +72,32 @@ def test_cut_lineage_reads_back_the_same_rows(spark):
     df = spark.range(10).selectExpr("id", "id * 2 as b")
     assert cut_lineage(df).orderBy("id").collect() == df.collect()
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_resources_from_texts_of_any_make(spark):
+    texts = [
+        ("a", '{"resources": [{"id": 7, "name": "n"}, {"title": "t", "datastore_active": true, "more": {"deep": [1]}}, 5]}'),
+        ("b", '{"resources": []}'), ("c", '{"other": 1}'), ("d", "broken {"), ("e", None), ("f", "[1, 2]"), ("g", '{"resources": "no list"}'),
+    ]
+    df = spark.createDataFrame(texts, "doc string, text string")
+    rows = manifest.resources_from_text(df, "text", {"name": ("name", "title")}, ("doc",)).orderBy("position").collect()
+    assert [(r.doc, r.position, r.id, r.name, r.datastore_active) for r in rows] == [
+        ("a", 0, "7", "n", None), ("a", 1, None, "t", True), ("a", 2, None, None, None)]
+    single = manifest.resources_from_text(df, "text", {"id": ("id", "other")}, ("doc",), None).orderBy("doc").collect()
+    assert [r.id for r in single] == [None, None, "1", None, None, None, None]
+
+
+def test_partitions_are_replaced_and_pruned(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    df = spark.createDataFrame([(y, f"{y}-0{m}-01", y * 10 + m) for y in (2020, 2021, 2022) for m in (1, 2)], "year int, date string, v int")
+    tables.write_table(df, path, ["year"])
+    for _ in range(2):
+        tables.replace_partitions(df.where("year = 2021").limit(1).withColumn("v", F.lit(-1)), path, ["year"])
+    stored = tables.read_daily(spark, path, df.schema)
+    assert sorted((r.year, r.v) for r in stored.collect()) == [(2020, 20201), (2020, 20202), (2021, -1), (2022, 20221), (2022, 20222)]
+    pruned = stored.where("year between 2021 and 2022").select("v")
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "ReadSchema: struct<v:int>" in plan
+    assert pruned.count() == 3
+    tables.replace_partitions(df.where("false"), path, ["year"])
+    assert stored.count() == 5
