@@ -84,6 +84,36 @@ def test_damage_is_noticed(spark, tmp_path):
         warc.describe(spark, f"{tmp_path}/b").collect()
 
 
+def test_records_cut_off_are_noticed(spark, tmp_path):
+    warc.write(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), f"{tmp_path}/a")
+    found = warc.records(spark, f"{tmp_path}/a").selectExpr("substring(record, 1, length(record) - 1) record")
+    with pytest.raises(Exception, match="a record is cut off"):
+        warc.parsed(found).collect()
+
+
+def test_ids_with_line_breaks(spark, tmp_path):
+    data = [("a\r\nX-Page-Id: b", "u\nv", "t"), ("50%0A", "u", "t"), ("%", "w", "other"), ("", None, "x")]
+    warc.write(spark.createDataFrame(data, "page_id string, url string, html string"), f"{tmp_path}/a")
+    got = {r.page_id: r for r in warc.describe(spark, f"{tmp_path}/a").collect()}
+    assert set(got) == {d[0] for d in data}
+    assert got["50%0A"].refers_to == "a\r\nX-Page-Id: b" and got["a\r\nX-Page-Id: b"].record_type == "response"
+
+
+def test_hot_keys_meet_by_broadcast(spark):
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 50 + list("abcde") + [None])], "k string, i int")
+    right = spark.createDataFrame([(k, k.upper()) for k in ("hot", "a", "b", "z")], "k string, v string")
+    got = sorted(tuple(r) for r in warc.join_one(left, right, "k", hot_rows=10).collect())
+    assert got == sorted([("hot", i, "HOT") for i in range(50)] + [("a", 50, "A"), ("b", 51, "B")])
+    assert warc.join_one(left.where("false"), right, "k").count() == 0
+
+
+def test_payloads_that_look_like_records(spark, tmp_path):
+    data = [(1, "u", "\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n"), (2, "v", "\r\n\r\n"), (3, "w", "é" * 10 + "\r\n\r\n")]
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string"), f"{tmp_path}/a")
+    got = {r.page_id: bytes(r.payload) for r in warc.parsed(warc.records(spark, f"{tmp_path}/a")).collect()}
+    assert got == {str(i): t.encode() for i, _, t in data}
+
+
 def test_empty(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/a")
     assert warc.describe(spark, f"{tmp_path}/a").collect() == [] and warc.records(spark, f"{tmp_path}/a").collect() == []
