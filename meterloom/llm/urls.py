@@ -5,32 +5,33 @@ all ways to cut a name into words, the Viterbi search takes the one with the mos
 counts. The counts come from the texts of all pages. They are never sent around: each different name spreads its
 substrings, which meet the counts in a join, and brings home the few that are words.
 
-Words of hosts and paths are the tokens of a multinomial naive Bayes model. Its training labels come from seed
-words: a url with one of them is an example to block, all other urls are examples to allow. So a url can be
-blocked for words that keep company with seed words. All counts are distributed aggregations over the different
-(host, path) pairs; a host with a third of all pages is segmented once.
+Words of hosts and paths are the tokens of a multinomial naive Bayes model. It learns from the urls that a rule
+decides, with the rule's verdict as label, and carries these verdicts on to urls that no rule fits: they are blocked
+for words that keep company with blocked ones. A table of seed words can add examples to block.
+:func:`held_out_accuracy` tells how well the labels of urls are met that took no part in learning. All counts are
+distributed aggregations over the different (host, path) pairs; a host with a third of all pages is segmented once,
+and tokens that stand in most urls meet their weights by a broadcast of hot keys.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .warc import join_one
 
 RULES = {
     "com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block",
 }
-#: Words whose urls are examples to block.
-SEEDS = ("ads", "adult", "bets", "betting", "casino", "escort", "gambling", "malware", "phishing", "pills", "porn", "spam", "track", "viagra", "warez", "xxx")
 LONGEST_WORD = 20
-#: Occurrences that a seed word is given beyond those in the pages.
-SEED_COUNT = 1000
 SMOOTHING = 1.0
+#: One in so many labelled urls, by a hash, is kept out of learning to measure accuracy.
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,13 +61,14 @@ def rule_for(host: Column, path: Column, rules: Mapping[str, str] = RULES) -> Co
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-def unigrams(texts: DataFrame, text: str, seeds: Sequence[str] = SEEDS) -> DataFrame:
-    """``(word, n)`` of the lower-case runs of a-z of all texts, markup left out, plus the seed words."""
+def unigrams(texts: DataFrame, text: str, seeds: DataFrame | None = None) -> DataFrame:
+    """``(word, n)`` of the lower-case runs of a-z of all texts, markup left out, plus those of a table ``seeds``."""
     plain = F.lower(F.regexp_replace(F.col(text), r"<[^>]*>", " "))
     found = texts.select(F.explode(F.split(plain, "[^a-z]+")).alias("word")).where(f"word <> '' AND length(word) <= {LONGEST_WORD}")
     found = found.groupBy("word").agg(F.count("*").alias("n"))
-    known = texts.sparkSession.createDataFrame([(w, SEED_COUNT) for w in seeds], "word string, n long")
-    return found.unionByName(known).groupBy("word").agg(F.sum("n").alias("n"))
+    if seeds is None:
+        return found
+    return found.unionByName(seeds.select("word", F.col("n").cast("long"))).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def best_cut(name: str, words: Mapping[tuple[int, int], int], total: int, longest: int = LONGEST_WORD) -> list[str]:
@@ -99,8 +101,10 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     parts = names.distinct().where("name <> ''").select("name", at)
     parts = parts.select("name", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("at") + 1))).alias("size"))
     parts = parts.withColumn("word", F.substring("name", F.col("at"), F.col("size")))
+    parts = cut_lineage(parts)
     # Every name keeps its first letter, so names without any known word come back too.
-    known = parts.join(counts, "word", "left").where("n IS NOT NULL OR (at = 1 AND size = 1)")
+    known = join_one(parts, counts, "word").select("name", "at", "size", "n").unionByName(
+        parts.where("at = 1 AND size = 1").select("name", "at", "size", F.lit(None).cast("long").alias("n")))
     known = known.groupBy("name").agg(F.collect_list(F.struct("at", "size", "n")).alias("known"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,50 +123,89 @@ def tokens(places: DataFrame, counts: DataFrame) -> DataFrame:
     names = hosts.select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("place", "name")).where("name <> ''")
     names = cut_lineage(names)
     cuts = cut_lineage(segment(names.select("name"), counts))
-    words = cut_lineage(names.join(cuts, "name").select("host", F.explode("words").alias("token")).groupBy("host", "token").agg(F.count("*").alias("n")))
-    of_host = places.join(words, "host").select("host", "path", "token", "n")
+    words = names.join(cuts, "name").select("host", F.explode("words").alias("token")).groupBy("host", "token").agg(F.count("*").alias("n"))
+    words = cut_lineage(words.groupBy("host").agg(F.collect_list(F.struct("token", "n")).alias("words")))
+    of_host = join_one(places, words, "host").select("host", "path", F.explode("words").alias("w")).select("host", "path", "w.token", "w.n")
     of_path = places.select("host", "path", F.explode(F.split(F.lower("path"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     of_path = of_path.select("host", "path", F.concat(F.lit("/"), "word").alias("token")).groupBy("host", "path", "token").agg(F.count("*").alias("n"))
     return of_host.unionByName(of_path)
 
 
-def weights(tokens: DataFrame, seeds: Sequence[str] = SEEDS, smoothing: float = SMOOTHING) -> tuple[DataFrame, float]:
-    """Log odds ``(token, weight)`` of each token for block against allow, and those of the classes themselves.
+def verdict_of(rule: Column, rules: Mapping[str, str] = RULES) -> Column:
+    """The verdict that goes with a rule, null without one."""
+    return F.coalesce(*[F.when(rule == r, F.lit(v)) for r, v in rules.items()], F.lit(None).cast("string"))
 
-    Without examples of both classes every weight is zero and all is allowed.
+
+def labelled(tokens: DataFrame, rules: Mapping[str, str] = RULES, seeds: DataFrame | None = None) -> DataFrame:
+    """``tokens`` of the urls to learn from, with ``bad``: whether to block.
+
+    A rule's verdict is the label of the urls that it decides. With ``seeds``, a table of words, a url without a rule is
+    an example to block if one of its words is a seed.
+    """
+    verdict = verdict_of(rule_for(F.col("host"), F.col("path"), rules), rules)
+    if seeds is None:
+        return tokens.withColumn("bad", verdict == "block").where("bad IS NOT NULL")
+    seed = seeds.select(F.col("word").alias("_word"), F.lit(True).alias("_seed")).distinct()
+    marked = tokens.join(seed, F.ltrim("token", F.lit("/")) == F.col("_word"), "left")
+    hit = marked.groupBy("host", "path").agg(F.max(F.coalesce("_seed", F.lit(False))).alias("_hit"))
+    return tokens.join(hit, ["host", "path"]).withColumn(
+        "bad", F.coalesce(verdict == "block", F.when(F.col("_hit"), F.lit(True)))).where("bad IS NOT NULL").drop("_hit")
+
+
+def weights(examples: DataFrame, smoothing: float = SMOOTHING) -> tuple[DataFrame, float]:
+    """Log odds ``(token, weight)`` of each token of the labelled urls for block against allow, and those of the classes.
+
+    Without examples of both classes there are no weights and all is allowed.
     """
-    marked = [*seeds, *("/" + s for s in seeds)]
-    bad = F.max(F.col("token").isin(marked))
-    labels = tokens.groupBy("host", "path").agg(bad.alias("bad"))
-    labels = cut_lineage(labels)
-    n = {r["bad"]: r["count"] for r in labels.groupBy("bad").count().collect()}
+    urls_ = examples.groupBy("host", "path").agg(F.max("bad").alias("bad"))
+    n = {r["bad"]: r["count"] for r in urls_.groupBy("bad").count().collect()}
     if len(n) < 2:
-        return tokens.select("token").distinct().withColumn("weight", F.lit(0.0)), -1.0
+        return examples.sparkSession.createDataFrame([], "token string, weight double"), -1.0
     by = lambda bad: F.coalesce(F.sum(F.when(F.col("bad") == bad, F.col("n"))), F.lit(0)).cast("double")
-    counted = cut_lineage(tokens.join(labels, ["host", "path"]).groupBy("token").agg(by(True).alias("block"), by(False).alias("allow")))
+    counted = cut_lineage(examples.groupBy("token").agg(by(True).alias("block"), by(False).alias("allow")))
     sums = counted.agg(F.count("*").alias("v"), F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
     log = lambda c: F.log(F.col(c) + smoothing) - math.log(sums[c] + smoothing * sums["v"])
-    return counted.select("token", (log("block") - log("allow")).alias("weight")), math.log(n[True]) - math.log(n[False])
+    return cut_lineage(counted.select("token", (log("block") - log("allow")).alias("weight"))), math.log(n[True]) - math.log(n[False])
+
+
+def scored(found: DataFrame, weighed: DataFrame, prior: float) -> DataFrame:
+    """``(host, path, score)``: log odds for blocking of every url with a token (a stored table); tokens that no labelled
+    url has count nothing."""
+    known = join_one(found, weighed, "token").groupBy("host", "path").agg(F.sum(F.col("n") * F.col("weight")).alias("odds"))
+    urls_ = found.select("host", "path").distinct()
+    return urls_.join(known, ["host", "path"], "left").select(
+        "host", "path", F.round(F.coalesce("odds", F.lit(0.0)) + prior, 9).alias("score"))
+
+
+def held_out_accuracy(
+    found: DataFrame, rules: Mapping[str, str] = RULES, seeds: DataFrame | None = None, smoothing: float = SMOOTHING, folds: int = FOLDS,
+) -> tuple[int, float]:
+    """Labelled urls in one of ``folds`` parts by a hash, and the share of them that a model of the others meets."""
+    examples = cut_lineage(labelled(found, rules, seeds).withColumn("fold", F.pmod(F.crc32(F.concat("host", "path").cast("binary")), F.lit(folds))))
+    held = cut_lineage(examples.where("fold = 0"))
+    scores = scored(held, *weights(examples.where("fold <> 0"), smoothing))
+    right = (F.col("score") > 0) == F.col("bad")
+    row = scores.join(held.select("host", "path", "bad").distinct(), ["host", "path"]).agg(F.count("*"), F.avg(right.cast("int"))).first()
+    return row[0], row[1] if row[0] else 0.0
 
 
 def judge(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", text: str = "html", rules: Mapping[str, str] = RULES,
-    seeds: Sequence[str] = SEEDS, smoothing: float = SMOOTHING,
+    seeds: DataFrame | None = None, smoothing: float = SMOOTHING,
 ) -> DataFrame:
     """One row per page: ``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``score``, the log odds for
     blocking (null where nothing of the url is a word).
 
     A null url, or one without ``://``, has an empty host and path; no rule fits it, it has no tokens and is
-    allowed. Null texts count no words. Repeated rows are judged alike; null ids are kept; empty tables give no rows.
+    allowed. Null texts count no words. A host or path of any length is cut whole; its name spreads at most
+    ``LONGEST_WORD`` substrings a letter. Repeated rows are judged alike; null ids are kept; empty tables give no rows.
+    ``seeds`` is an optional table ``(word, n)``, see :func:`labelled` and :func:`unigrams`.
     """
     split = cut_lineage(pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")))
     places = cut_lineage(split.select("host", "path").distinct())
     found = cut_lineage(tokens(places, cut_lineage(unigrams(pages, text, seeds))))
-    weighed, prior = weights(found, seeds, smoothing)
-    summed = F.round(F.sum(F.col("n") * F.col("weight")) + prior, 9)
-    scores = cut_lineage(found.join(weighed, "token").groupBy("host", "path").agg(summed.alias("score")))
+    scores = cut_lineage(scored(found, *weights(cut_lineage(labelled(found, rules, seeds)), smoothing)))
     rule = rule_for(F.col("host"), F.col("path"), rules)
-    by_rule = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in rules.items()], F.lit(None).cast("string"))
     by_model = F.when(F.col("score") > 0, "block").otherwise("allow")
     return split.join(scores, ["host", "path"], "left").withColumn("rule", rule).select(
-        "page_id", "host", "path", "rule", F.coalesce(by_rule, by_model).alias("verdict"), "score")
+        "page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), by_model).alias("verdict"), "score")
