@@ -353,7 +353,7 @@ def _winning(found: list[TextBlock]) -> tuple[list[TextBlock], int]:
                 numbers = np.array([b.article for b in found])
                 held = np.bincount(numbers, _weights(found))
                 best = int(held.argmax())
-                if 2 * held[best] >= held.sum():
+                if 2 * held[best] >= held.sum() > 0:
                     found = [b for b, n in zip(found, numbers, strict=True) if n == best]
             return found, region
         if not inside.all():

@@ -1,4 +1,7 @@
 import html as entities
+import html.parser
+import math
+import random
 import re
 import time
 
@@ -106,3 +109,179 @@ def test_math_and_xmp_are_text():
     page = f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><xmp><b>raw</b></xmp></article>"
     got = extraction.main_text(page)
     assert "x=1 holds." in got and "<b>raw</b>" in got
+
+
+PROBED = {
+    "script with a slash": (f"<p>{PROSE}</p><script src=/js/>var a=1;</script><p>{MORE}</p>", [PROSE, MORE]),
+    "reference list": (f"<article><p>{PROSE}</p><ul><li><a href=1>Ref one, a paper</a></li><li><a href=2>Ref two, a book</a></li></ul></article>",
+                       [PROSE, "Ref one, a paper", "Ref two, a book"]),
+    "menu in the article": (f"<article><p>{PROSE}</p><ul><li><a href=1>News</a></li><li><a href=2>Sport</a></li></ul></article>", [PROSE]),
+    "names in the article": (
+        f"<article><p class=byline>By A. Smith</p><p>{PROSE} <span class='search-term'>mill</span> here.</p><div class='share-price'>Price, 5.</div>"
+        "<blockquote class='comment'><p>A quote, said he.</p></blockquote><div class='related-posts'><p>Read this, too.</p></div></article>",
+        ["By A. Smith", PROSE + " mill here.", "Price, 5.", "A quote, said he."]),
+    "comments as articles": (f"<article><p>{PROSE}</p></article><article class='c'><p>Nice one, thanks.</p></article>", [PROSE]),
+    "comments as inner articles": (f"<article><p>{PROSE}</p><article><p>Nice, thanks.</p></article></article>", [PROSE]),
+    "articles of equal weight": ("".join(f"<article><p>{PROSE}</p></article>" for _ in range(3)), [PROSE] * 3),
+    "empty svg": (f"<article><p>{PROSE}</p><svg/><p>{MORE}</p></article>", [PROSE, MORE]),
+    "bare value with a slash": (f"<article><p>{PROSE} <a href=/x/>link</a> tail.</p></article>", [PROSE + " link tail."]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PROBED))
+def test_probed_pages(name):
+    page, want = PROBED[name]
+    assert extraction.main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b>", "<p>a</b>", "<div class='sidebar'>x", "<ul><li>x", "<b><h1>a</h1>", "<ul><div><li>x</li>", "<table><tr><td>", "<article>x", "<a><p>y"])
+def test_time_grows_with_length(part):
+    def took(n):
+        begin = time.process_time()
+        extraction.main_text(part * (n // len(part)))
+        return time.process_time() - begin
+
+    took(10_000)
+    small, large = min(took(60_000) for _ in range(2)), took(600_000)
+    assert large < 25 * small + 0.5
+
+
+class Naive(html.parser.HTMLParser):
+    """Blocks of a well-formed page the slow way: every block knows all its open tags."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.blocks, self.text, self.links, self.count = [], [], "", 0, 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.blocks.append({"text": text, "links": min(self.links, len(text)), "open": list(self.open)})
+        self.text, self.links = "", 0
+
+    def hinted(self, tag, names):
+        if tag in ("form",):
+            return True
+        if tag in ("span", "a", "b", "blockquote", "main", "body", "html"):
+            return False
+        def furniture(name):
+            parts = re.findall("[A-Za-z][a-z]*|[0-9]+", name)
+            return any(p.lower() in extraction.HINTS for p in parts) and all(p.lower() in extraction.HINTS | extraction.PLAIN or p.isdigit() for p in parts)
+        return any(furniture(n) for n in names.split())
+
+    def handle_starttag(self, tag, attrs):
+        hinted = self.hinted(tag, dict(attrs).get("class") or "")
+        if tag in extraction.BLOCKS or tag in extraction.FURNITURE or hinted:
+            self.flush()
+        self.count += 1
+        self.open.append((tag, self.count, hinted))
+
+    def handle_endtag(self, tag):
+        assert self.open[-1][0] == tag
+        if tag in extraction.BLOCKS or tag in extraction.FURNITURE or self.open[-1][2]:
+            self.flush()
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        if any(t == "a" for t, _, _ in self.open):
+            self.links += len(data.strip())
+
+
+def naive_text(page):
+    found = Naive(page).blocks
+    for b in found:
+        tags = [t for t, _, _ in b["open"]]
+        b["path"] = tuple(t for t in tags if t in extraction.BLOCKS)
+        b["region"] = 2 if "article" in tags else 1 if "main" in tags else 0
+        b["article"] = next((n for t, n, _ in reversed(b["open"]) if t == "article"), 0)
+        b["out"] = any(t in extraction.FURNITURE for t in tags) or ("header" in tags and not b["region"])
+        b["hints"] = {n for _, n, h in b["open"] if h}
+    seen = [b for b in found if not b["out"]]
+    total = sum(len(b["text"]) - b["links"] for b in seen)
+    regions = [b for b in seen if b["region"]]
+
+    def wraps(e):
+        held = sum(len(b["text"]) - b["links"] for b in seen if e in b["hints"])
+        return all(e in b["hints"] for b in regions) and 2 * held > total if regions else 4 * held > 3 * total
+
+    found = [b for b in seen if all(wraps(e) for e in b["hints"])]
+
+    def measure(rows):
+        def per(path, f):
+            mine = [b for b in rows if b["path"] == path]
+            return sum(map(f, mine)) / len(mine)
+
+        ratio = [math.log1p(per(b["path"], lambda c: len(c["text"]))) for b in rows]
+        marks = [math.log1p(per(b["path"], lambda c: sum(c["text"].count(p) for p in extraction.PUNCTUATION))) for b in rows]
+        at = lambda v, i: sum(w * v[min(len(v) - 1, max(0, i + d))] for d, w in zip((-2, -1, 0, 1, 2), extraction.KERNEL, strict=True))
+        fused = [at(ratio, i) * (1 + at(marks, i)) for i in range(len(rows))]
+        for b in rows:
+            b["fused"] = sum(f for f, c in zip(fused, rows, strict=True) if c["path"] == b["path"]) / sum(c["path"] == b["path"] for c in rows)
+            b["share"] = per(b["path"], lambda c: c["links"]) / per(b["path"], lambda c: len(c["text"]))
+            b["score"] = b["fused"] * (1 - b["share"]) if b["share"] < 0.6 else 0.0
+            b["words"], b["marks"] = per(b["path"], lambda c: len(c["text"].split())), per(b["path"], lambda c: sum(c["text"].count(p) for p in extraction.PUNCTUATION))
+        return [b["score"] * (len(b["text"]) - b["links"]) for b in rows]
+
+    if not found:
+        return ""
+    chosen = None
+    for region in (2, 1):
+        if not any(b["region"] == region for b in found):
+            continue
+        weight = measure(found)
+        if 2 * sum(w for w, b in zip(weight, found, strict=True) if b["region"] == region) >= sum(weight):
+            found = chosen = [b for b in found if b["region"] == region]
+            break
+        if any(b["region"] < region for b in found):
+            found = [b for b in found if b["region"] < region]
+    text_region = found[0]["region"] if chosen else max(b["region"] for b in found)
+    if text_region == 2 and chosen:
+        weight = measure(found)
+        held = {n: sum(w for w, b in zip(weight, found, strict=True) if b["article"] == n) for n in sorted({b["article"] for b in found})}
+        best = max(held, key=held.get)
+        if 2 * held[best] >= sum(held.values()) > 0:
+            found = [b for b in found if b["article"] == best]
+    measure(found)
+    if text_region == 2:
+        keep = [b["share"] < 0.6 or b["marks"] > 0 or b["words"] > 4 for b in found]
+    else:
+        top = max(b["score"] for b in found)
+        keep = [b["score"] >= 0.25 * top and b["score"] > 0 for b in found]
+    for i in range(len(found) - 2, -1, -1):
+        if found[i]["path"] and re.fullmatch("h[1-6]", found[i]["path"][-1]) and found[i]["links"] < 0.6 * len(found[i]["text"]):
+            keep[i] = keep[i] or keep[i + 1]
+    return "\n".join(b["text"] for b, k in zip(found, keep, strict=True) if k)
+
+
+def random_page(rng, depth=0):
+    """Well-formed markup with menus, articles, names and prose."""
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.random()
+        if depth > 4 or kind < 0.35:
+            words = " ".join(rng.choices(["river", "mill,", "bridge.", "night", "he", "said:", "no;", "&amp;"], k=rng.randrange(1, 30)))
+            out.append(f"<p>{words}</p>" if rng.random() < 0.8 else f"<h2>{words}</h2>")
+        elif kind < 0.45:
+            out.append("<ul>" + "".join(f"<li><a href=x>{rng.choice(['News', 'Sport', 'A long one, with a mark', 'Six words that have no marks'])}</a></li>" for _ in range(rng.randrange(1, 4))) + "</ul>")
+        elif kind < 0.5:
+            out.append(f"<b class='ad'>loose {rng.randrange(9)} text</b>")
+        else:
+            tag = rng.choice(["div", "section", "article", "main", "aside", "nav", "form", "blockquote", "header", "footer", "div", "div"])
+            name = rng.choice(["", "", " class='sidebar'", " class='related-posts'", " class='share-price'", " class='comments x'", " class='layout has-sidebar'", " class='ad'"])
+            out.append(f"<{tag}{name}>{random_page(rng, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_equals_the_slow_version():
+    rng = random.Random(11)
+    texts = 0
+    for _ in range(600):
+        page = "<html><body>" + random_page(rng) + "</body></html>"
+        got = extraction.main_text(page)
+        assert got == naive_text(page), page
+        texts += bool(got)
+    assert texts > 400
