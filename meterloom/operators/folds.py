@@ -52,12 +52,9 @@ def weighted(weights: Sequence[Column], values: Sequence[Column]) -> Column:
 def fold(items: Column, start: dict[str, Column], types: dict[str, str], step: Callable[[Column, Column], dict[str, Column] | Column]) -> Column:
     """Run ``step`` over an array; the state is a struct of ``types``, and so is the result. A step gives the parts of the
     next state by name, or the struct itself."""
-    kind = "struct<" + ", ".join(f"{name}: {t}" for name, t in types.items()) + ">"
-
     def packed(parts: dict[str, Column] | Column) -> Column:
-        if isinstance(parts, Column):
-            return parts.cast(kind)
-        return F.struct(*[parts[name].alias(name) for name in types]).cast(kind)
+        # Fields are cast one by one: a cast of the whole struct would copy its arrays at every step.
+        return parts if isinstance(parts, Column) else F.struct(*[parts[name].cast(t).alias(name) for name, t in types.items()])
 
     return F.aggregate(items, packed(start), lambda state, item: packed(step(state, item)))
 

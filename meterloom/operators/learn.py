@@ -145,6 +145,24 @@ def boosting_checks(model: GBTRegressionModel, matrix: DataFrame, label: str, to
         sums.select(F.lit("sum of trees").alias("rule"), "rows", "mismatches"))
 
 
+def forest_checks(model: RandomForestRegressionModel, matrix: DataFrame, label: str, tolerance: float = 1e-9) -> DataFrame:
+    """Two rules that a forest must keep on its training rows, with rows checked and rows that break them.
+
+    ``mean of trees``: the forecast is the mean of the values of all trees. ``label range``: and, made of means of labels, it
+    lies between the smallest and the largest label.
+    """
+    rows = matrix.withColumn("_sum", F.lit(0.0))
+    for tree in model.trees:
+        rows = tree.setPredictionCol("_tree").transform(rows).withColumn("_sum", F.col("_sum") + F.col("_tree")).drop("_tree")
+    stored = cut_lineage(model.setPredictionCol("_whole").transform(rows).select("_sum", "_whole", label))
+    ends = stored.agg(F.min(label).alias("_low"), F.max(label).alias("_high"))
+    every, near = attach(stored, ends, []), tolerance * F.greatest(F.abs("_whole"), F.lit(1.0))
+    off = {"mean of trees": F.abs(F.col("_sum") / len(model.trees) - F.col("_whole")) > near,
+           "label range": (F.col("_whole") < F.col("_low") - near) | (F.col("_whole") > F.col("_high") + near)}
+    counted = every.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(v).alias(k) for k, v in off.items()])
+    return counted.unpivot(["rows"], list(off), "rule", "mismatches").select("rule", "rows", "mismatches")
+
+
 FITS = {"random_forest": (forest, RandomForestRegressionModel), "gradient_boosting": (boosted, GBTRegressionModel)}
 
 

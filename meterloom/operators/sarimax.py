@@ -70,6 +70,24 @@ def estimate(train: DataFrame, target: str, keys: Keys = ()) -> tuple[DataFrame,
     return second, shocks.select(*keys, "date", "_y", "_w", "_e")
 
 
+def weight_residuals(train: DataFrame, target: str, keys: Keys = ()) -> DataFrame:
+    """How far estimated weights are from least squares, per series and term.
+
+    What a regression leaves is orthogonal to each of its inputs; the sum of their products is given relative to the sum of
+    its terms. Needs no other fit.
+    """
+    model, days = estimate(train, target, keys)
+    line = by_series(keys)
+    names = [f"_w{k}" for k in TERMS] + [f"_e{k}" for k in TERMS]
+    lagged = days.withColumns({f"_{c}{k}": F.lag(f"_{c}", k).over(line) for c in "we" for k in TERMS}).na.drop(subset=["_w", *names])
+    rest = F.col("_w") - linear_value(names)
+    sums = attach(lagged, model, keys).groupBy(*keys).agg(
+        *[F.sum(F.col(c) * rest).alias(f"_r_{c}") for c in names], *[F.sum(F.abs(F.col(c) * rest)).alias(f"_a_{c}") for c in names])
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c[1:]).alias("term"), (F.abs(F.col(f"_r_{c}")) / (F.col(f"_a_{c}") + 1.0)).alias("distance")) for c in names])).alias("_e")
+    return sums.select(*keys, cells).select(*keys, "_e.*")
+
+
 def forecast_days(series: DataFrame) -> DataFrame:
     """Add ``_made``, a forecast for each entry of ``_days``, to one row per series.
 

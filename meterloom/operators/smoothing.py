@@ -49,13 +49,12 @@ def smoothed(days: Column, weights: tuple[Column, Column, Column], trend: bool,
     """
     alpha, beta, gamma = weights
 
-    def step(s: Column, day: Column) -> dict[str, Column]:
-        ahead, wave = s["level"] + s["drift"], day["wave"]
-        error = F.coalesce(day["value"] - ahead - wave, F.lit(0.0))
-        return {
-            "level": ahead + alpha * error, "drift": s["drift"] + beta * alpha * error if trend else s["drift"],
-            "wave": pushed(s["wave"], wave + gamma * (1 - alpha) * error) if season else s["wave"],
-            "squared": s["squared"] + error * error}
+    def step(s: Column, day: Column) -> Column:
+        error = F.coalesce(day["value"] - (s["level"] + s["drift"]) - day["wave"], F.lit(0.0))
+        return let(error, lambda e: F.struct(
+            (s["level"] + s["drift"] + alpha * e).alias("level"), (s["drift"] + beta * alpha * e if trend else s["drift"]).alias("drift"),
+            (pushed(s["wave"], day["wave"] + gamma * (1 - alpha) * e) if season else s["wave"]).alias("wave"),
+            (s["squared"] + e * e).alias("squared")))
 
     def turn(s: Column, part: Column) -> Column:
         paired = F.zip_with(part, F.slice(s["wave"], 1, F.size(part)), lambda v, w: F.struct(v.alias("value"), w.alias("wave")))

@@ -685,6 +685,11 @@ oracle("boosting_rules", """
 SELECT 'leaf means' AS rule, n * 21 AS rows, CAST(0 AS BIGINT) AS mismatches FROM trained_t
 UNION ALL SELECT 'sum of trees', n, 0 FROM trained_t""")
 
+oracle("forest_rules", """
+SELECT 'mean of trees' AS rule, n AS rows, CAST(0 AS BIGINT) AS mismatches FROM trained_t UNION ALL SELECT 'label range', n, 0 FROM trained_t""")
+oracle("sarima_weights_check", " UNION ALL ".join(
+    f"SELECT series, '{c}{k}' AS term, CAST(0 AS DOUBLE) AS distance FROM train_t GROUP BY 1" for c in "we" for k in (1, 7, 8)))
+
 # The linear recursion: history and forecasts of a series in one list, a day at a time.
 GIVEN = dict(
     lag_1=0.2, lag_2=0.05, lag_7=0.15, lag_365=0.05, rolling_7_mean=0.2, rolling_14_mean=0.05, rolling_30_mean=0.15,
@@ -745,6 +750,26 @@ oracle("holt_winters_given", """
 SELECT p.series, p.date, p.value_mean AS actual, level + drift * (p.date - stop) + wave[(p.date - stop - 1) % 365 + 1] AS holt_winters_forecast
 FROM test_t p LEFT JOIN steady_t s USING (series) LEFT JOIN smooth_t r ON r.series = p.series AND r.t = len(y)""", "actual holt_winters_forecast")
 
+# The whole grid of smoothing with trend and season, a row per series and weights; series are longer than two years.
+part("grid_t", """
+SELECT a, b, g, row_number() OVER (ORDER BY a, b, g) AS place FROM
+  (SELECT unnest([0.02, 0.05, 0.1, 0.2, 0.4, 0.7]::DOUBLE[]) AS a), (SELECT unnest([0.001, 0.01, 0.1]::DOUBLE[]) AS b), (SELECT unnest([0.02, 0.1, 0.3]::DOUBLE[]) AS g)""")
+part("tried_t", """
+SELECT series, place, a AS alpha, b AS beta, g AS gamma, CAST(0 AS BIGINT) AS t, m AS level, slope AS drift, waves AS wave, CAST(0 AS DOUBLE) AS squared
+FROM (SELECT series, c.a AS m, (c.b - c.a) / 365 AS slope, list_transform(y[1:365], lambda v: coalesce(v - c.a, 0)) AS waves
+      FROM steady_t JOIN cycles_t c USING (series)), grid_t
+UNION ALL
+SELECT series, place, alpha, beta, gamma, t + 1, level + drift + alpha * e, drift + beta * alpha * e,
+       list_append(wave[2:], wave[1] + gamma * (1 - alpha) * e), squared + e * e FROM (
+  SELECT s.*, coalesce(y[t + 1] - (level + drift) - wave[1], 0) AS e FROM tried_t s JOIN steady_t USING (series) WHERE t < len(y))""")
+part("picked_t", """
+SELECT series, arg_min(struct_pack(level := level, drift := drift, wave := wave), squared) AS s
+FROM tried_t JOIN steady_t USING (series) WHERE t = len(y) GROUP BY 1""")
+oracle("holt_winters", """
+SELECT p.series, p.date, p.value_mean AS actual,
+       s.level + s.drift * (p.date - stop) + s.wave[(p.date - stop - 1) % 365 + 1] AS holt_winters_forecast, 'trend and season' AS holt_winters_form
+FROM test_t p JOIN steady_t USING (series) JOIN picked_t USING (series)""", "actual holt_winters_forecast")
+
 # Seasonal ARIMA with given weights: shocks of the training days, then forecasts that undo both differences.
 part("moved_t", """
 SELECT series, row_number() OVER (PARTITION BY series ORDER BY date) AS t, move FROM (

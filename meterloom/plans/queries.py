@@ -979,6 +979,14 @@ def holt_winters(spark, folder):
     return smoothing.holt_winters(train, test, TARGET, SERIES)
 
 
+@query
+def forest_rules(spark, folder):
+    """Means of trees and label ranges of a short forest over all training rows."""
+    train, _, columns = matrix(spark, folder)
+    rows = cut_lineage(learn.tree_matrix(learn.Fitted(TARGET, columns, SERIES), train))
+    return learn.forest_checks(learn.forest(rows, TARGET, numTrees=20), rows, TARGET)
+
+
 # Own choice: weights of level, trend and season for what SQL can follow day by day.
 GIVEN_SMOOTHING = (0.2, 0.01, 0.1)
 
@@ -1013,6 +1021,13 @@ def sarima_given(spark, folder):
     return sarimax_.sarima_given(train, test, TARGET, *GIVEN_ARMA, SERIES)
 
 
+@query
+def sarima_weights_check(spark, folder):
+    """Distance of every estimated weight from least squares, zero to six digits."""
+    train, _ = sides(stored_orders(spark, folder))
+    return sarimax_.weight_residuals(train, TARGET, SERIES)
+
+
 @query
 def sarimax(spark, folder):
     panel = cut_lineage(add_calendar(daily_joined(spark, folder), only=["month", "day_of_week", "is_weekend"]))

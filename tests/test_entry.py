@@ -17,7 +17,7 @@ LONG = "/root/testdata/sf0.01"
 ENSEMBLES = {"forest_forecast", "gbt_forecast", "importance_top", "operational_metrics", "recursive_forecast", "recursive_metrics"}
 MODELS = {"ridge_forecast", "ridge_coefficients", "ridge_residual_check"}
 # With SQL, but without rows on the smallest tables.
-LONG_ORACLE = {"boosting_rules", "recursive_ridge_given", "holt_winters_given", "sarima_given"}
+LONG_ORACLE = {"boosting_rules", "forest_rules", "holt_winters", "sarima_weights_check", "recursive_ridge_given", "holt_winters_given", "sarima_given"}
 
 
 @pytest.fixture(scope="module")
