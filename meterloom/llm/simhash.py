@@ -3,9 +3,9 @@
 A fingerprint has a bit set if more than half of the hashes of a text's word shingles have it set. Two documents
 are linked if their fingerprints differ in at most ``radius`` bits; linked documents form a component.
 
-Search: equal fingerprints are one node, so copies cost nothing. Two fingerprints within the radius agree on at
-least one of ``radius + 1`` equal slices of their bits, so each fingerprint goes to one shard per slice, named by
-the slice's value. A shard is indexed by a BK-tree (children keyed by their Hamming distance to the parent) and its
+Search: equal fingerprints are one node, so copies cost nothing. Two fingerprints within the radius of three agree on at
+least three of six slices of their bits, so each fingerprint goes to one shard per choice of three slices, named by
+their 32 bits; with a billion fingerprints a shard still holds one by chance. A shard is indexed by a BK-tree (children keyed by their Hamming distance to the parent) and its
 members follow only edges whose key is within the radius of their own distance. A shard larger than
 ``shard_rows`` is cut into several trees; each tree is sent, by the shuffle and not through the driver, to the
 tasks that hold the other parts' members, so a task holds two parts at most and no link is lost. All trees of a
@@ -22,13 +22,14 @@ the texts of linked fingerprints are then compared by their exact shingles.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,20 +239,35 @@ def _search(radius: int, most: int = 1 << 15):
     return run
 
 
+def shard_keys(simhash: Column, radius: int = RADIUS) -> list[Column]:
+    """Names of the shards of a fingerprint: two within the radius share at least one.
+
+    Of ``2 * radius`` slices such fingerprints agree on ``radius`` at least, so there is a shard for each choice of so
+    many slices, named by about half of all bits: 20 shards of 32 bits at a radius of three. Beyond a radius of three the
+    choices are too many; one of ``radius + 1`` slices names a shard there.
+    """
+    if radius == 0:
+        return [simhash]
+    slices, chosen = (2 * radius, radius) if radius <= 3 else (radius + 1, 1)
+    bits = [64 // slices + (i < 64 % slices) for i in range(slices)]
+    low = [sum(bits[:i]) for i in range(slices)]
+    value = [F.shiftrightunsigned(simhash, low[i]).bitwiseAND(F.lit((1 << bits[i]) - 1)) for i in range(slices)]
+    keys = []
+    for number, places in enumerate(itertools.combinations(range(slices), chosen)):
+        key = F.lit(number).cast("long")
+        for i in places:  # 32 to 40 bits of slices below the number of the choice
+            key = F.shiftleft(key, bits[i]).bitwiseOR(value[i])
+        keys.append(key)
+    return keys
+
+
 def links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links ``(a, b)`` that join all of the different fingerprints ``simhash`` within the radius into components.
 
     ``prints`` holds each fingerprint once, without nulls, as a stored table.
     """
-    slices = radius + 1
-    bits = [64 // slices + (i < 64 % slices) for i in range(slices)]
-    keys, low = [], 0
-    for i, n in enumerate(bits):
-        value = F.shiftrightunsigned("simhash", low).bitwiseAND(F.lit((1 << n) - 1))
-        # The slice's number above its value; a single slice (radius zero) is the whole print.
-        keys.append(value if slices == 1 else value.bitwiseOR(F.lit(i << 58).cast("long")) if n <= 58 else value)
-        low += n
-    return _linked(prints.select(F.explode(F.array(*keys)).alias("key"), "simhash"), radius, shard_rows)
+    keys = F.array(*shard_keys(F.col("simhash"), radius))
+    return _linked(prints.select(F.explode(keys).alias("key"), "simhash"), radius, shard_rows)
 
 
 def _linked(keyed: DataFrame, radius: int, shard_rows: int) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from meterloom.llm import simhash
 from meterloom.llm.components import components
+from pyspark.sql import functions as F
 
 
 def brute_print(text):
@@ -165,3 +166,20 @@ def test_equal_prints_of_different_texts_are_not_similar():
     sets = [np.arange(s, s + 20, dtype=np.uint64) for s in (0, 100, 1, 100)]
     label = simhash.similar(sets, np.ones(4, np.uint64), np.zeros(4, int), 0, 0, 0.8, 24)
     assert label.tolist() == [0, 1, 0, 1]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 7])
+def test_near_fingerprints_share_a_shard(spark, radius):
+    rng = random.Random(radius)
+    pairs = []
+    for _ in range(300):
+        a, b = rng.getrandbits(64), 0
+        for bit in rng.sample(range(64), radius):
+            b |= 1 << bit
+        pairs.append(tuple(v - (1 << 64) if v >> 63 else v for v in (a, a ^ b)))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    keys = lambda c: F.array(*simhash.shard_keys(F.col(c), radius))
+    assert df.where(~F.arrays_overlap(keys("a"), keys("b"))).count() == 0
+    far = df.select(keys("a").alias("k")).select(F.explode("k").alias("k"))
+    if radius <= 3:
+        assert far.distinct().count() > 0.9 * far.count()
