@@ -14,10 +14,7 @@ task are built and walked together, level by level, with NumPy.
 A task reports its links as stars (each fingerprint with one member of its local component), so n members give
 fewer than n rows even where all of them are near each other.
 
-:func:`keep_first` removes texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more to another,
-directly or over a chain. Their fingerprints differ by about 10 bits, where equal slices would be too short to part
-anything, so its shards are named by bands of smallest shingle hashes; BK-trees with a wide radius search them, and
-the texts of linked fingerprints are then compared by their exact shingles.
+:func:`keep_first` keeps one document of each component, with the same shingles and radius.
 """
 
 from __future__ import annotations
@@ -35,7 +32,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .components import components
-from .text import mixed, pieces, row_sums, words
+from .text import pieces, words
 
 SEED = 42
 WIDTH = 3
@@ -44,15 +41,6 @@ SHARD_ROWS = 2048
 #: Pairs of a member and a tree node that are held at once.
 FRONTIER = 1 << 20
 
-#: Of the near-dedup stage: words of a shingle, least Jaccard similarity, and bits that fingerprints may differ in.
-STAGE_WIDTH = 5
-SIMILARITY = 0.8
-STAGE_RADIUS = 24
-#: Shards per document, and smallest hashes that name a shard: at 0.8 a pair shares one with 1 - (1 - 0.8**4)**24 > 0.99999.
-BANDS, BAND = 24, 4
-#: Rows and bytes of text of a part whose texts are compared in one task.
-TEXT_ROWS, TEXT_BYTES = 1024, 16 << 20
-
 
 def _votes(digests: np.ndarray, counts: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
     """Fingerprint of each run of digests: the bits set in more than half of them."""
@@ -94,16 +82,6 @@ def fingerprint_array(texts: pa.Array, width: int = WIDTH) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(_votes(digests, counts) for digests, counts in _shingles(texts, width))])
 
 
-def shingle_sets(texts: pa.Array, width: int = STAGE_WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """As :func:`_shingles`, with each row's different hashes in ascending order."""
-    for digests, counts in _shingles(texts, width):
-        row = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((digests, row))
-        digests, row = digests[order], row[order]
-        new = np.r_[True, (digests[1:] != digests[:-1]) | (row[1:] != row[:-1])][: len(digests)]
-        yield digests[new], np.bincount(row[new], minlength=len(counts))
-
-
 def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH, name: str = "simhash") -> DataFrame:
     """``docs`` with a signed 64-bit fingerprint of the whole text in column ``name`` (which replaces one of that
     name). A text of fewer than ``width`` words is one shingle; null, empty and blank texts have fingerprint zero."""
@@ -266,12 +244,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
 
     ``prints`` holds each fingerprint once, without nulls, as a stored table.
     """
-    keys = F.array(*shard_keys(F.col("simhash"), radius))
-    return _linked(prints.select(F.explode(keys).alias("key"), "simhash"), radius, shard_rows)
-
-
-def _linked(keyed: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """Links of the shards ``(key, simhash)``, whose rows are all different."""
+    keyed = prints.select(F.explode(F.array(*shard_keys(F.col("simhash"), radius))).alias("key"), "simhash")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / shard_rows).alias("parts"))
     part = F.pmod(F.xxhash64("simhash"), F.col("parts"))
     dealt = keyed.join(sizes, "key").withColumn("part", part)
@@ -284,6 +257,13 @@ def _linked(keyed: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     )
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints``, a stored table with each fingerprint once, with ``root``, one fingerprint of its component."""
+    roots = components(links(prints.select("simhash"), radius))
+    return prints.join(roots, prints["simhash"] == roots["node"], "left").select(
+        *(prints[c] for c in prints.columns), F.coalesce("root", "simhash").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """One row per document: id, ``simhash`` (signed) and ``component_id``, the smallest id reachable over links.
 
@@ -293,121 +273,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = cut_lineage(fingerprints(source, "text", width).select("doc_id", "simhash"))
-    prints = cut_lineage(marked.groupBy("simhash").agg(F.min("doc_id").alias("first")))
-    roots = components(links(prints.select("simhash"), radius))
-    rooted = prints.join(roots, prints["simhash"] == roots["node"], "left").select(
-        "simhash", "first", F.coalesce("root", "simhash").alias("root"))
+    rooted = _rooted(cut_lineage(marked.groupBy("simhash").agg(F.min("doc_id").alias("first"))), radius)
     heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = cut_lineage(rooted.select("simhash", "root").join(heads, "root").select("simhash", "component_id"))
     return marked.join(known, "simhash").select(F.col("doc_id").alias(doc_id), "simhash", "component_id")
 
 
-def _shards(texts: DataFrame) -> DataFrame:
-    """``texts`` (id, mark, text) without the text, with ``node``, a hash of the set of shingles, its fingerprint
-    ``simhash`` and ``keys``, the names of its shards. Wordless texts are node zero, without a shard."""
-    names = ["id", "mark", "node", "simhash", "keys"]
-    schema = T.StructType([*texts.select("id", "mark").schema.fields, T.StructField("node", T.LongType()),
-                           T.StructField("simhash", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    numbers = mixed(np.arange(1, 2 * BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, BANDS, BAND)
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each component of :func:`near_duplicates`, that of the smallest id (a null id
+    counts as largest).
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, prints, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, BANDS), np.uint64)]
-            for digests, counts in shingle_sets(batch.column("text")):
-                some = np.flatnonzero(counts)
-                first = (np.cumsum(counts) - counts)[some]
-                node, key = np.zeros(len(counts), np.uint64), np.zeros((len(counts), BANDS), np.uint64)
-                if len(some):
-                    total = np.add.reduceat(mixed(digests), first)
-                    node[some] = mixed(total ^ mixed(np.bitwise_xor.reduceat(digests, first) + counts[some].astype(np.uint64)))
-                    for band in range(BANDS):
-                        name = np.full(len(some), band + 1, np.uint64)
-                        for shift, factor in zip(numbers[0, band], numbers[1, band] | np.uint64(1), strict=True):
-                            name = mixed(name * np.uint64(0xC2B2AE3D27D4EB4F) + np.minimum.reduceat((digests ^ shift) * factor, first))
-                        key[some, band] = name
-                nodes.append(node)
-                prints.append(_votes(digests, counts) if len(some) == len(counts) else _scattered(digests, counts, some))
-                keys.append(key)
-            node, key = np.concatenate(nodes), np.concatenate(keys).view(np.int64)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.r_[0, np.cumsum(np.where(node != 0, BANDS, 0))].astype(np.int32)), pa.array(key[node != 0].ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("mark"), pa.array(node.view(np.int64)), pa.array(np.concatenate(prints).view(np.int64)), lists], names)
-
-    return texts.select("id", "mark", "text").mapInArrow(add, schema)
-
-
-def _scattered(digests: np.ndarray, counts: np.ndarray, some: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(counts), np.uint64)
-    out[some] = _votes(digests, counts[some])
-    return out
-
-
-def similar(sets: list[np.ndarray], prints: np.ndarray, part: np.ndarray, low: int, high: int, similarity: float, radius: int) -> np.ndarray:
-    """Labels that unite sets of the parts ``low`` and ``high`` over pairs with at least the Jaccard similarity."""
-    label = np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets])
-    # Equal prints of different texts are nodes of their own, so the tree holds each print once and stands for all.
-    prints, which = np.unique(prints, return_inverse=True)
-    holders = np.argsort(which, kind="stable")
-    starts = np.searchsorted(which[holders], np.arange(len(prints) + 1))
-    zero = np.zeros(len(prints), np.int64)
-    for a, b in Forest(prints, zero, zero == 0).near(np.arange(len(prints)), zero, radius):
-        for x, y in zip(a[a <= b].tolist(), b[a <= b].tolist(), strict=True):
-            for i in holders[starts[x] : starts[x + 1]].tolist():
-                for j in holders[starts[y] : starts[y + 1]].tolist():
-                    if (x == y and i >= j) or (low != high and part[i] == part[j]) or label[i] == label[j]:
-                        continue
-                    if min(sizes[i], sizes[j]) < similarity * max(sizes[i], sizes[j]):
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
-                        label[label == max(label[i], label[j])] = min(label[i], label[j])
-    return label
-
-
-def _verified(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Links ``(a, b)`` between nodes whose texts are similar, as stars; ``nodes`` has (root, node, simhash, text)."""
-    sizes = nodes.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).where("n > 1").select(
-        "root", F.greatest(F.ceil(F.col("n") / TEXT_ROWS), F.ceil(F.col("bytes") / TEXT_BYTES)).alias("parts"))
-    dealt = nodes.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    other = dealt.select("root", "node", "simhash", "text", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    units = other.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "simhash", "text")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [s for digests, counts in shingle_sets(pa.array(rows["text"], pa.large_string())) for s in np.split(digests, np.cumsum(counts)[:-1])]
-        node = rows["node"].to_numpy()
-        label = similar(sets, rows["simhash"].to_numpy().view(np.uint64), rows["part"].to_numpy(), int(rows["low"].iloc[0]), int(rows["high"].iloc[0]), similarity, radius)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
-
-    return units.groupBy("root", "low", "high").applyInPandas(compare, "a long, b long").distinct()
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
-    """``docs`` with one document of each group of near copies, that of the smallest id (a null id counts as largest).
-
-    Documents are near copies if the Jaccard similarity of their sets of five-word shingles is at least ``similarity``;
-    chains of near copies are one group. Null and wordless texts are one group too. Of several rows with the smallest
-    id the one with the smallest hash of all its columns stays, once.
+    Null and wordless texts have fingerprint zero and are linked like any other. Of several rows with the smallest id
+    the one with the smallest hash of all its columns stays, once. An empty table stays empty.
     """
     packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     packed = packed.withColumn("mark", F.xxhash64("row"))
-    marked = cut_lineage(_shards(packed.select("id", "mark", "text")))
     order = F.struct(F.col("id").isNull().alias("absent"), "id", "mark")
-    nodes = cut_lineage(marked.groupBy("node").agg(F.min("simhash").alias("simhash"), F.min(order).alias("best")))
-    found = components(_linked(cut_lineage(marked.select(F.explode("keys").alias("key"), "simhash").distinct()), radius, SHARD_ROWS))
-    # Prints that nothing links and that a single set has need no comparison.
-    rooted = cut_lineage(nodes.where("node <> 0").join(found, nodes["simhash"] == found["node"], "left").select(
-        nodes["node"], "simhash", "best", F.coalesce("root", "simhash").alias("root")))
-    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    asked = rooted.join(several, "root").select("root", "node", "simhash", "best.id", "best.mark")
-    texts = packed.select("id", "mark", "text")
-    with_text = asked.join(texts, asked["id"].eqNullSafe(texts["id"]) & (asked["mark"] == texts["mark"])).select(
-        "root", "node", "simhash", "text").dropDuplicates(["node"])
-    roots = components(_verified(cut_lineage(with_text), similarity, radius))
-    united = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
-        F.coalesce("root", "node").alias("root"), "best")
-    best = cut_lineage(united.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.mark"))
-    chosen = packed.join(best, packed["id"].eqNullSafe(best["id"]) & (packed["mark"] == best["mark"]), "left_semi")
+    marked = fingerprints(packed.select("id", "mark", "text"), "text", width)
+    # Copies are reduced to one row before the shuffle; only the winners' ids meet the texts again.
+    rooted = _rooted(cut_lineage(marked.groupBy("simhash").agg(F.min(order).alias("best"))), radius)
+    best = cut_lineage(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.mark"))
+    chosen = packed.drop("text").join(best, packed["id"].eqNullSafe(best["id"]) & (packed["mark"] == best["mark"]), "left_semi")
     return chosen.dropDuplicates(["id", "mark"]).select("row.*")

@@ -110,64 +110,32 @@ def test_components(spark, edges):
 
 def test_keep_first(spark):
     rows = [(3, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (None, "A B C D E"), (7, "other words stand here"), (None, "alone"), (8, None), (9, "")]
-    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, mark string, id long")
+    df = spark.createDataFrame([(*r, "x", 5, 6) for r in rows], "doc_id long, text string, mark string, id long, simhash long")
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
         [(1, "a b c d e"), (7, "other words stand here"), (None, "alone"), (8, None)], key=str)
 
 
+def test_keep_first_equals_brute_force(spark):
+    rows = documents()
+    prints = {t: brute_print(t) for _, t in rows}
+    roots = brute_components(set(prints.values()))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(roots[prints[t]], []).append((i is None, i or 0, i, t))
+    want = [min(g, key=lambda r: r[:2]) for g in groups.values()]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r[2]) for r in want)
+    assert len({r.text for r in kept}) == len(kept) < len(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, simhash string, a long")
     assert simhash.near_duplicates(df).collect() == []
     assert simhash.keep_first(df).collect() == []
 
 
-def brute_similar(rows, similarity=0.8):
-    """Ids that stay: the smallest of each group over pairs whose five-word shingles are similar."""
-    sets = []
-    for _, text in rows:
-        w = text.split()
-        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    label = list(range(len(rows)))
-    pairs = 0
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
-                pairs += 1
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
-    return sorted({min(r[0] for r, x in zip(rows, label) if x == y) for y in label}), pairs
-
-
-def test_keep_first_reaches_similar_texts(spark, monkeypatch):
-    rng = random.Random(5)
-    word = lambda: f"w{rng.randrange(400)}"
-    rows = []
-    for _ in range(30):
-        base = [word() for _ in range(rng.choice([12, 40, 90, 250]))]
-        for _ in range(6):
-            copy = list(base)
-            for _ in range(rng.randrange(len(base) // 35 + 2)):
-                copy[rng.randrange(len(copy))] = word()
-            rows.append((len(rows), " ".join(copy + [word() for _ in range(rng.randrange(2))])))
-    # The same opening words, but not similar as a whole.
-    rows += [(1000 + k, rows[9][1] + " " + " ".join(word() for _ in range(len(rows[9][1].split())))) for k in range(3)]
-    want, pairs = brute_similar(rows)
-    far = sum(int(brute_print(a[1]) ^ brute_print(b[1])).bit_count() > 3 for k, a in enumerate(rows) for b in rows[:k] if a[1] != b[1])
-    assert pairs > 50 and far > 50 and len(want) < len(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == want
-    monkeypatch.setattr(simhash, "TEXT_ROWS", 2)
-    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == want
-
-
-def test_equal_prints_of_different_texts_are_not_similar():
-    sets = [np.arange(s, s + 20, dtype=np.uint64) for s in (0, 100, 1, 100)]
-    label = simhash.similar(sets, np.ones(4, np.uint64), np.zeros(4, int), 0, 0, 0.8, 24)
-    assert label.tolist() == [0, 1, 0, 1]
-
-
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 7])
 def test_near_fingerprints_share_a_shard(spark, radius):
     rng = random.Random(radius)
