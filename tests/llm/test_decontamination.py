@@ -1,11 +1,14 @@
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from meterloom.llm import decontamination as dc
+from meterloom.llm.text import pieces
 
 
 def tokens(text):
@@ -28,13 +31,14 @@ def brute(doc, item, masks=dc.MASKS):
         return 0
     span = len(masks[0])
     shapes = [[i for i, c in enumerate(m) if c == "1"] for m in masks] if len(b) >= span else [list(range(len(b)))]
-    best = 0
+    best = whole = 0
     for shift in range(-len(b) + 1, len(d)):
         low, high = max(0, shift), min(len(d), shift + len(b))
         equal = [d[k] == b[k - shift] for k in range(low, high)]
         if any(all(equal[s + p] for p in shape) for shape in shapes for s in range(len(equal) - max(shape))):
             best = max(best, brute_run(equal, 0.8))
-    return best if best >= min(12, len(b)) else 0
+            whole = max(whole, len(b) if len(equal) == len(b) and sum(equal) >= 0.8 * len(b) - 1e-9 else 0)
+    return best if best >= min(12, len(b)) else whole
 
 
 @settings(max_examples=200, deadline=None)
@@ -114,8 +118,38 @@ def test_masks_lose_no_run():
 def verified(doc, item):
     """Longest run over all diagonals, whatever the masks."""
     d, b = tokens(doc), tokens(item)
-    runs = [brute_run([d[k] == b[k - s] for k in range(max(0, s), min(len(d), s + len(b)))], 0.8) for s in range(-len(b) + 1, len(d))]
-    return best if (best := max(runs, default=0)) >= min(12, len(b)) else 0
+    faced = [[d[k] == b[k - s] for k in range(max(0, s), min(len(d), s + len(b)))] for s in range(-len(b) + 1, len(d))]
+    whole = any(len(e) == len(b) and sum(e) >= 0.8 * len(b) - 1e-9 for e in faced)
+    return best if (best := max((brute_run(e, 0.8) for e in faced), default=0)) >= min(12, len(b)) else len(b) * whole
+
+
+@pytest.mark.parametrize("length", range(5, 16))
+def test_every_place_may_be_substituted(length):
+    """Recall by length and place: all, with any choice of as many substituted words as 80 % allows."""
+    item = [f"v{i}" for i in range(length)]
+    block = dc.Block([0], [" ".join(item)])
+    docs = [" ".join(["x", "y", *("s" if i in places else w for i, w in enumerate(item)), "z"])
+            for n in range(length // 5 + 1) for places in itertools.combinations(range(length), n)]
+    piece = next(pieces(pa.array(docs)))
+    found = {row: n for row, _, _, n, _ in block.overlaps(*dc.normal_words(piece.data, piece.offsets), 12, 0.8)}
+    assert len(found) == len(docs) and min(found.values()) >= min(12, length)
+    piece = next(pieces(pa.array([" ".join(["s"] * (length // 5 + 1) + item[length // 5 + 1 :])])))
+    rest = length - length // 5 - 1
+    assert bool(list(block.overlaps(*dc.normal_words(piece.data, piece.offsets), 12, 0.8))) == (rest >= 12)
+
+
+def test_template_windows_are_compared_in_blocks(monkeypatch):
+    """Many items with the same opening, asked by many rows: the same result however few hits are held."""
+    opening = "choose the best answer to the question below"
+    items = [f"{opening} {' '.join(f'i{i}w{k}' for k in range(8))}" for i in range(60)]
+    docs = [f"{opening} {' '.join(f'd{i}w{k}' for k in range(9))}" for i in range(40)] + items[:7]
+    piece = next(pieces(pa.array(docs)))
+    block = dc.Block(range(60), items)
+    asked = (*dc.normal_words(piece.data, piece.offsets), 12, 0.8)
+    whole = sorted(block.overlaps(*asked))
+    assert [w[:2] for w in whole] == [(40 + i, i) for i in range(7)]
+    monkeypatch.setattr(dc, "HITS", 13)
+    assert sorted(block.overlaps(*asked)) == whole and len(block.likely(*asked)) == 7
 
 
 def test_no_accepted_pattern_is_lost(spark):
@@ -129,9 +163,9 @@ def test_no_accepted_pattern_is_lost(spark):
             n = len(words) - at if k % 4 != 1 else min(12 + k // 8, len(words) - at)
             cut = words[at : at + n]
             if k < 3:  # every fifth word
-                cut = ["x" if j % 5 == k + 1 and j < n - 1 else w for j, w in enumerate(cut)]
+                cut = ["x" if j % 5 == k + 1 else w for j, w in enumerate(cut)]
             else:
-                for j in rng.sample(range(1, max(1, n - 1)), min(max(0, n - 2), n // 5)):
+                for j in rng.sample(range(n), n // 5):
                     cut[j] = "x"
             docs.append((len(docs), " ".join(prose(15) + cut + prose(15))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
