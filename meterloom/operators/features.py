@@ -198,37 +198,39 @@ def audit_counts(audit: DataFrame) -> DataFrame:
 def leakage_check(featured: DataFrame, target: str, keys: Keys = (), tolerance: float = 1e-6) -> DataFrame:
     """Recompute history features from earlier rows only and count rows that disagree.
 
-    Rows are numbered and each value is sent ahead to the rows whose lags and windows it belongs to; every feature
-    is an aggregate of what arrived, so one that has seen its own day cannot match. No window function and
-    no array takes part.
+    Rows are numbered and packed into arrays of as many rows as the longest lag; an array and the one before hold all
+    that a row's features may come from, found by place and strictly before the row, so a feature that has seen its own
+    day cannot match. A row is shuffled once with its features and its target once more. No window function of
+    the target takes part.
     """
-    place = F.row_number().over(by_series(keys))
-    seen = cut_lineage(featured.select(*keys, place.alias("_n"), F.col(target).alias("_y"), *[f"lag_{k}" for k in LAGS], *ROLLING))
-    reach = max(length for _, length, _ in ROLLING.values())
-    distances = sorted({*LAGS, *range(1, reach + 1)})
-    sent = seen.where("_y is not null").select(
-        *keys, "_n", "_y", F.explode(F.array(*map(F.lit, distances))).alias("_ahead")
-    ).select(*keys, (F.col("_n") + F.col("_ahead")).alias("_n"), "_ahead", "_y")
-
-    def rolled(statistic: str, length: int, fewest: int) -> Column:
-        recent = F.when(F.col("_ahead") <= length, F.col("_y"))
-        value = F.max(recent) if statistic == "max" else F.avg(recent)
-        return F.when(F.count(recent) >= fewest, value)
-
-    arrived = sent.groupBy(*keys, "_n").agg(
-        *[F.max(F.when(F.col("_ahead") == k, F.col("_y"))).alias(f"_e_lag_{k}") for k in LAGS],
-        *[rolled(*rule).alias(f"_e_{name}") for name, rule in ROLLING.items()],
-    )
     expected = [*[f"lag_{k}" for k in LAGS], *ROLLING]
-
-    def differs(name: str) -> Column:
-        a, b = F.col(name), F.col(f"_e_{name}")
-        return a.isNull() != b.isNull(), F.abs(a - b) > tolerance
-
-    wide = join_series(seen, arrived, keys, ["_n"]).groupBy().agg(
-        *[F.count(F.col(name)).alias(f"n_{name}") for name in expected],
-        *[F.count_if(F.coalesce(differs(name)[0] | differs(name)[1], differs(name)[0])).alias(f"m_{name}") for name in expected],
-    )
+    size = max(*LAGS, *[length for _, length, _ in ROLLING.values()])
+    placed = featured.withColumn("_n", F.row_number().over(by_series(keys)) - 1).select(
+        *keys, F.floor(F.col("_n") / size).alias("_part"), "_n", F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double") for c in expected])
+    parts = cut_lineage(placed.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(F.struct("_n", "_y", *expected))).alias("_rows")))
+    values = F.transform("_rows", lambda row: row["_y"])
+    before = parts.select(*keys, (F.col("_part") + 1).alias("_part"), values.alias("_before"))
+    joined = join_series(parts, before, keys, ["_part"])
+    earlier = F.coalesce("_before", F.array().cast("array<double>"))
+    joined = joined.select("_rows", F.size(earlier).alias("_lent"), F.concat(earlier, values).alias("_past"))
+
+    def rolled(place: Column, statistic: str, length: int, fewest: int) -> Column:
+        start = F.greatest(place - length, F.lit(0))
+        recent = F.filter(F.slice("_past", start + 1, place - start), lambda v: v.isNotNull())
+        value = F.array_max(recent) if statistic == "max" else F.aggregate(recent, F.lit(0.0), lambda a, v: a + v) / F.size(recent)
+        return F.when(F.size(recent) >= fewest, value)
+
+    def differs(row: Column, name: str, again: Column) -> Column:
+        far = F.coalesce(F.abs(row[name] - again) > tolerance, F.lit(False))
+        return (row[name].isNull() != again.isNull()) | far
+
+    def judged(row: Column, i: Column) -> Column:
+        place = F.col("_lent") + i
+        again = {f"lag_{k}": F.get("_past", place - k) for k in LAGS} | {name: rolled(place, *rule) for name, rule in ROLLING.items()}
+        return F.struct(*[row[name].isNotNull().alias(f"n_{name}") for name in expected], *[differs(row, name, again[name]).alias(f"m_{name}") for name in expected])
+
+    wide = joined.select(F.inline(F.transform("_rows", judged))).groupBy().agg(
+        *[F.count_if(F.col(f"{c}_{name}")).alias(f"{c}_{name}") for c in "nm" for name in expected])
     return wide.select(F.explode(F.array(*[
         F.struct(
             F.lit(name).alias("feature"), F.col(f"n_{name}").alias("rows_checked"),

@@ -55,6 +55,23 @@ def test_leakage_check_notices_a_peeking_feature(spark):
     assert found.pop("rolling_7_max") > 0 and set(found.values()) == {0}
 
 
+def test_leakage_check_beyond_one_part(spark):
+    values = [None if i % 11 == 3 else float(i * i % 97) for i in range(900)]
+    rows = series(spark, values).unionByName(series(spark, values[:366]).withColumn("k", F.lit(None).cast("string")))
+    good = features.history_features(rows, "y", ["k"])
+    found = features.leakage_check(good, "y", ["k"]).collect()
+    assert {r.mismatches for r in found} == {0}
+    assert {r.feature: r.rows_checked for r in found} == {c: good.where(F.col(c).isNotNull()).count() for c in [*[f"lag_{k}" for k in features.LAGS], *features.ROLLING]}
+    # One wrong value on each side of a part's border, a null where a value belongs, and a value where none does.
+    day = F.col("date")
+    dates = [r.date for r in good.where("k is not null").orderBy("date").select("date").collect()]
+    at = lambda i: day.eqNullSafe(F.lit(dates[i])) & F.col("k").isNotNull()
+    bad = good.withColumn("lag_365", F.when(at(730) | at(729), -1.0).otherwise(F.col("lag_365"))).withColumn(
+        "rolling_30_mean", F.when(at(400), None).when(at(2), 5.0).otherwise(F.col("rolling_30_mean")))
+    found = {r.feature: r.mismatches for r in features.leakage_check(bad, "y", ["k"]).collect() if r.mismatches}
+    assert found == {"lag_365": 2, "rolling_30_mean": 2}
+
+
 def test_regimes_differ_at_their_boundaries(spark):
     train = series(spark, [1, 2, 3, 4], "2019-01-01")
     probe = series(spark, [1.75, 3.25, 1, 4, None], "2020-01-01")
