@@ -26,6 +26,8 @@ SPELLINGS = {
     "labour": "labor", "licence": "license", "licences": "licenses", "licenced": "licensed",
     "organisation": "organization", "organisations": "organizations", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize",
     "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+    "https": "http", "noncommercial": "non commercial", "noninfringement": "non infringement", "owner": "holder", "owners": "holders",
+    "sublicence": "sub license", "sublicense": "sub license",
 }
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
@@ -124,12 +126,12 @@ You should have received a copy of the GNU{0} General Public License along with
 
 #: Known texts by licence. Copyright lines play no part; titles do, so texts stand with and without theirs.
 KNOWN: dict[str, tuple[str, ...]] = {
-    "MIT": (_MIT, f"MIT License\n{_MIT}", f"The MIT License (MIT)\n{_MIT}", "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"),
+    "MIT": (_MIT, f"MIT License\n{_MIT}", f"The MIT License (MIT)\n{_MIT}", f"The MIT License\n{_MIT}", f"License\n{_MIT}", "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"),
     "ISC": (f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}",
             f"ISC License\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}", "SPDX-License-Identifier: ISC"),
     "0BSD": (f"{_ISC_GRANT}.\n{_ISC_END}", f"BSD Zero Clause License\n{_ISC_GRANT}.\n{_ISC_END}", "SPDX-License-Identifier: 0BSD"),
     "BSD-2-Clause": (f"{_BSD_START}\n{_BSD_END}", f"BSD 2-Clause License\n{_BSD_START}\n{_BSD_END}", "SPDX-License-Identifier: BSD-2-Clause"),
-    "BSD-3-Clause": (f"{_BSD_START}\n{_BSD_THIRD}\n{_BSD_END}", f"BSD 3-Clause License\n{_BSD_START}\n{_BSD_THIRD}\n{_BSD_END}", "SPDX-License-Identifier: BSD-3-Clause"),
+    "BSD-3-Clause": (f"{_BSD_START}\n{_BSD_THIRD}\n{_BSD_END}", *(f"{t}\n{_BSD_START}\n{_BSD_THIRD}\n{_BSD_END}" for t in ("BSD License", "New BSD License", "The BSD 3-Clause License")), f"BSD 3-Clause License\n{_BSD_START}\n{_BSD_THIRD}\n{_BSD_END}", "SPDX-License-Identifier: BSD-3-Clause"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", _APACHE_NOTICE.format("http"), _APACHE_NOTICE.format("https"), "SPDX-License-Identifier: Apache-2.0"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
     "GPL-3.0-or-later": (_GPL_NOTICE.format("", "http"), _GPL_NOTICE.format("", "https"), "SPDX-License-Identifier: GPL-3.0-or-later"),
@@ -142,9 +144,34 @@ KNOWN: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 }
 
+#: Canonical digests of entire texts that are too long to stand here, with their titles; the second of a licence is the text
+#: up to "end of terms and conditions".
+LONG_DIGESTS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("b48f7d0924339f16fabf50e39ee91a358c55e641b2736af871e7b2f94c399f87", "fbd703b5d5a1d4f583abfb290515afb9ddd801c6861302196c26a53d2922bcf7",),
+    "Artistic-1.0": ("b06eda62b7e0c69e6f8a5960610095b69349654af941a79eca834edcd5e64e49",),
+    "CC0-1.0": ("f3cde3e32dc7fe4173bcc75ba6b6192de0de3ab30f40209aadda37dc268c0076",),
+    "GFDL-1.3": ("0070809ddb5f6716c91f6e6ec90b037f758049348a024dfeee61294c5deab56b",),
+    "GPL-2.0": ("189aa3326bb1b845d7572ed61bf7ce662343a3686239b63356196a994184b25b", "b7cfa8113d3347077a003344c00a186d9bdf639d727ef0cc82502613a7e77034",),
+    "GPL-3.0": ("3695e90f7fe4b461853cec533de5675ab2b6b1fcafcb504d6c64ded76f675d64", "8c24ccf35998bd73317aa0801f6e6cbd865514baf55f246a48a8e890d1abc3d1",),
+    "LGPL-2.1": ("408a350cee100cd0e7c5c8bee91d17964ce206f818a4402c114ac7b35dc99413", "01b7561b9cd58ef186118e6b83d6a71a6a6803380573ff8513e4431a887e1bf9",),
+    "LGPL-3.0": ("cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45",),
+    "MPL-1.1": ("c95b1aa6e598a85fb1deb9f55cc2b2e83c30ba8b696e507ab70b8dee64ceca4b",),
+    "MPL-2.0": ("4074582e336aeac91d2b04e03a142feabd6443bbdcea95252932ec1a657ebc4e",),
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that state a copyright, in lower case.
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n©]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9<\[{])|©|\(c\)[ \t]*[0-9]|all rights reserved\.?[ \t]*$)[^\n]*"
+#: Words after which a line that begins with "copyright" goes on with a licence's own text, as wrapped lines may. Other lines
+#: that begin so name someone.
+GOES_ON = "and|as|disclaimers?|holders?|in|infringement|interests?|is|laws?|licen[cs]es?|notices?|of|on|or|owners?|permission|protection|" \
+    "rights?|statements?|status|that|to|treat(?:y|ies)|under|works?"
+#: A sign that is a letter but in no word of these texts; it keeps such lines from the next pattern, which has no look-ahead so
+#: that other engines know it too.
+_HELD = "\ua66e"
+HELD_LINE = rf"^([^\p{{L}}\p{{N}}\n©]*)(copyright[ \t]+(?:{GOES_ON})(?:[^\p{{L}}\p{{N}}]|$))"
+#: Lines that state a copyright, in lower case: with a year or sign, a colon, or a name.
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n©]*(?:copyright(?:[ \t]*:|[ \t:]*(?:\(c\)|©|[0-9<\[{])|[ \t]+\p{L})|©|\(c\)[ \t]*[0-9]|all rights reserved\.?[ \t\r]*$)[^\n]*"
+#: Numbers and letters of list items: at the start of a line, numbers also after a mark. Bullets are punctuation anyway.
+LIST_MARK = r"(?:(^[^\p{L}\p{N}\n]*)(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})|([.:;,]['\"”’)]*[ \t]+\(?)[0-9]{1,2})[.)]([ \t\r\n])"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -152,8 +179,10 @@ def canonical_lines(text: Column) -> Column:
     be replaced by itself."""
     out = F.translate(text, _UPPER, _LOWER)
     # Only \n ends a line in these patterns, as in other engines.
+    held = F.regexp_replace(out, "(?dm)" + HELD_LINE, f"$1{_HELD}$2")
     out = F.when(F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("all rights reserved")),
-                 F.regexp_replace(out, "(?dm)" + COPYRIGHT_LINE, "")).otherwise(out)
+                 F.replace(F.regexp_replace(held, "(?dm)" + COPYRIGHT_LINE, ""), F.lit(_HELD), F.lit(""))).otherwise(out)
+    out = F.regexp_replace(out, "(?dm)" + LIST_MARK, "$1$2 $3")
     out = F.concat(F.lit("  "), F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), F.lit("  "))
     out = F.replace(out, F.lit("\n"), F.lit("  \n  "))
     for old, new in SPELLINGS.items():
@@ -161,8 +190,12 @@ def canonical_lines(text: Column) -> Column:
     return out
 
 
+#: Whose name must not be used is filled in by each author.
+NAME_SLOT, NAME_FREE = "neither the names? of [^\n]{1,80}? nor the names of (?:its|his|her|their|the) contributors", "neither the name of nor the names of its contributors"
+
+
 def _joined(canonical: Column) -> Column:
-    return F.trim(F.regexp_replace(canonical, r"[ \n]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(canonical, r"[ \n]+", " ")), NAME_SLOT, NAME_FREE)
 
 
 def digest_of(canonical: Column) -> Column:
@@ -171,16 +204,20 @@ def digest_of(canonical: Column) -> Column:
     return F.when(joined != "", F.sha2(joined.cast("binary"), 256))
 
 
-def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN, further: DataFrame | None = None) -> DataFrame:
-    """``(license, digest, size)`` of known texts and of those in the table ``further`` (license, text). Texts that are
-    equal in canonical form have their licences' smallest name."""
+def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN, further: DataFrame | None = None,
+                  digests: Mapping[str, tuple[str, ...]] = LONG_DIGESTS) -> DataFrame:
+    """``(license, digest, size)`` of known texts, of those in the table ``further`` (license, text), and of ``digests``, which
+    have no size. Texts that are equal in canonical form have their licences' smallest name."""
     rows = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, texts in known.items() for text in texts]
     texts = spark.range(1).select(F.inline(F.array(*rows)))
     if further is not None:
         texts = texts.unionByName(further.select("license", "text").where("license IS NOT NULL"))
     lines = texts.withColumn("text", canonical_lines(F.col("text")))
-    return lines.select("license", digest_of(F.col("text")).alias("digest"), F.length(_joined(F.col("text"))).alias("size")).where(
-        "digest IS NOT NULL").groupBy("digest", "size").agg(F.min("license").alias("license"))
+    found = lines.select("license", digest_of(F.col("text")).alias("digest"), F.length(_joined(F.col("text"))).alias("size")).where("digest IS NOT NULL")
+    rows = [F.struct(F.lit(name).alias("license"), F.lit(d).alias("digest"), F.lit(None).cast("int").alias("size")) for name, ds in digests.items() for d in ds]
+    if rows:
+        found = found.unionByName(spark.range(1).select(F.inline(F.array(*rows))))
+    return found.groupBy("digest").agg(F.max("size").alias("size"), F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,7 +229,7 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     own text's answer. Empty tables give no rows.
     """
     known = cut_lineage(known)
-    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # one number per known text at most
+    sizes = [r["size"] for r in known.where("size IS NOT NULL").select("size").distinct().collect()]  # one number per known text at most
     canonical = docs.select(F.col(doc_id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"))
     lines = F.filter(F.transform(F.split("lines", "\n"), _joined), lambda line: F.length(line).isin(sizes or [-1]))
     digests = F.coalesce(F.transform(F.array_distinct(lines), lambda line: F.sha2(line.cast("binary"), 256)), F.array().cast("array<string>"))

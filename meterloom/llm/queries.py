@@ -41,16 +41,20 @@ def _quoted(text: str) -> str:
 
 def _license_sql() -> str:
     """The scan in SQL, with documents and known texts made canonical side by side."""
-    form = f"regexp_replace(translate(text, '{licenses._UPPER}', '{licenses._LOWER}'), {_quoted('(?m)' + licenses.COPYRIGHT_LINE)}, '', 'g')"
+    form = f"translate(text, '{licenses._UPPER}', '{licenses._LOWER}')"
+    form = f"regexp_replace({form}, {_quoted('(?m)' + licenses.HELD_LINE)}, '\\1{licenses._HELD}\\2', 'g')"
+    form = f"replace(regexp_replace({form}, {_quoted('(?m)' + licenses.COPYRIGHT_LINE)}, '', 'g'), '{licenses._HELD}', '')"
+    form = f"regexp_replace({form}, {_quoted('(?m)' + licenses.LIST_MARK)}, '\\1\\2 \\3', 'g')"
     form = f"'  ' || regexp_replace({form}, '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g') || '  '"
     form = f"replace({form}, chr(10), '  ' || chr(10) || '  ')"
     for old, new in licenses.SPELLINGS.items():
         form = f"replace({form}, ' {old} ', ' {new} ')"
     known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in licenses.KNOWN.items() for text in texts)
-    joined = lambda c: f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'))"
+    long = ", ".join(f"({_quoted(name)}, {_quoted(d)})" for name, ds in licenses.LONG_DIGESTS.items() for d in ds)
+    joined = lambda c: f"regexp_replace(trim(regexp_replace({c}, '[ \\n]+', ' ', 'g')), '{licenses.NAME_SLOT}', '{licenses.NAME_FREE}', 'g')"
     return f"""
         WITH k AS (SELECT license, {form} AS lines FROM (VALUES {known}) v(license, text)),
-        t AS (SELECT min(license) AS license, sha256({joined("lines")}) AS digest FROM k GROUP BY 2),
+        t AS (SELECT min(license) AS license, digest FROM (SELECT license, sha256({joined("lines")}) AS digest FROM k UNION ALL VALUES {long}) GROUP BY 2),
         d AS (SELECT doc_id, row_number() OVER () AS n, {form} AS lines FROM documents),
         w AS (SELECT doc_id, n, lines, CASE WHEN {joined("lines")} <> '' THEN sha256({joined("lines")}) END AS text_digest FROM d),
         l AS (SELECT n, sha256({joined("line")}) AS digest FROM (SELECT n, unnest(string_split(lines, chr(10))) AS line FROM w)),
