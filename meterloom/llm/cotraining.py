@@ -3,12 +3,14 @@
 Two views of a document are classified apart: its content (which words it has, and their shape: repetition, capitals,
 symbols) and its metadata (source, language, length, lines). Each view is a naive Bayes model over hashed features.
 In every round both models are fitted on the labelled documents and on those that the *other* view has labelled
-with confidence; then they are calibrated. At last the calibrated views are combined and score all documents.
+with confidence; then they are calibrated. At last the calibrated views are combined and score all documents. A view
+passes on labels of a class only if those it was sure of prove right often enough on labelled documents that no fit
+has seen, and the round whose combination fits such documents best is the one that scores.
 
 Naive Bayes needs counts only, so a fit is one aggregation over all documents: tasks add up what they see in arrays
 of a fixed size, which is all that is shuffled or sent to the driver. Features are written once; rounds read a few
 bytes per word instead of texts. Calibration fits a handful of numbers on a bounded number of labelled documents
-that no fit has seen.
+that no fit has seen: the views on one half of them, their combination and the tests of trust on the other.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ CONFIDENT = 0.95
 SMOOTHING = 1.0
 #: Labelled documents that calibration is fitted on, about this many at most, chosen by hash.
 CALIBRATION_ROWS = 20_000
+#: Sure and labelled documents without which a view is not trusted with a class.
+EVIDENCE = 10
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -112,6 +116,8 @@ class Models:
     content_fit: np.ndarray | None = None
     meta_fit: np.ndarray | None = None
     both_fit: np.ndarray | None = None
+    #: Whether content (first row) and metadata may label bad (first column) and good documents for the other view.
+    trust: np.ndarray = field(default_factory=lambda: np.zeros((2, 2), bool))
 
     def raw(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Inputs of the calibrations: mean log odds of words and sum of shapes' log odds; sum of metadata's."""
@@ -174,7 +180,8 @@ def _counts(stored: DataFrame, models: Models | None, confident: float) -> tuple
             by_content = by_meta = np.full(batch.num_rows, -1)
             if model is not None:
                 content, meta = model.views(batch)
-                by_content, by_meta = (np.where(known, -1, np.where(p >= confident, 1, np.where(p <= 1 - confident, 0, -1))) for p in (content, meta))
+                by_content, by_meta = (np.where(known, -1, np.where((p >= confident) & good, 1, np.where((p <= 1 - confident) & bad, 0, -1)))
+                                       for p, (bad, good) in zip((content, meta), model.trust, strict=True))
             content_label, meta_label = np.where(known, teaches, by_meta), np.where(known, teaches, by_content)
             base = 0
             for size, (place, owner), to in zip(sizes, (_unpack(batch.column("words")), _unpack(batch.column("shapes")), _listed(batch.column("meta"))),
@@ -197,37 +204,60 @@ def _log_odds(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     return np.log(share[:, 1]) - np.log(share[:, 0])
 
 
-def _raw_scores(held: DataFrame, models: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels and the calibrations' inputs of the held-out documents: four numbers each."""
+def _raw_scores(held: DataFrame, models: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels and the calibrations' inputs of the held-out documents, and which half each belongs to: five numbers each."""
     sent = held.sparkSession.sparkContext.broadcast(models)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content, meta = sent.value.raw(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, (content[:, 0].copy(), content[:, 1].copy(), meta[:, 0].copy()))], ["label", "word", "shape", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, (content[:, 0].copy(), content[:, 1].copy(), meta[:, 0].copy())), batch.column("half")],
+                                             ["label", "word", "shape", "meta", "half"])
 
-    rows = held.mapInArrow(rate, "label int, word double, shape double, meta double").toPandas()
-    return rows["label"].to_numpy(np.float64), rows[["word", "shape"]].to_numpy(), rows[["meta"]].to_numpy()
+    halved = held.withColumn("half", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2)))
+    rows = halved.mapInArrow(rate, "label int, word double, shape double, meta double, half long").toPandas()
+    return rows["label"].to_numpy(np.float64), rows[["word", "shape"]].to_numpy(), rows[["meta"]].to_numpy(), rows["half"].to_numpy()
+
+
+def trusted(p: np.ndarray, y: np.ndarray, confident: float, evidence: int = EVIDENCE) -> np.ndarray:
+    """Whether what a view is sure of is right in a share of ``confident`` or more, for bad and for good documents."""
+    right = ((y == 0)[p <= 1 - confident], (y == 1)[p >= confident])
+    return np.array([len(r) >= evidence and r.mean() >= confident for r in right])
 
 
 def train(stored: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, calibration_rows: int = CALIBRATION_ROWS) -> Models | None:
-    """Models after the given number of rounds, or None if the labels don't show both classes in either part."""
+    """Models of the best of the given number of rounds, or None if the labels don't show both classes in either part.
+
+    Rounds are compared by the mean log loss of their combination on the half of the calibration's rows that did not
+    calibrate the views; the earliest wins a tie. If a half lacks a class, all these rows serve for both halves.
+    """
     held = stored.where("label IS NOT NULL AND fold = 0")
     share = calibration_rows / max(1, held.count())
     if share < 1:
         held = held.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    models = None
+    models, best, least = None, None, np.inf
     for _ in range(rounds):
         word, shape, meta = _counts(stored, models, confident)
         if not shape.sum(axis=0).all():
             return None
         models = Models(_log_odds(word), _log_odds(shape), _log_odds(meta))
-        y, content, place = _raw_scores(held, models)
+        y, content, place, half = _raw_scores(held, models)
         if len(set(y)) < 2:
             return None
-        models.content_fit, models.meta_fit = logistic(content, y), logistic(place, y)
-        models.both_fit = _rising(_logits(_apply(models.content_fit, content), _apply(models.meta_fit, place)), y)
-    return models
+        first, second = half == 0, half == 1
+        if min(len(set(y[first])), len(set(y[second]))) < 2:
+            first = second = np.ones(len(y), bool)
+        models.content_fit, models.meta_fit = logistic(content[first], y[first]), logistic(place[first], y[first])
+        views = _apply(models.content_fit, content[second]), _apply(models.meta_fit, place[second])
+        models.trust = np.stack([trusted(p, y[second], confident) for p in views])
+        models.both_fit = _rising(_logits(*views), y[second])
+        p = np.clip(_apply(models.both_fit, _logits(*views)), 1e-9, 1 - 1e-9)
+        loss = -np.where(y[second] == 1, np.log(p), np.log(1 - p)).mean()
+        if loss < least:
+            best, least = models, loss
+        if not models.trust.any():  # further rounds would fit the same counts again
+            break
+    return best
 
 
 def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:

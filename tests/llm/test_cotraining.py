@@ -47,6 +47,9 @@ def test_counts_equal_brute_force(spark):
         assert {(int(i), int(c)): int(got[i, c]) for i, c in zip(*np.nonzero(got))} == counter
     # With a model, each view's sure documents count for the other one only.
     models = ct.train(stored, rounds=1)
+    models.trust[:] = False
+    assert all((a == b).all() for a, b in zip(ct._counts(stored, models, 0.8), (word, shape, meta)))
+    models.trust[:] = True
     again = ct._counts(stored, models, 0.8)
     batch = pa.RecordBatch.from_pylist([r.asDict() for r in rows], schema=stored.limit(0).toArrow().schema)
     content, place = models.views(batch)
@@ -69,6 +72,28 @@ def test_logistic_meets_its_gradient():
     assert (ct._rising(x, y)[1:] >= 0).all()
 
 
+def test_trust_needs_precision_and_evidence():
+    p = np.r_[np.full(20, 0.99), np.full(20, 0.01), np.full(50, 0.5)]
+    y = np.r_[np.ones(19), 0, np.zeros(18), np.ones(2), np.ones(50)]
+    assert ct.trusted(p, y, 0.95).tolist() == [False, True]
+    assert ct.trusted(p, y, 0.9).tolist() == [True, True]
+    assert ct.trusted(p, y, 0.95, evidence=21).tolist() == [False, False]
+    assert ct.trusted(p[:0], y[:0], 0.95).tolist() == [False, False]
+
+
+def test_further_rounds_do_no_harm(spark):
+    docs, labels = corpus(700, 4)
+    stored = ct.features(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, words string, fold int"),
+                         spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", "text", ("source", "lang"), "quality")
+    held = stored.where("label IS NOT NULL AND fold = 0")
+
+    def loss(rounds):
+        rows = ct.score(held, ct.train(stored, rounds)).join(held.select("doc_id", "label"), "doc_id").where("pmod(xxhash64(11, doc_id), 2) = 1").collect()
+        return -sum(np.log(r.score if r.label else 1 - r.score) for r in rows) / len(rows)
+
+    assert loss(3) <= loss(1) + 1e-9
+
+
 def test_held_out_accuracy(spark):
     docs, labels = corpus()
     seen = {d for d, _, _ in labels}
