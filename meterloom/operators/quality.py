@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from meterloom.functions.clock import parse_stamp, settlement_stamp
 from meterloom.functions.names import CLOCK_COLUMNS
 from meterloom.operators.quantiles import exact_quantiles, union_all
-from meterloom.operators.series import Keys, attach, join_series, numbered
+from meterloom.operators.series import Keys, attach, by_series, join_series, numbered
 from meterloom.session import cut_lineage
 from meterloom.sources.tables import require_columns, required
 
@@ -133,12 +133,16 @@ def step_differences(
     """Microseconds between consecutive distinct timestamps (``distinct``: the rows are so already).
 
     Differences are taken inside a minute; the first timestamp of a minute looks up the last one of the
-    preceding minute that has any. So a task holds the stamps of one minute, or one row per minute of a series.
+    preceding minute that has any: of its day, or else of the last day before. So a task holds the stamps of one minute, the
+    minutes of one day, or one row per day of a series, which the calendar bounds.
     """
     seen = (df if distinct else distinct_stamps(df, stamp, keys)).withColumn("_part", F.date_trunc("minute", stamp))
-    per_part = seen.groupBy(*keys, "_part").agg(F.max(stamp).alias("_part_last"))
-    carried = per_part.select(*keys, "_part", F.lag("_part_last").over(
-        Window.partitionBy(*keys).orderBy("_part")).alias("_carried"))
+    per_part = seen.groupBy(*keys, "_part").agg(F.max(stamp).alias("_part_last")).withColumn("_day", F.date_trunc("day", "_part"))
+    per_day = per_part.groupBy(*keys, "_day").agg(F.max("_part_last").alias("_day_last")).select(
+        *keys, "_day", F.lag("_day_last").over(by_series(keys, "_day")).alias("_from_days"))
+    within = F.lag("_part_last").over(by_series([*keys, "_day"], "_part"))
+    carried = join_series(per_part.withColumn("_within", within), per_day, keys, ["_day"], "inner").select(
+        *keys, "_part", F.coalesce("_within", "_from_days").alias("_carried"))
     inside = F.lag(stamp).over(Window.partitionBy(*keys, "_part").orderBy(stamp))
     return (
         join_series(seen.withColumn("_previous", inside), carried, keys, ["_part"], "inner")

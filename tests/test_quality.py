@@ -130,3 +130,16 @@ def test_numbering_and_halo_equal_one_plain_window(spark):
     assert both.count() == 1000 and wrong.count() == 0
     with pytest.raises(ValueError):
         with_halo(placed, "_pos", 10, 30)
+
+
+def test_steps_carry_over_minutes_and_days(spark):
+    start = dt.datetime(2024, 1, 1)
+    offsets = [0, 10, 59, 60, 3600, 86399, 86400, 86401, 5 * 86400 + 30, 5 * 86400 + 31, 7 * 86400 - 1, 7 * 86400]
+    rows = [(k, start + dt.timedelta(seconds=s)) for k, part in (("a", offsets), ("b", offsets[::3]), (None, offsets[1::2])) for s in [*part, part[-1]]]
+    df = spark.createDataFrame(rows, "k string, settlement_datetime timestamp")
+    found = [tuple(r) for r in quality.step_differences(df, keys=["k"]).select("k", "settlement_datetime", "step_micros").collect()]
+    want = []
+    for k in ("a", "b", None):
+        stamps = sorted({t for key, t in rows if key == k})
+        want += [(k, b, int((b - a).total_seconds()) * 1_000_000) for a, b in zip(stamps, stamps[1:])]
+    assert sorted(found, key=str) == sorted(want, key=str)
