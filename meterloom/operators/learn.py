@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
@@ -22,13 +25,20 @@ from meterloom.session import cut_lineage, shared_folder
 # Model names and their default settings.
 MODELS = ["ridge", "random_forest", "gradient_boosting"]
 RIDGE_ALPHA = 1.0
-ROWS_A_TASK = 1_500
 FOREST = {"numTrees": 250, "maxDepth": 10, "minInstancesPerNode": 5, "seed": 42}
 BOOSTING = {"maxIter": 250, "stepSize": 0.05, "maxDepth": 3, "minInstancesPerNode": 5, "seed": 42}
 
 # Own choice: boosting rounds between two writes of the residuals.
 ROUNDS_A_WRITE = 10
 
+# Own choice: rows of a training task. A forest's task sends a histogram of every node it works on, whatever its rows, so
+# few tasks share a small table and large tables are cut into large pieces.
+ROWS_A_TASK, MOST_SMALL_TASKS, ROWS_A_LARGE_TASK = 1_500, 5, 50_000
+
+# Own choice: megabytes of histograms that a task of a forest holds at a time. More are done in further passes over the same
+# splits, so the trees are the same.
+HISTOGRAM_MB = 128
+
 
 # Own choice: name of the input that tells series apart.
 SERIES_CODE = "series_code"
@@ -85,40 +95,50 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
 def forest(matrix: DataFrame, label: str, **settings) -> RandomForestRegressionModel:
     """Random forest under the default settings; ``settings`` override single values."""
     estimator = RandomForestRegressor(
-        labelCol=label, featureSubsetStrategy="all", maxBins=256, maxMemoryInMB=1024, **{**FOREST, **settings})
+        labelCol=label, featureSubsetStrategy="all", maxBins=256, maxMemoryInMB=HISTOGRAM_MB, **{**FOREST, **settings})
     return estimator.fit(matrix)
 
 
+def summed(trees: list, weights: list[float], spark: SparkSession) -> GBTRegressionModel:
+    """Fitted trees as one model whose forecast is their weighted sum."""
+    regression = spark._jvm.org.apache.spark.ml.regression
+    gateway = spark.sparkContext._gateway
+    members = gateway.new_array(regression.DecisionTreeRegressionModel, len(trees))
+    shares = gateway.new_array(spark._jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        members[i], shares[i] = tree._java_obj, weight
+    return GBTRegressionModel(regression.GBTRegressionModel("boosted", members, shares))
+
+
 def boosted(matrix: DataFrame, label: str, **settings) -> GBTRegressionModel:
     """Boosted trees that start from the mean of the labels, every tree added with the same weight.
 
     One single Spark tree per round is fitted to what is left of the labels. The start is a tree without a split, whose
     value is the mean; all trees together are one model of Spark's own kind, so it is applied, inspected and saved like
-    any other. Residuals are written every ``ROUNDS_A_WRITE`` rounds.
+    any other. Residuals are written every ``ROUNDS_A_WRITE`` rounds; in between, the trees since then are applied as one
+    model to the rows written last, so a round's plan is as short as the first one's.
     """
     chosen = {**BOOSTING, **settings}
     rate, rounds = chosen.pop("stepSize"), chosen.pop("maxIter")
+    spark = matrix.sparkSession
     start = DecisionTreeRegressor(labelCol=label, maxDepth=0).fit(matrix)
     trees, parts = [start], matrix.rdd.getNumPartitions()
     rest = start.setPredictionCol("_tree").transform(matrix).select("features", (F.col(label) - F.col("_tree")).alias("_rest"))
     estimator = DecisionTreeRegressor(labelCol="_rest", predictionCol="_tree", maxBins=256, **chosen)
     held = None
     for done in range(rounds):
-        rest = (cut_lineage(rest).coalesce(parts) if done % ROUNDS_A_WRITE == 0 else rest).persist()
-        tree = estimator.fit(rest)  # a fit reads its rows about ten times
-        trees.append(tree)
-        if held is not None:
-            held.unpersist()
-        held, rest = rest, tree.transform(rest).select("features", (F.col("_rest") - rate * F.col("_tree")).alias("_rest"))
+        if done % ROUNDS_A_WRITE == 0:
+            written = cut_lineage(rest).coalesce(parts).persist()  # a fit reads its rows several times
+            if held is not None:
+                held.unpersist()
+            held = rest = written
+        trees.append(estimator.fit(rest))
+        since = trees[done - done % ROUNDS_A_WRITE + 1:]
+        rest = summed(since, [rate] * len(since), spark).setPredictionCol("_trees").transform(held).select(
+            "features", (F.col("_rest") - F.col("_trees")).alias("_rest"))
     if held is not None:
         held.unpersist()
-    jvm, gateway = matrix.sparkSession._jvm, matrix.sparkSession.sparkContext._gateway
-    regression = jvm.org.apache.spark.ml.regression
-    members = gateway.new_array(regression.DecisionTreeRegressionModel, len(trees))
-    weights = gateway.new_array(jvm.double, len(trees))
-    for i, tree in enumerate(trees):
-        members[i], weights[i] = tree._java_obj, rate if i else 1.0
-    return GBTRegressionModel(regression.GBTRegressionModel("boosted", members, weights))
+    return summed(trees, [1.0] + [rate] * rounds, spark)
 
 
 def boosting_checks(model: GBTRegressionModel, matrix: DataFrame, label: str, tolerance: float = 1e-6) -> DataFrame:
@@ -191,12 +211,16 @@ def tree_model(name: str, matrix: DataFrame, label: str, store: bool = False, **
 
 
 def tree_matrix(fitted: Fitted, train: DataFrame) -> DataFrame:
-    """Vectors and labels that trees are fitted to, with the scales of the series filled in."""
+    """Vectors and labels that trees are fitted to, with the scales of the series filled in.
+
+    Rows are dealt and ordered by series and day, so a forest's random draws don't depend on how the table was stored.
+    """
     if fitted.keys and fitted.scales is None:
         fitted.scales = cut_lineage(series_scales(train, fitted.target, fitted.keys))
-    rows = assemble(scaled_inputs(train, fitted), fitted.tree_columns)
-    matrix = rows.select("features", F.col(fitted.target).cast("double").alias(fitted.target))
-    return matrix.coalesce(max(1, -(-train.count() // ROWS_A_TASK)))
+    rows, place = train.count(), [*fitted.keys, "date"]
+    parts = max(1, min(-(-rows // ROWS_A_TASK), MOST_SMALL_TASKS), -(-rows // ROWS_A_LARGE_TASK))
+    dealt = scaled_inputs(train, fitted).repartition(parts, *place).sortWithinPartitions(*place)
+    return assemble(dealt, fitted.tree_columns).select("features", F.col(fitted.target).cast("double").alias(fitted.target))
 
 
 def fit_models(
@@ -205,8 +229,8 @@ def fit_models(
 ) -> Fitted:
     """Fit the listed models on complete rows: ridge per series, trees over all of them.
 
-    The training table has one row per series and day; it is read in pieces of ``ROWS_A_TASK`` rows, because
-    trees start many small jobs over it. ``store``: see :func:`tree_model`.
+    The training table has one row per series and day and is written once for all tree models. These are fitted side by
+    side, because each starts many small jobs that leave most cores idle. ``store``: see :func:`tree_model`.
     """
     chosen, settings = models or MODELS, settings or {}
     fitted = Fitted(target, columns, list(keys))
@@ -214,12 +238,18 @@ def fit_models(
         fitted.ridge = cut_lineage(ridge(train, target, columns, keys, settings.get("ridge", {}).get("alpha", RIDGE_ALPHA)))
     named = [m for m in chosen if m != "ridge"]
     if named:
-        matrix = tree_matrix(fitted, train)
-        for name in named:
-            fitted.trees[name] = tree_model(name, matrix, target, store, **settings.get(name, {}))
+        matrix = cut_lineage(tree_matrix(fitted, train))
+        fits = [lambda name=name: tree_model(name, matrix, target, store, **settings.get(name, {})) for name in named]
+        fitted.trees = dict(zip(named, side_by_side(fits, matrix.sparkSession), strict=True))
     return fitted
 
 
+def side_by_side(works: list[Callable[[], object]], spark: SparkSession) -> list:
+    """Results of works that start Spark jobs of their own, done at the same time."""
+    with ThreadPoolExecutor(max(1, len(works))) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(work)) for work in works]]
+
+
 def model_matrix(
     daily: DataFrame, target: str, start: str, end: str, keys: Keys = ()
 ) -> tuple[DataFrame, DataFrame, list[str]]:
