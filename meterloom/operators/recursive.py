@@ -1,9 +1,9 @@
 """Strict multi-step evaluation: forecasts feed the lag and rolling inputs of later days.
 
 A series is one row that holds its history and what is known of its test days. The linear model runs as one fold in
-the JVM. Tree models go day by day for all series at once: the inputs of a day are expressions over the history, the
-fitted model's own ``transform`` gives the forecast, and the forecast is added to the history. Every few days the
-table of series is written to the shared folder, which keeps plans short and lets lost executors repeat little.
+the JVM. Tree models forecast many days of all series at once with the fitted model's own ``transform``, from a guess of
+the days before, and again from these forecasts, until no forecast changes any more. A day only needs earlier days, so
+what comes out is what a run day by day gives, in far fewer steps.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meterloom.operators import features
 from meterloom.operators.daily import coerce_numeric
 from meterloom.operators.folds import back, days_of, fold, last, mean, pushed
-from meterloom.operators.learn import SERIES_CODE, Fitted, fit_models, is_history
+from meterloom.operators.learn import SERIES_CODE, Fitted, fit_models, is_history, side_by_side
 from meterloom.operators.quantiles import union_all
 from meterloom.operators.series import Keys, attach
 from meterloom.session import cut_lineage
@@ -23,8 +23,8 @@ from meterloom.session import cut_lineage
 #: Days back that lags and windows reach.
 REACH = max(*features.LAGS, *[length for _, length, _ in features.ROLLING.values()])
 
-# Own choice: days that tree models go between two writes.
-DAYS_A_WRITE = 8
+# Own choice: days of a series that tree models forecast in one round, from the first one not yet settled.
+DAYS_A_ROUND = 400
 
 
 def next_inputs(history: Column, known: Column, fill: Column, columns: list[str]) -> list[Column]:
@@ -57,39 +57,44 @@ def linear_recursion(state: DataFrame, columns: list[str], weights: str = "_weig
     return state.withColumn("_made", fold(F.col("_days"), start, types, step)["made"])
 
 
-def tree_recursion(state: DataFrame, columns: list[str], models: dict[str, object], horizon: int) -> dict[str, DataFrame]:
-    """Per tree model, ``state`` with ``_made``: forecasts of ``horizon`` days, day by day for all series at once.
+def tree_recursion(state: DataFrame, columns: list[str], model, keys: Keys = ()) -> DataFrame:
+    """``state`` with ``_made``, the forecasts of all days of a series by a tree model.
 
-    ``state`` also holds ``_mu``, ``_sd`` and the code of each series, in whose units the models were fitted, or none of
-    them. A series with fewer days gets forecasts that belong to no day; they are dropped with its missing days.
+    ``state`` also holds ``_mu``, ``_sd`` and the code of each series, in whose units the model was fitted, or none of
+    them. ``_made`` starts as a guess. A round forecasts the next ``DAYS_A_ROUND`` days after the ``_at`` settled ones from
+    what ``_made`` says of the days before. The first forecast that differs from ``_made``, and all before it, came from
+    settled days only, so these are settled too: every round settles a day at least, and most settle many.
     """
     units = "_mu" in state.columns
-    start = state.select(
-        "*", F.lit(0).alias("_at"), *[F.col("_history").alias(f"_h_{m}") for m in models],
-        *[F.array().cast("array<double>").alias(f"_m_{m}") for m in models])
-    value = F.col("_p") * F.col("_sd") + F.col("_mu") if units else F.col("_p")
-    known = F.get("_days", F.col("_at"))["known"]
-    steps = []
-    for name, model in models.items():  # the same expressions every day: they are built once
-        inputs = next_inputs(F.col(f"_h_{name}"), known, F.col("_fill"), columns)
-        if units:
-            inputs = [(x - F.col("_mu")) / F.col("_sd") if is_history(c) else x for x, c in zip(inputs, columns, strict=True)]
-            inputs.append(F.col(SERIES_CODE))
-        changed = {f"_h_{name}": pushed(F.col(f"_h_{name}"), value, REACH), f"_m_{name}": pushed(F.col(f"_m_{name}"), value)}
-        if name == list(models)[-1]:
-            changed["_at"] = F.col("_at") + 1
-        vector = array_to_vector(F.array(*inputs)).alias("_x")
-        steps.append((model.setFeaturesCol("_x").setPredictionCol("_p"), vector, [changed[c].alias(c) if c in changed else F.col(c) for c in start.columns]))
-    table = start
-    for day in range(1, horizon + 1):
-        for model, vector, after in steps:
-            table = model.transform(table.select("*", vector)).select(*after)
-        if day % DAYS_A_WRITE == 0:
-            table = cut_lineage(table)
-    table = cut_lineage(table)
-    for model in models.values():
-        model.setFeaturesCol("features").setPredictionCol("prediction")
-    return {name: table.select(*state.columns, F.col(f"_m_{name}").alias("_made")) for name in models}
+    names = [*keys, "_fill", *(["_mu", "_sd", SERIES_CODE] if units else [])]
+    inputs = next_inputs(F.col("_day")["past"], F.col("_day")["known"], F.col("_fill"), columns)
+    value = F.col("_p")
+    if units:
+        inputs = [(x - F.col("_mu")) / F.col("_sd") if is_history(c) else x for x, c in zip(inputs, columns, strict=True)]
+        inputs.append(F.col(SERIES_CODE))
+        value = value * F.col("_sd") + F.col("_mu")
+    vector = array_to_vector(F.array(*inputs)).alias("_x")
+    at, made = F.col("_at"), F.col("_made")
+
+    def day(i: Column) -> Column:
+        before = F.size("_history") + i
+        past = F.slice(F.concat("_history", made), F.greatest(before - REACH, F.lit(0)) + 1, F.least(before, F.lit(REACH)))
+        return F.struct(i.alias("at"), past.alias("past"), F.get("_days", i)["known"].alias("known"))
+
+    ahead = F.explode(F.transform(F.sequence(at, F.least(at + DAYS_A_ROUND, F.size(made)) - 1), day)).alias("_day")
+    old, new = F.slice(made, at + 1, F.size("_new")), F.transform("_new", lambda r: r["value"])
+    changed = F.array_position(F.zip_with(old, new, lambda a, b: ~a.eqNullSafe(b)), True).cast("int")
+    settled = F.when(changed == 0, at + F.size("_new")).when(changed > 0, at + changed).otherwise(at)
+    mixed = F.when(F.col("_new").isNull(), made).otherwise(
+        F.concat(F.slice(made, F.lit(1), at), new, F.slice(made, at + F.size("_new") + 1, F.size(made))))
+    model.setFeaturesCol("_x").setPredictionCol("_p")
+    table = cut_lineage(state.select(*keys, F.lit(0).alias("_at"), F.array_repeat(mean(last(F.col("_history"), 30)), F.size("_days")).alias("_made")))
+    while not table.where(at < F.size(made)).isEmpty():
+        rows = attach(state, table, keys).where(at < F.size(made)).select(*names, ahead).select(*names, "_day.at", vector)
+        scored = model.transform(rows).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", value.alias("value")))).alias("_new"))
+        table = cut_lineage(attach(table, scored, keys).select(*keys, settled.alias("_at"), mixed.alias("_made")))
+    model.setFeaturesCol("features").setPredictionCol("prediction")
+    return attach(state, table, keys).drop("_at")
 
 
 def series_state(rows: DataFrame, target: str, start: str, columns: list[str], keys: Keys = ()) -> DataFrame:
@@ -153,7 +158,7 @@ def strict_recursive(
         weights = fitted.ridge.select(*keys, F.concat(F.array("intercept"), F.col("coefficients")).alias("_weights"))
         made.append(forecast_rows(linear_recursion(attach(state, weights, keys), columns), "ridge", keys))
     if fitted.trees:
-        placed = state if fitted.scales is None else attach(state, fitted.scales.select(*keys, "_mu", "_sd", SERIES_CODE), keys)
-        horizon = state.agg(F.max(F.size("_days"))).first()[0] or 0
-        made += [forecast_rows(df, name, keys) for name, df in tree_recursion(placed, columns, fitted.trees, horizon).items()]
+        placed = state if fitted.scales is None else cut_lineage(attach(state, fitted.scales.select(*keys, "_mu", "_sd", SERIES_CODE), keys))
+        runs = side_by_side([lambda model=model: tree_recursion(placed, columns, model, keys) for model in fitted.trees.values()], state.sparkSession)
+        made += [forecast_rows(df, name, keys) for name, df in zip(fitted.trees, runs, strict=True)]
     return union_all(made), fitted

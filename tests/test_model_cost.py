@@ -5,9 +5,11 @@ import datetime as dt
 import io
 
 import pytest
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
+from pyspark.sql import functions as F
 
-from meterloom.operators import learn
+from meterloom.operators import learn, recursive
 from meterloom.operators.learn import assemble
 from meterloom.session import cut_lineage
 
@@ -59,3 +61,25 @@ def test_the_plan_of_a_boosting_round_does_not_grow(train, monkeypatch):
     monkeypatch.setattr(DecisionTreeRegressor, "fit", seen)
     model = learn.boosted(rows, "y", maxIter=9)
     assert model.getNumTrees == 10 and sizes[2] == sizes[-1]
+
+
+def test_tree_recursion_needs_far_fewer_passes_than_days(spark, train, monkeypatch):
+    passes, apply = [], GBTRegressionModel.transform
+    monkeypatch.setattr(GBTRegressionModel, "transform", lambda self, *a: passes.append(1) or apply(self, *a))
+    columns = ["lag_7", "rolling_7_mean", "b"]
+    matrix = cut_lineage(assemble(train.withColumns({"lag_7": F.col("a"), "rolling_7_mean": F.col("b")}), columns).select("features", "y"))
+    model = learn.boosted(matrix, "y", maxIter=3)
+    known = spark.createDataFrame([("a", 40), ("b", 25), (None, 30)], "k string, n int").select(
+        "k", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.array(F.lit(None).cast("double"), F.lit(None), i * 2.0).alias("known"))).alias("_days"),
+        F.transform(F.sequence(F.lit(1), F.col("n") % 9 + 1), lambda i: i * 1.5).alias("_history"), F.array(*[F.lit(float(v)) for v in (1, 2, 3)]).alias("_fill"))
+    passes.clear()
+    got = {r.k: r for r in recursive.tree_recursion(known, columns, model, ["k"]).collect()}
+    assert {k: len(r._made) for k, r in got.items()} == {"a": 40, "b": 25, None: 30}
+    assert 0 < len(passes) <= 20
+    for r in got.values():  # day by day
+        past = list(r._history)
+        for i, made in enumerate(r._made):
+            recent = past[-7:]
+            x = [past[-7] if len(past) >= 7 else 1.0, sum(recent) / len(recent) if len(recent) >= 3 else 2.0, (i + 1) * 2.0]
+            past.append(model.predict(Vectors.dense(x)))
+            assert made == past[-1]
